@@ -12,7 +12,9 @@ stand in the order of their texts' hash; an empty table makes an empty file set.
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,20 +31,20 @@ END_ID = 1
 ORC_OPTIONS = {"compression": "zstd", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 # White space that the tokenizer's \s drops and that Python's str.split() splits at.
 _SPLIT = regex.compile(r"\S+")
-_PLAIN = regex.compile(r"[\x21-\x7e¡-¬®-įĲ-ž]+")
-# U+0149 and the dotted I have lower-case or normal forms of several characters: the library sees those whole.
-_ODD = regex.compile(r"[İıŉſ]")
+# Letters whose lower-case and normal forms are single characters; U+0130, U+0131 and U+0149 are left to the library.
+_PLAIN = regex.compile(r"[\x21-\x7e¡-¬®-įĲ-ňŊ-ž]+")
+# The tokenizer's pattern on lower-case ASCII.
+_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class WordEncoder:
     """ids of blank-free words by the library, packed as little-endian unsigned 32-bit integers."""
 
     def __init__(self, file: str) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.tokenizer.model
         state = json.loads(self.tokenizer.to_str())
         pattern = next(p["pattern"]["Regex"] for p in state["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern)
@@ -52,14 +54,15 @@ class WordEncoder:
 
     def _part(self, part: str) -> bytes:
         """ids of one pre-token, by the library's model."""
-        spelled = "".join(map(self.letters.__getitem__, part.encode()))
-        return np.array([x.id for x in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+        spelled = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+        return array("I", [x.id for x in self.model.tokenize(spelled)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if _PLAIN.fullmatch(text) and not _ODD.search(text) and not any(x in text for x in self.added):
-            return b"".join(map(self.parts.__getitem__, self.split.findall(text.lower())))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if "<|" not in text and _PLAIN.fullmatch(text):
+            split = _ASCII_PARTS if text.isascii() else self.split
+            return b"".join(map(self.parts.__getitem__, split.findall(text.lower())))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """Packed ids of a whole text."""
