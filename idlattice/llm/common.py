@@ -11,6 +11,7 @@ Conventions of every operator here:
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -67,6 +68,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more; call it once they are out of scope."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote, once nothing reads it any more."""
     spark = df.sparkSession

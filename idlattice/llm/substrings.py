@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flatten_words, fresh, materialize, read, slices, xxh64_many
+from .common import flatten_words, free_shuffles, fresh, materialize, read, slices, xxh64_many
 
 WINDOW = 35
 #: No level asks about windows of fewer words than this.
@@ -204,13 +204,17 @@ def repeated_places(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     prior = hits = None
     for length in levels(window):
-        source = texts if prior is None else texts.join(hits, "key").select("key", "text", "hs")
-        found = _repeated(_ask(source, prior, length, window))
-        if length == window:
-            return materialize(found.groupBy("key").agg(F.collect_list("place").alias("places")), "places")
-        hits = materialize(found.groupBy("key").agg(F.collect_list("ha").alias("hs")), "hits")
+        hits = _level(texts, hits, prior, length, window)
+        free_shuffles(texts.sparkSession)
         prior = length
-    raise AssertionError
+    return hits
+
+
+def _level(texts: DataFrame, hits: DataFrame | None, prior: int | None, length: int, window: int) -> DataFrame:
+    """Written answers of one level: key and the repeated hashes ``hs``, or at the last level the ``places``."""
+    source = texts if hits is None else texts.join(hits, "key").select("key", "text", "hs")
+    kept, name = ("place", "places") if length == window else ("ha", "hs")
+    return materialize(_repeated(_ask(source, prior, length, window)).groupBy("key").agg(F.collect_list(kept).alias(name)), name)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
