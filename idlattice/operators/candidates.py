@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mrz_lines import normalize_line
 from ..functions.mrz_parse import parse
+from ..sources.tables import settled
 
 LEAST_SCORE = 40.0
 LEAST_BEST = 80.0
@@ -54,13 +55,22 @@ def guess_format(l1: Column, l2: Column, l3: Column) -> Column:
 
 
 def parsed_candidates(groups: DataFrame) -> DataFrame:
-    """Groups that look like a format, with what its parser makes of them; each row is parsed by one parser."""
-    shaped = groups.withColumns({f"n{k}": normalize_line(F.col(f"line{k}")) for k in (1, 2, 3)}).withColumn("fmt", guess_format(F.col("n1"), F.col("n2"), F.col("n3"))).where(F.col("fmt").isNotNull())
+    """Groups that look like a format, with what its parser makes of them; each row is parsed by one parser.
+
+    Groups and results are written between the steps: a filter on a format then reaches the scan, and no
+    parser's expressions are written out again inside another step.
+    """
+    shaped = groups.withColumns({f"n{k}": normalize_line(F.col(f"line{k}")) for k in (1, 2, 3)}).withColumn("fmt", guess_format(F.col("n1"), F.col("n2"), F.col("n3")))
+    shaped = settled(shaped, "groups")
     common = ("format", "valid_format", "line1", "line2", "document_code", "document_number", "nationality", "surname", "given_names", "number_ok", "birth_ok", "expiry_ok", "personal_ok", "composite_ok", "state_valid", "nationality_valid", "overall_valid")
     found = None
+    seen = {r["fmt"] for r in shaped.select("fmt").distinct().collect()}  # five at most
     for kind, width, n in (("TD1", 30, 3), ("MRVA", 44, 2), ("MRVB", 36, 2), ("TD2", 36, 2), ("TD3", 44, 2)):
+        if kind not in seen and (kind != "TD3" or seen):
+            continue
         mine = shaped.where(F.col("fmt") == kind).withColumns({f"p{k}": F.rpad(f"n{k}", width, "<") for k in range(1, n + 1)})
         rows = parse(mine, kind, [f"p{k}" for k in range(1, n + 1)]).select(*groups.columns, F.struct(*[F.col(f"mrz.{c}").alias(c) for c in common]).alias("mrz"))
+        rows = settled(rows, f"parsed-{kind}")
         found = rows if found is None else found.unionByName(rows)
     return found
 
@@ -80,10 +90,14 @@ def candidate_score(lines: list[str]) -> Column:
 
 
 def scored_candidates(sources: DataFrame) -> DataFrame:
-    """Candidates of at least LEAST_SCORE with their rank in the document: by score, then source, kind of group, place."""
-    scored = parsed_candidates(candidate_groups(sources)).withColumn("score", candidate_score(["line1", "line2", "line3"])).where(F.col("score") >= LEAST_SCORE)
+    """Candidates of at least LEAST_SCORE with their rank in the document: by score, then source, kind of group, place.
+
+    The rank comes first, as low scores don't change it: a filter on the score below the window would make
+    the optimizer write the parsers' expressions out again inside it.
+    """
+    scored = parsed_candidates(candidate_groups(sources)).withColumn("score", candidate_score(["line1", "line2", "line3"]))
     order = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "source_ordinal", "group_kind", "pos")
-    return scored.withColumn("rank", F.row_number().over(order))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("score") >= LEAST_SCORE)
 
 
 def best_candidates(scored: DataFrame) -> DataFrame:

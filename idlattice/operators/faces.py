@@ -45,7 +45,7 @@ def with_quality(faces: DataFrame) -> DataFrame:
     aspect = h / F.greatest(F.lit(1), w)
     shape = F.when((aspect < 0.60) | (aspect > 2.0), 0.5).otherwise(1.0)
     passed = (w >= MIN_SIZE) & (h >= MIN_SIZE) & (sharp >= BLUR * 0.5) & light.between(20.0, 245.0)
-    return faces.withColumn("quality_score", F.round((size + blur + lit + shape) / 4.0, 4)).withColumn("quality_passed", passed)
+    return faces.withColumn("quality_score", F.floor((size + blur + lit + shape) / 4.0 * 10000 + 0.5000001) / 10000.0).withColumn("quality_passed", passed)
 
 
 def portraits(faces: DataFrame) -> DataFrame:

@@ -132,15 +132,22 @@ def consistency_signal(compared: DataFrame) -> DataFrame:
     return per.withColumn("severity", F.when(F.col("score") == 0, "LOW").when(F.col("score") >= HIGH_WEIGHT, "HIGH").otherwise("MEDIUM"))
 
 
+def half_up(x: Column) -> Column:
+    """Four places, halves upward, whatever the last bit of a double says."""
+    return F.floor(x * 10000 + 0.5000001) / 10000.0
+
+
 def fuse(signals: DataFrame) -> DataFrame:
     """signals (doc_id, signal, score, weight, evaluated) -> risk, coverage and level. Consistency counts only if evaluated."""
     core = signals.where(F.col("signal").isin(*WEIGHTS) & (F.col("evaluated") | (F.col("signal") != "document_consistency")))
     on = F.col("evaluated")
+    # sums of decimals don't depend on the order of rows
+    exact = lambda c: F.coalesce(F.sum(c.cast("decimal(18,8)")).cast("double"), F.lit(0.0))
     per = core.groupBy("doc_id").agg(
-        F.sum("weight").alias("configured"), F.coalesce(F.sum(F.when(on, F.col("weight"))), F.lit(0.0)).alias("weighed"), F.coalesce(F.sum(F.when(on, F.col("weight") * F.col("score"))), F.lit(0.0)).alias("total"),
+        exact(F.col("weight")).alias("configured"), exact(F.when(on, F.col("weight"))).alias("weighed"), exact(F.when(on, F.col("weight") * F.col("score"))).alias("total"),
         F.count_if(on & (F.col("score") >= LOW)).alias("elevated"), F.count_if(on & (F.col("score") >= VERY_STRONG)).alias("strong"),
     )
-    risk = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide("total", F.when(F.col("weighed") > 0, F.col("weighed"))), F.lit(0.0)))), 4)
+    risk = half_up(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide("total", F.when(F.col("weighed") > 0, F.col("weighed"))), F.lit(0.0)))))
     coverage = F.when(F.col("configured") > 0, F.round(F.least(F.lit(1.0), F.col("weighed") / F.col("configured")), 4)).otherwise(1.0)
     level = F.when(F.col("risk") >= HIGH, F.when((F.col("elevated") >= 2) | (F.col("strong") > 0), "HIGH").otherwise("MEDIUM")).when(F.col("risk") >= LOW, "MEDIUM").otherwise("LOW")
     return per.withColumn("risk", risk).select("doc_id", "risk", coverage.alias("coverage"), "elevated", level.alias("risk_level"))

@@ -208,7 +208,7 @@ register("ocr_confidence_normalize", "regions", lambda d: d.select("doc_id", "or
          "select doc_id, ordinal, case when s<0 then 0.0 when s<=1 then round(s,4) else round(least(1.0,greatest(0.0,s/100.0)),4) end as confidence from (select doc_id, ordinal, confidence*100-5 as s from {src}) x")
 register("ocr_confidence_avg", "regions", lambda d: regions.average_confidence(d), "select doc_id, coalesce(round(sum(case when n>0 then confidence*n end)/nullif(sum(case when n>0 then n end),0),4),0.0) as average_confidence from (select *, length(trim(text)) as n from {src}) x group by doc_id")
 register("region_confidence", "regions", lambda d: regions.value_confidence(d.select("doc_id").distinct().withColumn("value", F.lit("rostova")), d),
-         "select d.doc_id, 'rostova' as value, coalesce(arg_min(r.confidence, (r.y1,r.x1,r.ordinal)), 0.85) as confidence from (select distinct doc_id from {src}) d left join (select * from {src2}) r on r.doc_id=d.doc_id and instr(lower(r.text),'rostova')>0 group by d.doc_id".replace("{src2}", f"({SQL['regions']}) src"))
+         "select d.doc_id, 'rostova' as value, coalesce(arg_min(r.confidence, (r.y1,r.x1,r.ordinal,r.confidence)), 0.85) as confidence from (select distinct doc_id from {src}) d left join (select * from {src2}) r on r.doc_id=d.doc_id and instr(lower(r.text),'rostova')>0 group by d.doc_id".replace("{src2}", f"({SQL['regions']}) src"))
 _VALUE = r"([A-Z][a-z]+ [A-Z][a-z]+)"
 register("spatial_value", "regions", lambda d: regions.spatial_values(d, r"\bName\b", _VALUE),
          "with p as (select *, row_number() over (partition by doc_id order by y1,x1,ordinal) as place from {src}), c as (select l.doc_id, l.place as lp, case when abs((o.y1+o.y2)/2.0-(l.y1+l.y2)/2.0) <= greatest(18.0,(l.y2-l.y1)*0.9) and o.x1>=l.x1+5 then 1 when o.y1>=l.y1 and o.y1-l.y2<=greatest(35.0,(l.y2-l.y1)*2.0) and o.x1<=l.x2+80 and o.x2>=l.x1-40 then 2 end as way, o.* from p l join p o on o.doc_id=l.doc_id and o.place<>l.place where regexp_matches(trim(l.text),'(?i)\\bName\\b') and regexp_matches(o.text,'[A-Z][a-z]+ [A-Z][a-z]+')), d as (select c.*, case when way=1 then c.x1-l.x2 else c.y1-l.y2 end as dist from c join p l on l.doc_id=c.doc_id and l.place=c.lp where way is not null) select doc_id, trim(regexp_extract(text,'([A-Z][a-z]+ [A-Z][a-z]+)',1)) as value, confidence from (select *, row_number() over (partition by doc_id order by lp,way,dist,place) as n from d) x where n=1")
@@ -250,7 +250,7 @@ register("cross_zone_compare", "zones", lambda d: tamper.cross_zone(_zones(d)).s
 register("cross_zone_score", "zones", lambda d: tamper.consistency_signal(tamper.cross_zone(_zones(d))),
          _CROSS + " select doc_id, n_fields, n_mismatches, score, case when score=0 then 'LOW' when score>=0.85 then 'HIGH' else 'MEDIUM' end as severity from (select doc_id, count(*) as n_fields, cast(count(*) filter (not match and conf>=0.35) as bigint) as n_mismatches, coalesce(round(max(case when not match and conf>=0.35 then weight end),4),0.0) as score from c group by doc_id) x")
 register("tamper_fuse", "signals", tamper.fuse,
-         "select doc_id, risk, coverage, elevated, case when risk>=0.65 then case when elevated>=2 or strong>0 then 'HIGH' else 'MEDIUM' end when risk>=0.3 then 'MEDIUM' else 'LOW' end as risk_level from (select doc_id, round(least(1.0,greatest(0.0,coalesce(sum(case when evaluated then weight*score end)/nullif(sum(case when evaluated then weight end),0),0.0))),4) as risk, round(least(1.0,coalesce(sum(case when evaluated then weight end),0)/sum(weight)),4) as coverage, count(*) filter (evaluated and score>=0.3) as elevated, count(*) filter (evaluated and score>=0.8) as strong from {src} where signal<>'other' and (evaluated or signal<>'document_consistency') group by doc_id) x")
+         "select doc_id, risk, coverage, elevated, case when risk>=0.65 then case when elevated>=2 or strong>0 then 'HIGH' else 'MEDIUM' end when risk>=0.3 then 'MEDIUM' else 'LOW' end as risk_level from (select doc_id, floor(10000*least(1.0,greatest(0.0,coalesce(cast(sum(case when evaluated then cast(weight*score as decimal(18,8)) end) as double)/nullif(cast(sum(case when evaluated then cast(weight as decimal(18,8)) end) as double),0),0.0)))+0.5000001)/10000.0 as risk, round(least(1.0,cast(coalesce(sum(case when evaluated then cast(weight as decimal(18,8)) end),0) as double)/cast(sum(cast(weight as decimal(18,8))) as double)),4) as coverage, count(*) filter (evaluated and score>=0.3) as elevated, count(*) filter (evaluated and score>=0.8) as strong from {src} where signal<>'other' and (evaluated or signal<>'document_consistency') group by doc_id) x")
 _STATS = "with s as (select doc_id, value-m as dev, nb from (select *, quantile_cont(value,0.5) over (partition by doc_id) as m, count(*) over (partition by doc_id) as nb from {src}) a), t as (select *, quantile_cont(abs(dev),0.5) over (partition by doc_id) as mad from s)"
 register("tamper_block_outliers", "blocks", tamper.ela_signal,
          _STATS + ", p as (select doc_id, count(*) filter (dev>=greatest(2.5,2.5*greatest(0.5,1.4826*mad))) as outliers, greatest(0.0,max(dev)) as largest, max(nb) as nb from t group by doc_id), q as (select *, outliers/greatest(1,nb) as ratio from p), r as (select *, cast(0.20 as double)+ratio*3.5+least(30.0,largest)/30.0*0.45 as b from q), u as (select *, case when outliers>=2 or largest>=15 then greatest(b,0.45) else b end as b1 from r), v as (select *, case when largest>=25 and ratio>=0.02 then greatest(b1,0.7) else b1 end as b2 from u) select doc_id, outliers, round(ratio,4) as outlier_ratio, round(largest,2) as largest_deviation, cast(case when outliers=0 or largest<2.5 or nb<4 then 0.0 else round(least(1.0,b2),4) end as double) as score from v")
@@ -258,7 +258,7 @@ register("noise_block_outliers", "blocks", tamper.noise_signal,
          _STATS + ", p as (select doc_id, count(*) filter (abs(dev)>=greatest(14.0,3.5*greatest(0.8,1.4826*mad))) as outliers, max(abs(dev)) as largest, max(nb) as nb from t group by doc_id), q as (select *, outliers/greatest(1,nb) as ratio from p) select doc_id, outliers, round(ratio,4) as outlier_ratio, round(largest,2) as largest_deviation, cast(case when outliers=0 or ratio<0.015 or largest<14 then 0.0 else round(least(1.0,cast(0.18 as double)+ratio*3.5+least(30.0,largest)/30.0*0.3),4) end as double) as score from q")
 register("edge_texture", "blocks", tamper.edge_signal, "select doc_id, quantile_cont(value,0.5) as median, min(value) as least, cast(case when quantile_cont(value,0.5)>8 and quantile_cont(value,0.5)-min(value)>6 and min(value)<3 then 0.25 else 0.0 end as double) as score from {src} group by doc_id")
 register("copy_move_bins", "matches", lambda d: tamper.copy_move_clusters(d),
-         "with m as (select doc_id, sx, sy, tx, ty, tx-sx as dx, ty-sy as dy from {src} where sqrt((tx-sx)*(tx-sx)+(ty-sy)*(ty-sy))>=35), d as (select doc_id, case when f then tx else sx end as ax, case when f then ty else sy end as ay, case when f then sx else tx end as bx, case when f then sy else ty end as by, case when f then -dx else dx end as ex, case when f then -dy else dy end as ey from (select *, dx<0 or (dx=0 and dy<0) as f from m) x), g as (select doc_id, cast(round_even(ex/20.0,0) as int) as bin_x, cast(round_even(ey/20.0,0) as int) as bin_y, count(*) as matches, cast(greatest(0,floor(min(ax)-15)) as int) as ax1, cast(greatest(0,floor(min(ay)-15)) as int) as ay1, cast(floor(max(ax)+15) as int) as ax2, cast(floor(max(ay)+15) as int) as ay2, cast(greatest(0,floor(min(bx)-15)) as int) as bx1, cast(greatest(0,floor(min(by)-15)) as int) as by1, cast(floor(max(bx)+15) as int) as bx2, cast(floor(max(by)+15) as int) as by2 from d group by all) select * from g where matches>=5 and ((not (not (ax2<bx1 or ax1>bx2 or ay2<by1 or ay1>by2)) and matches>=case when ay2-ay1<40 or by2-by1<40 or (ax2-ax1)/greatest(1,ay2-ay1)>2.5 then 10 else 5 end) or matches>=15)")
+         "with m as (select doc_id, sx, sy, tx, ty, tx-sx as dx, ty-sy as dy from {src} where sqrt((tx-sx)*(tx-sx)+(ty-sy)*(ty-sy))>=35), d as (select doc_id, case when f then tx else sx end as ax, case when f then ty else sy end as ay, case when f then sx else tx end as bx, case when f then sy else ty end as y2, case when f then -dx else dx end as ex, case when f then -dy else dy end as ey from (select *, dx<0 or (dx=0 and dy<0) as f from m) x), g as (select doc_id, cast(round_even(ex/20.0,0) as int) as bin_x, cast(round_even(ey/20.0,0) as int) as bin_y, count(*) as matches, cast(greatest(0,floor(min(ax)-15)) as int) as ax1, cast(greatest(0,floor(min(ay)-15)) as int) as ay1, cast(floor(max(ax)+15) as int) as ax2, cast(floor(max(ay)+15) as int) as ay2, cast(greatest(0,floor(min(bx)-15)) as int) as bx1, cast(greatest(0,floor(min(y2)-15)) as int) as by1, cast(floor(max(bx)+15) as int) as bx2, cast(floor(max(y2)+15) as int) as by2 from d group by all) select * from g where matches>=5 and ((not (not (ax2<bx1 or ax1>bx2 or ay2<by1 or ay1>by2)) and matches>=case when ay2-ay1<40 or by2-by1<40 or (ax2-ax1)/greatest(1,ay2-ay1)>2.5 then 10 else 5 end) or matches>=15)")
 register("copy_move_score", "matches", lambda d: tamper.copy_move_signal(tamper.copy_move_clusters(d)), f"select doc_id, count(*) as clusters, max(matches) as most, cast(case when max(matches)>=12 or count(*)>=2 then 0.8 when max(matches)>=6 then 0.55 else 0.3 end as double) as score from ({ORACLE_SQL['copy_move_bins']}) c group by doc_id")
 register("metadata_editor", "metadata", lambda d: d.select("doc_id", tamper.metadata_score(F.filter(F.array("software"), lambda s: s != "")).alias("score"), tamper.detected_editor(F.lower("software")).alias("editor")),
          "select doc_id, case when software='' then null when editor is not null then cast(0.35 as double) else cast(0.0 as double) end as score, editor from (select *, case " + " ".join(f"when instr(lower(software),'{k}')>0 then '{k.title() if '.' not in k else k.capitalize()}'" for k in tamper.EDITORS) + " end as editor from {src}) x")
@@ -275,11 +275,11 @@ def _face_pairs(d: DataFrame) -> DataFrame:
 
 
 _PAIRS = "(select vec_id, round(greatest(0.0,least(1.0,list_dot_product(embedding,selfie)/(sqrt(list_dot_product(embedding,embedding))*sqrt(list_dot_product(selfie,selfie))))),4) as score from (select a.vec_id, a.embedding, list_transform(list_zip(a.embedding,b.embedding), lambda z: ([0.9,0.55,0.5,0.3])[a.vec_id%4+1]::double*z[1]+(1-([0.9,0.55,0.5,0.3])[a.vec_id%4+1]::double)*z[2]) as selfie from (select vec_id, embedding::double[] as embedding from embeddings) a join (select vec_id, embedding::double[] as embedding from embeddings) b on b.vec_id=a.vec_id+1) p) q"
-_table("face_cosine", lambda d: _face_pairs(d).select("vec_id", F.round("score", 3).alias("score")), "embeddings", f"select vec_id, round(score,3) as score from {_PAIRS}")
+_table("face_cosine", lambda d: _face_pairs(d).select("vec_id", "score"), "embeddings", f"select vec_id, score from {_PAIRS}")
 _table("face_band", lambda d: _face_pairs(d).groupBy(faces.band(F.col("score")).alias("band"), faces.band_colour(F.col("score")).alias("colour")).agg(F.count(F.lit(1)).alias("n")), "embeddings", f"select case when score>=0.8 then 'STRONG_MATCH' when score>=0.75 then 'BORDERLINE_MATCH' when score>=0.6 then 'MANUAL_REVIEW' else 'NO_MATCH' end as band, case when score>=0.8 then 'GREEN' when score>=0.75 then 'YELLOW' when score>=0.6 then 'ORANGE' else 'RED' end as colour, count(*) as n from {_PAIRS} group by all")
 _table("face_far_frr", lambda d: evaluation.acceptance_rates(_face_pairs(d).select((F.col("vec_id") % 4 < 2).alias("genuine"), "score")), "embeddings", f"select n_genuine, n_impostor, round(mg,4) as mean_genuine, round(mi,4) as mean_impostor, round(mg-mi,4) as separation, false_accepts, false_rejects, round(false_accepts/greatest(1,n_impostor),4) as far, round(false_rejects/greatest(1,n_genuine),4) as frr from (select count(*) filter (g) as n_genuine, count(*) filter (not g) as n_impostor, avg(score) filter (g) as mg, avg(score) filter (not g) as mi, count(*) filter (not g and score>=0.75) as false_accepts, count(*) filter (g and score<0.75) as false_rejects from (select score, vec_id%4<2 as g from {_PAIRS}) y) z")
-_Q = "(select *, round((case when w<60 or h<60 then greatest(0.1,least(1.0,least(w,h)/60.0)) else 1.0 end + case when sharpness<40 then greatest(0.1,least(1.0,sharpness/40.0)) else least(1.0,0.70+sharpness/200.0*0.30) end + case when brightness<30 then greatest(0.1,brightness/30.0) when brightness>240 then greatest(0.1,(255.0-brightness)/15.0) else 1.0 end + case when h/greatest(1,w)<0.6 or h/greatest(1,w)>2 then 0.5 else 1.0 end)/4.0,4) as quality_score, w>=60 and h>=60 and sharpness>=20 and brightness between 20 and 245 as quality_passed from {src}) f"
-register("face_quality", "faces", lambda d: faces.with_quality(d).select("doc_id", "ordinal", F.round("quality_score", 3).alias("quality_score"), "quality_passed"), f"select doc_id, ordinal, cast(round(quality_score,3) as double) as quality_score, quality_passed from {_Q}")
+_Q = "(select *, floor((case when w<60 or h<60 then greatest(0.1,least(1.0,least(w,h)/60.0)) else 1.0 end + case when sharpness<40 then greatest(0.1,least(1.0,sharpness/40.0)) else least(1.0,0.70+sharpness/200.0*0.30) end + case when brightness<30 then greatest(0.1,brightness/30.0) when brightness>240 then greatest(0.1,(255.0-brightness)/15.0) else 1.0 end + case when h/greatest(1,w)<0.6 or h/greatest(1,w)>2 then 0.5 else 1.0 end)/4.0*10000+0.5000001)/10000.0 as quality_score, w>=60 and h>=60 and sharpness>=20 and brightness between 20 and 245 as quality_passed from {src}) f"
+register("face_quality", "faces", lambda d: faces.with_quality(d).select("doc_id", "ordinal", "quality_score", "quality_passed"), f"select doc_id, ordinal, cast(quality_score as double) as quality_score, quality_passed from {_Q}")
 register("portrait_pick", "faces", lambda d: faces.portraits(d).select("doc_id", "ordinal"), "select doc_id, ordinal from (select *, row_number() over (partition by doc_id order by w*h*confidence desc, ordinal) as n from {src}) x where n=1")
 register("selfie_gate", "faces", lambda d: faces.selfie_gate(d), f"select doc_id, count(*) as n_faces, case when max(case when n=2 then w*h end)>=0.3*max(case when n=1 then w*h end) then 'MULTIPLE_FACES' when max(case when n=1 then quality_passed::int end)=1 then 'OK' else 'INSUFFICIENT_QUALITY' end as status from (select *, row_number() over (partition by doc_id order by w*h desc, ordinal) as n from {_Q}) x group by doc_id")
 
