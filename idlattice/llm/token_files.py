@@ -17,6 +17,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,53 +25,85 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Cache, materialize, new_path, read, slices
+from .common import materialize, new_path, read, slices
 
 END_ID = 1
+#: Words that a worker keeps from one slice to the next.
+WORDS_KEPT = 500_000
 #: Settings of the writer.
 ORC_OPTIONS = {"compression": "zstd", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 # White space that the tokenizer's \s drops and that Python's str.split() splits at.
 _SPLIT = regex.compile(r"\S+")
+# First bytes of white space beyond ASCII; a text without them is cut at ASCII white space.
+_WIDE_SPACES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 # Letters whose lower-case and normal forms are single characters; U+0130, U+0131 and U+0149 are left to the library.
-_PLAIN = regex.compile(r"[\x21-\x7e¡-¬®-įĲ-ňŊ-ž]+")
-# The tokenizer's pattern on lower-case ASCII.
-_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_PLAIN = regex.compile(r"[\x20-\x7e¡-¬®-įĲ-ňŊ-ž]+")
+# The tokenizer's pattern on lower-case ASCII, and the blank between words.
+_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+| ")
 
 
 class WordEncoder:
-    """ids of blank-free words by the library, packed as little-endian unsigned 32-bit integers."""
+    """ids of blank-free words by the library, packed as little-endian unsigned 32-bit integers.
+
+    Words that a slice of texts brings for the first time are encoded together. Those of plain letters are cut into
+    pre-tokens by one search over all of them and given to the library's model in one call, through a tokenizer of
+    the same model that only splits at blanks; the last token of every pre-token bears the word-end mark. All
+    other words go through the whole tokenizer one by one.
+    """
 
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.model = self.tokenizer.model
         state = json.loads(self.tokenizer.to_str())
         pattern = next(p["pattern"]["Regex"] for p in state["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split = regex.compile(pattern)
-        self.letters = _byte_letters()
-        self.parts = Cache(self._part, 700_000)
-        self.words = Cache(self._word, 300_000)
-
-    def _part(self, part: str) -> bytes:
-        """ids of one pre-token, by the library's model."""
-        spelled = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-        return array("I", [x.id for x in self.model.tokenize(spelled)]).tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if "<|" not in text and _PLAIN.fullmatch(text):
-            split = _ASCII_PARTS if text.isascii() else self.split
-            return b"".join(map(self.parts.__getitem__, split.findall(text.lower())))
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        """Packed ids of a whole text."""
-        if text.isascii():
-            words = text.split()
-        else:
-            words = [x.encode() for x in _SPLIT.findall(text.decode())]
-        return b"".join(map(self.words.__getitem__, words))
+        self.split = regex.compile(f"{pattern}| ")
+        mark = state["model"]["end_of_word_suffix"]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for word, k in vocabulary.items() if word.endswith(mark)]] = True
+        self.plain = Tokenizer.from_str(json.dumps(state | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self.letters = dict(enumerate(_byte_letters())) | {32: " "}
+        self.words: dict[bytes, bytes] = {}
+
+    def _learn(self, words: set[bytes]) -> list[bytes]:
+        """Make all the words known; the new ones."""
+        new = [w for w in words if w not in self.words]
+        plain = new
+        text = b" ".join(new).decode()
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            plain = []
+            for word in new:
+                one = word.decode()
+                if "<|" not in one and _PLAIN.fullmatch(one):
+                    plain.append(word)
+                else:
+                    self.words[word] = array("I", self.tokenizer.encode(one, add_special_tokens=False).ids).tobytes()
+            text = b" ".join(plain).decode()
+        if plain:
+            parts = (_ASCII_PARTS if text.isascii() else self.split).findall(text.lower())
+            spelled = " ".join(parts).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.plain.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            blank = np.array([x == " " for x in parts])
+            upto = np.cumsum(~blank)
+            if len(ends) != upto[-1] or int(blank.sum()) != len(plain) - 1:
+                raise RuntimeError("pre-tokens and word ends differ")
+            cuts = (4 * ends[np.append(upto[blank], upto[-1]) - 1]).tolist()
+            packed = ids.tobytes()
+            self.words.update(zip(plain, [packed[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+        return new
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of whole texts. A cache that is full keeps what it had before these texts."""
+        split = [[w.encode() for w in _SPLIT.findall(x.decode())] if any(map(x.__contains__, _WIDE_SPACES)) else x.split() for x in texts]
+        new = self._learn(set(chain.from_iterable(split)))
+        get = self.words.__getitem__
+        packed = [b"".join(map(get, words)) for words in split]
+        if len(self.words) > WORDS_KEPT:
+            for w in new:
+                del self.words[w]
+        return packed
 
 
 def _byte_letters() -> list[str]:
@@ -101,7 +134,7 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", doc_id: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(file)
         for batch, texts in slices(batches, "__text"):
-            packed = [own.encode(x) + end for x in texts]
+            packed = [x + end for x in own.encode(texts)]
             begin = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(begin), pa.array(np.frombuffer(b"".join(packed), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["doc_id", "tie", "ids"])
