@@ -16,7 +16,7 @@ def _dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double precision, within -1 and 1; 0 for null or zero vectors."""
     norm = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
-    return F.coalesce(F.when(norm < 1e-12, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(_dot(a, b), norm)))), F.lit(0.0))
+    return F.coalesce(F.when(a.isNull() | b.isNull() | (norm < 1e-12), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(_dot(a, b), norm)))), F.lit(0.0))
 
 
 def public_score(similarity: Column) -> Column:
