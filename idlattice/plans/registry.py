@@ -13,6 +13,7 @@ from ..functions.mrz_digits import ALPHA_CONFUSIONS, ALPHABET, DIGIT_CONFUSIONS,
 from ..functions.mrz_lines import clean_name, normalize_line
 from ..functions.mrz_parse import parse
 from ..operators import candidates, evaluation, faces, regions, screening, tamper
+from ..streaming import events
 from . import mrz_sql
 from .inputs import SQL, source
 
@@ -331,3 +332,17 @@ register("find_by_passport", "screening_src", lambda d: screening.find_by_number
 register("calibration_metrics", "samples", evaluation.calibration,
          "select n_clean, n_tampered, mean_clean, mean_tampered, tn, fp, fn, tp, round(coalesce(fp/nullif(n_clean,0),0.0),4) as fpr, round(coalesce(fn/nullif(n_tampered,0),0.0),4) as fnr, round(p,4) as precision, round(r,4) as recall, round(coalesce(2*p*r/nullif(p+r,0),0.0),4) as f1 from (select *, coalesce(tp/nullif(tp+fp,0),0.0) as p, coalesce(tp/nullif(tp+fn,0),0.0) as r from (select count(*) filter (not positive) as n_clean, count(*) filter (positive) as n_tampered, round(avg(score) filter (not positive),4) as mean_clean, round(avg(score) filter (positive),4) as mean_tampered, count(*) filter (not positive and score<=0.35) as tn, count(*) filter (not positive and score>0.35) as fp, count(*) filter (positive and score<=0.35) as fn, count(*) filter (positive and score>0.35) as tp from {src}) a) b")
 register("risk_histogram", "samples", evaluation.level_histogram, "select positive, count(*) filter (level='LOW') as low, count(*) filter (level='MEDIUM') as medium, count(*) filter (level='HIGH') as high from {src} group by positive")
+
+# --- event streams ----------------------------------------------------------------------------
+
+
+def _event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    found = events.drain(events.window_counts(events.read_events(spark, sf_dir)), f"{folder}/idlattice")
+    return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "least", "largest")
+
+
+QUERIES["event_window_stream"] = _event_windows
+ORACLE_SQL["event_window_stream"] = "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, min(value) as least, max(value) as largest from events group by all"
+_table("event_sessions", lambda d: events.session_counts(d.withColumn("ts", F.col("ts").cast("timestamp"))).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest")), "events",
+       "with s as (select user_id, ts, sum(case when p is null or ts - p > interval 30 minute then 1 else 0 end) over (partition by user_id order by ts, event_id) as k from (select *, lag(ts) over (partition by user_id order by ts, event_id) as p from events) x), c as (select user_id, k, count(*) as n from s group by all) select user_id, count(*) as sessions, max(n) as longest from c group by user_id")

@@ -42,3 +42,10 @@ def write_jdbc(screenings: DataFrame, url: str, table: str, properties: dict[str
     """Screenings to a database; array columns become JSON text."""
     flat = [F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in screenings.dtypes]
     screenings.select(*flat).write.jdbc(url, table, mode, properties)
+
+
+def read_pixels(spark: SparkSession, path: str, least: int = 10) -> DataFrame:
+    """path, height, width, channels, data (BGR bytes) of the images below ``path`` that can be decoded and are not tiny."""
+    image = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path)
+    rows = image.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    return rows.where((F.col("height") >= least) & (F.col("width") >= least))
