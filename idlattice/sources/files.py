@@ -19,7 +19,7 @@ def checked(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
-    """path, length, content, error of every file below ``path``; contents over the limit are not carried."""
+    """path, length, content, error of every file below ``path``; contents over the limit are not carried. Spark leaves out empty files."""
     files = checked(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), most)
     return files.select("path", "length", F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error")
 
