@@ -36,7 +36,7 @@ def spatial_values(regions: DataFrame, label: str, pattern: str, card: bool = Fa
     card: the wider tolerances of identity cards. Labels are tried top down; a value inside the label wins, then
     the nearest to the right on the same line, then the nearest below.
     """
-    order = Window.partitionBy("doc_id").orderBy("y1", "x1", "ordinal")
+    order = Window.partitionBy("doc_id").orderBy("y1", "x1", "ordinal", "text", "confidence")
     placed = regions.withColumn("place", F.row_number().over(order))
     found = lambda c: F.trim(F.regexp_extract(c, pattern, 1))
     labels = placed.where(F.trim("text").rlike(f"(?i){label}")).select("doc_id", F.col("place").alias("label_place"), F.trim("text").alias("label_text"), F.col("confidence").alias("label_confidence"), *[F.col(c).alias(f"l{c}") for c in ("x1", "y1", "x2", "y2")])

@@ -212,7 +212,7 @@ register("region_confidence", "regions", lambda d: regions.value_confidence(d.se
          "select d.doc_id, 'rostova' as value, coalesce(arg_min(r.confidence, (r.y1,r.x1,r.ordinal,r.confidence)), 0.85) as confidence from (select distinct doc_id from {src}) d left join (select * from {src2}) r on r.doc_id=d.doc_id and instr(lower(r.text),'rostova')>0 group by d.doc_id".replace("{src2}", f"({SQL['regions']}) src"))
 _VALUE = r"([A-Z][a-z]+ [A-Z][a-z]+)"
 register("spatial_value", "regions", lambda d: regions.spatial_values(d, r"\bName\b", _VALUE),
-         "with p as (select *, row_number() over (partition by doc_id order by y1,x1,ordinal) as place from {src}), c as (select l.doc_id, l.place as lp, case when abs((o.y1+o.y2)/2.0-(l.y1+l.y2)/2.0) <= greatest(18.0,(l.y2-l.y1)*0.9) and o.x1>=l.x1+5 then 1 when o.y1>=l.y1 and o.y1-l.y2<=greatest(35.0,(l.y2-l.y1)*2.0) and o.x1<=l.x2+80 and o.x2>=l.x1-40 then 2 end as way, o.* from p l join p o on o.doc_id=l.doc_id and o.place<>l.place where regexp_matches(trim(l.text),'(?i)\\bName\\b') and regexp_matches(o.text,'[A-Z][a-z]+ [A-Z][a-z]+')), d as (select c.*, case when way=1 then c.x1-l.x2 else c.y1-l.y2 end as dist from c join p l on l.doc_id=c.doc_id and l.place=c.lp where way is not null) select doc_id, trim(regexp_extract(text,'([A-Z][a-z]+ [A-Z][a-z]+)',1)) as value, confidence from (select *, row_number() over (partition by doc_id order by lp,way,dist,place) as n from d) x where n=1")
+         "with p as (select *, row_number() over (partition by doc_id order by y1,x1,ordinal,text,confidence) as place from {src}), c as (select l.doc_id, l.place as lp, case when abs((o.y1+o.y2)/2.0-(l.y1+l.y2)/2.0) <= greatest(18.0,(l.y2-l.y1)*0.9) and o.x1>=l.x1+5 then 1 when o.y1>=l.y1 and o.y1-l.y2<=greatest(35.0,(l.y2-l.y1)*2.0) and o.x1<=l.x2+80 and o.x2>=l.x1-40 then 2 end as way, o.* from p l join p o on o.doc_id=l.doc_id and o.place<>l.place where regexp_matches(trim(l.text),'(?i)\\bName\\b') and regexp_matches(o.text,'[A-Z][a-z]+ [A-Z][a-z]+')), d as (select c.*, case when way=1 then c.x1-l.x2 else c.y1-l.y2 end as dist from c join p l on l.doc_id=c.doc_id and l.place=c.lp where way is not null) select doc_id, trim(regexp_extract(text,'([A-Z][a-z]+ [A-Z][a-z]+)',1)) as value, confidence from (select *, row_number() over (partition by doc_id order by lp,way,dist,place) as n from d) x where n=1")
 register("line_group", "regions", lambda d: regions.grouped_lines(d))
 register("crop_geometry", "regions", lambda d: regions.crop_boxes(d.withColumn("img_w", F.lit(640)).withColumn("img_h", F.lit(480)).where("ordinal = 3"), "img_w", "img_h").groupBy("crop").agg(F.count(F.lit(1)).alias("n"), F.sum("cx1").alias("sx1"), F.sum("cy1").alias("sy1"), F.sum("cx2").alias("sx2"), F.sum("cy2").alias("sy2")),
          "with r as (select *, greatest(12,y2-y1) as h from {src} where ordinal=3), b as (" + " union all ".join([f"select 'right_var_{k + 1}' as crop, greatest(0,x2-5) as a, greatest(0,y1-cast(floor(h*cast({0.2 + 0.15 * k!r} as double)) as int)) as b, least(640,x2+cast(floor(h*{m}) as int)) as c, least(480,y2+cast(floor(h*cast({0.2 + 0.15 * k!r} as double)) as int)) as d from r" for k, m in enumerate((5.0, 7.0, 9.0))] + ["select 'below', greatest(0,x1-10), greatest(0,y2-2), least(640,x2+cast(floor(h*4.0) as int)), least(480,y2+cast(floor(h*cast(2.2 as double)) as int)) from r", "select 'combined_line', greatest(0,x1-5), greatest(0,y1-cast(floor(h*0.25) as int)), least(640,x2+cast(floor(h*7.0) as int)), least(480,y2+cast(floor(h*0.25) as int)) from r"]) + ") select crop, count(*) as n, cast(sum(a) as bigint) as sx1, cast(sum(b) as bigint) as sy1, cast(sum(c) as bigint) as sx2, cast(sum(d) as bigint) as sy2 from b where c-a>=20 and d-b>=10 group by crop")
