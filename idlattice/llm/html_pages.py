@@ -11,7 +11,8 @@ and Li, "Eliminating noisy information in web pages for data mining", 2003):
 
 Branches below ``LOWEST`` go, on hosts with at least ``FEWEST`` pages. As many hosts have few pages, and
 furniture may differ on every page, branches also go by the role that their tag, class or id names. An
-``article`` or ``main`` element, if there is one, bounds the text, and what stands in it goes by role only.
+``article`` or ``main`` element, if there is one, bounds the text. In it a block goes by role, or if the
+element that holds it is itself below ``LOWEST``; the bounding element and its ancestors never are.
 
 The tree is held as counts: rows (host, place, style or text), summed by aggregation, so that a host with a
 third of all pages is no group of its own anywhere. A host's list of places to remove is joined to its pages.
@@ -183,7 +184,7 @@ def page_tree(page: str) -> list[tuple[int, int, int, int]]:
 
 
 def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the article, or of the page where there is none, without furniture and, outside an article, without ``low`` places."""
+    """Blocks of the article, or of the page where there is none, without furniture and ``low`` places."""
     inner, outer = [], []
     bounded = False
     for event, nodes, text in walk(page):
@@ -193,7 +194,10 @@ def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
         if nodes[-1].furniture:
             continue
         if nodes[-1].inside:
-            inner.append(text)
+            # an entry with a fixed row of children may be low by its style alone: its texts have places of their own
+            bound = nodes[-1].tag in ("article", "main") or not nodes[-2].inside
+            if bound or _signed(nodes[-1].place) not in low:
+                inner.append(text)
         elif not any(_signed(node.place) in low for node in nodes[1:]):
             outer.append(text)
     return "\n\n".join(inner if bounded else outer)

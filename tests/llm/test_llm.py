@@ -247,6 +247,15 @@ def test_html(spark):
     assert html_pages.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_tree_decides_in_articles(spark):
+    frame = "<body><article><h1>Title {0}</h1><div class=entry>" + "<p>part {0}</p>" * 20 + "</div><div class=box><p>same</p><p>words</p></div></article></body>"
+    rows = [(i, "http://host.example/", frame.format(i)) for i in range(20)]
+    out = {r.page_id: r.text for r in html_pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == "\n\n".join([f"Title {i}", *[f"part {i}"] * 20]) for i in range(20))
+    bare = [(i, "http://host.example/", "<main>all alike</main>") for i in range(20)]
+    assert {r.text for r in html_pages.extract_text(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()} == {"all alike"}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     data = rng.normal(size=(400, 10))
