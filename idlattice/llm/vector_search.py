@@ -5,7 +5,9 @@ Vectors are cut into subspaces of two components with 16 codewords each. Codewor
 of near queries most, weighs eta times as much (Guo et al., "Accelerating large-scale inference with
 anisotropic vector quantization", 2020). A query's tables hold its products with all codewords; a scan adds
 table entries by code, two four-bit codes at a time. The best of each block are scored on the original
-vectors in double precision, so that scores and order are exact among what is found.
+vectors in double precision. A row's true score exceeds its approximate one by at most the query's norm times
+the norm of the row's residual; every other row that may so reach the k-th score is scored too. The codes
+only decide how much is scored: what is found is exact.
 
 The codebooks are fitted on at most ``SAMPLE`` vectors; every vector is coded and scanned. Vectors stand in
 blocks of bounded rows, queries too, and each pair of blocks is one bounded piece of work.
@@ -31,7 +33,7 @@ from .common import materialize, read
 SAMPLE = 16_384
 BLOCK = 8192
 QUERY_BLOCK = 512
-#: Candidates of a block that are scored exactly, for each query.
+#: Candidates of a block that are scored first, for each query; their k-th score rules out others.
 RERANK = 256
 #: Score from which on parallel error should matter; it sets eta.
 THRESHOLD = 0.2
@@ -98,6 +100,13 @@ class Quantizer:
         code = self.codes(vectors)
         return np.ascontiguousarray((code[:, 0::2] | (code[:, 1::2] << 4)).T)
 
+    def reach(self, vectors: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """What a row's score may exceed its approximate one by, for a query of norm 1; rounding of the scan included."""
+        code = np.stack([packed & 15, packed >> 4], axis=1).reshape(-1, len(vectors)).T
+        made = self.books[np.arange(code.shape[1]), code]
+        norm = lambda x: np.sqrt((x**2).sum(axis=(1, 2)))
+        return norm(self._parts(vectors) - made) + (len(packed) + 4) * 2.0**-22 * norm(made)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """(pairs of subspaces, queries, 256): what each byte of codes adds to a query's score."""
         products = np.einsum("qmd,mcd->mqc", self._parts(queries), self.books)
@@ -113,11 +122,18 @@ def scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of_block(quantizer: Quantizer, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, packed: np.ndarray, k: int, rerank: int) -> tuple[list, list, list]:
+def _products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Scores row by row in one order of sums, so that equal vectors tie wherever they stand."""
+    return np.einsum("nd,d->n", vectors, query)
+
+
+def best_of_block(quantizer: Quantizer, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, packed: np.ndarray, reach: np.ndarray, k: int, rerank: int) -> tuple[list, list, list]:
     """Each query's k best of a block whose rows are in order of id: (query ids, ids, scores)."""
     approx = scan(quantizer.tables(queries), packed)
     most = min(max(rerank, k) + 1, len(ids))  # its own row may be among them
     kth = np.partition(approx, len(ids) - most, axis=1)[:, len(ids) - most]
+    norms = np.linalg.norm(queries, axis=1)
+    rough = None
     found: tuple[list, list, list] = ([], [], [])
     for q in range(len(query_ids)):
         row = approx[q]
@@ -125,7 +141,18 @@ def best_of_block(quantizer: Quantizer, query_ids: np.ndarray, queries: np.ndarr
         near = near[ids[near] != query_ids[q]]
         if len(near) > most:
             near = near[np.argsort(-row[near], kind="stable")[:most]]
-        exact = vectors[near] @ queries[q]
+        exact = _products(vectors[near], queries[q])
+        bar = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
+        open_ = ~(row + norms[q] * reach < bar) & (ids != query_ids[q])
+        open_[near] = False
+        rest = np.flatnonzero(open_)
+        if len(rest) > rerank:
+            if rough is None:  # one product of matrices rules out most rows where codes can't
+                rough = queries @ vectors.T
+                slack = 1e-9 * norms * np.sqrt((vectors**2).sum(axis=1).max())
+            rest = rest[~(rough[q, rest] < bar - slack[q])]
+        if len(rest):
+            near, exact = np.concatenate([near, rest]), np.concatenate([exact, _products(vectors[rest], queries[q])])
         order = np.lexsort((ids[near], -exact))[:k]
         found[0].append(np.full(len(order), query_ids[q]))
         found[1].append(ids[near[order]])
@@ -141,7 +168,7 @@ def usable(vector: str) -> Column:
 
 
 def _blocks(rows: DataFrame, size: int, count: int, quantizer: Quantizer | None) -> DataFrame:
-    """rows (id, v) -> (b, n, ids, vectors, packed): blocks of at most ``size`` rows in order of id, as bytes."""
+    """rows (id, v) -> (b, n, ids, vectors, packed, reach): blocks of at most ``size`` rows in order of id, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -155,9 +182,10 @@ def _blocks(rows: DataFrame, size: int, count: int, quantizer: Quantizer | None)
             vectors = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
             order = np.argsort(ids, kind="stable")
             ids, vectors = ids[order], vectors[order]
-            codes = quantizer.packed(vectors).tobytes() if quantizer else b""
+            codes = quantizer.packed(vectors) if quantizer else np.zeros((0, len(ids)), np.uint8)
+            reach = quantizer.reach(vectors, codes).astype("<f8").tobytes() if quantizer else b""
             seq += 1
-            return pa.RecordBatch.from_pydict({"b": pa.array([(part << 24) + seq], pa.int64()), "n": pa.array([len(ids)], pa.int32()), "ids": [ids.astype("<i8").tobytes()], "vectors": [vectors.astype("<f8").tobytes()], "packed": [codes]})
+            return pa.RecordBatch.from_pydict({"b": pa.array([(part << 24) + seq], pa.int64()), "n": pa.array([len(ids)], pa.int32()), "ids": [ids.astype("<i8").tobytes()], "vectors": [vectors.astype("<f8").tobytes()], "packed": [codes.tobytes()], "reach": [reach]})
 
         for batch in batches:
             held.append(batch)
@@ -169,7 +197,7 @@ def _blocks(rows: DataFrame, size: int, count: int, quantizer: Quantizer | None)
         if n:
             yield made(pa.Table.from_batches(held))
 
-    return rows.repartition(count).mapInArrow(run, "b long, n int, ids binary, vectors binary, packed binary")
+    return rows.repartition(count).mapInArrow(run, "b long, n int, ids binary, vectors binary, packed binary, reach binary")
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
@@ -197,10 +225,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
             for r in range(batch.num_rows):
                 cell = lambda name, kind, r=r, batch=batch: np.frombuffer(batch.column(batch.schema.get_field_index(name))[r].as_buffer(), kind)
                 ids, qids = cell("ids", "<i8"), cell("qids", "<i8")
-                found = best_of_block(quantizer, qids, cell("qvectors", "<f8").reshape(len(qids), dim), ids, cell("vectors", "<f8").reshape(len(ids), dim), cell("packed", np.uint8).reshape(-1, len(ids)), k, rerank)
+                found = best_of_block(quantizer, qids, cell("qvectors", "<f8").reshape(len(qids), dim), ids, cell("vectors", "<f8").reshape(len(ids), dim), cell("packed", np.uint8).reshape(-1, len(ids)), cell("reach", "<f8"), k, rerank)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["query_id", "vec_id", "score"])
 
-    found = met.select("ids", "vectors", "packed", "qids", "qvectors").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = met.select("ids", "vectors", "packed", "reach", "qids", "qvectors").mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

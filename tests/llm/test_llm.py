@@ -274,6 +274,18 @@ def test_vectors(spark):
     assert vector_search.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
+def test_vectors_of_a_near_copy_group(spark):
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(6000, 64))
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    data[::3] = data[0] + rng.normal(size=(2000, 64)) * 0.05 / 8
+    out = vector_search.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>"), F.col("id") % 300 == 0, rerank=32, block=3000).collect()
+    for q in range(0, 6000, 300):
+        exact = data @ data[q]
+        exact[q] = -np.inf
+        assert [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)] == np.lexsort((np.arange(6000), -exact))[:20].tolist()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
