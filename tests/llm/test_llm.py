@@ -85,6 +85,24 @@ def test_quality_rules(docs, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_noise_is_outside_the_bands():
+    rng, packer = random.Random(8), quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL)
+
+    def noise(signs, size):
+        return " ".join("".join(rng.choices(signs, k=rng.randrange(3, 10))) for _ in range(size))[:size].encode()
+
+    accepted = lambda text: quality_rules.compression_verdict(text, packer)[3]
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for size in (1000, 2000, 4000, 8000, 20000):
+        assert not accepted(noise(letters + letters.upper() + digits + "+/", size)) and not accepted(noise(letters + digits, size))
+        assert size < 2000 or not accepted(noise(letters, size))
+        assert size < 4000 or not accepted(noise(digits + "abcdef", size))
+    vocabulary = [noise(letters, 40).split()[0] for _ in range(400)]
+    good = b" ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(400)], k=5000))
+    assert all(accepted(good[:size]) for size in (4096, 5000, 8191, 16384, 20000))
+    assert not accepted(good[:8192] + noise(letters + digits, 1000)) and not accepted(good[:4096] + noise(letters + digits, 4096))
+
+
 def test_substrings(docs, empty):
     counts = Counter()
     for r in docs.collect():
