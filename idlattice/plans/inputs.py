@@ -95,7 +95,7 @@ select l_orderkey as doc_id, case l_linenumber when 1 then 'ela' when 2 then 'no
     "blocks": """
 select l_orderkey % 500 as doc_id, l_orderkey*10+l_linenumber as block, cast(case when l_quantity > 49 then l_quantity*1.5 else 10+l_linenumber*0.5 end as double) as value from lineitem""",
     "boxes": """
-select l_orderkey % 700 as doc_id, cast(l_orderkey*10+l_linenumber as int) as ordinal, cast(l_partkey % 40*32 as int) as x1, cast(l_suppkey % 10*32 as int) as y1, cast(l_partkey % 40*32+32 as int) as x2, cast(l_suppkey % 10*32+32 as int) as y2 from lineitem where l_quantity > 45""",
+select l_orderkey % 700 as doc_id, cast(l_orderkey*10+l_linenumber as int) as ordinal, cast(l_partkey % 40*32 as int) as x1, cast(l_suppkey % 10*32 as int) as y1, cast(l_partkey % 40*32+32 as int) as x2, cast(l_suppkey % 10*32+32 as int) as y2 from lineitem""",
     "matches": """
 select l_orderkey % 50 as doc_id, cast(l_partkey % 300 as double) as sx, cast(l_orderkey % 211 as double) as sy, cast(l_partkey % 300+case when l_linenumber % 2 = 0 then -1 else 1 end*(100+20*(l_linenumber % 3)) as double) as tx, cast(l_orderkey % 211+40*(l_linenumber % 2) as double) as ty from lineitem""",
     "metadata": """
@@ -114,7 +114,7 @@ select l.doc_id, l.toxic = 1 as positive, cast((l.doc_id*37 % 100)/100.0 as doub
 }
 SQL["candidate_src"] = f"""
 select k as doc_id, s as source_ordinal, 'pass_'||cast(s as string) as source, case s when 0 then 'PASSPORT'||chr(10)||line1||chr(10)||line2 when 1 then line1||chr(10)||'noise artefact line'||chr(10)||line2 else substr(line1,1,30)||chr(10)||substr(line2,1,38)||chr(10)||'short' end as text
-from ({SQL['passport_src']}) p cross join (select 0 as s union all select 1 as s union all select 2 as s) n where k % 3 = 0"""
+from ({SQL['passport_src']}) p cross join (select 0 as s union all select 1 as s union all select 2 as s) n"""
 
 
 def views(spark: SparkSession, sf_dir: str, sql: str) -> None:

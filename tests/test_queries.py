@@ -40,3 +40,9 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
+
+
+def test_inputs_are_whole(spark, duck):
+    passports, items = (duck.execute(f"select count(*) from {x}").fetchone()[0] for x in (f"({inputs.SQL['passport_src']}) p", "lineitem"))
+    assert inputs.source(spark, DIR, "candidate_src").count() == 3 * passports
+    assert inputs.source(spark, DIR, "boxes").count() == items
