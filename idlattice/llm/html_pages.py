@@ -9,7 +9,9 @@ and Li, "Eliminating noisy information in web pages for data mining", 2003):
 * content: one less the mean over its texts of log(pages with the text) / log(pages of the host);
 * both are blended by the number of children, as presentation says more of places with many.
 
-Branches below ``LOWEST`` go, on hosts with at least ``FEWEST`` pages. As many hosts have few pages, and
+Branches below ``LOWEST`` go. Hosts of fewer than ``FEWEST`` pages share one estimate: both entropies, each taken
+within its host, are pooled by place over those of two pages or more, and hold for all of them where the
+place's hosts have ``FEWEST`` pages together; other places of such hosts stay. As many hosts have few pages, and
 furniture may differ on every page, branches also go by the role that their tag, class or id names. An
 ``article`` or ``main`` element, if there is one, bounds the text. In it a block goes by role, or if the
 element that holds it is itself below ``LOWEST``; the bounding element and its ancestors never are.
@@ -38,7 +40,8 @@ from .common import materialize, read, slices
 LOWEST = 0.2
 FEWEST = 8
 GAMMA = 0.9
-DEEPEST = 16
+#: Stands for the hosts of fewer than FEWEST pages; no host holds this sign.
+SMALL = "/"
 
 #: Elements by kind.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -81,16 +84,16 @@ def _is_furniture(tag: str, own: dict[str, str], inside: bool) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "place", "furniture", "inside", "children", "depth")
+    __slots__ = ("tag", "place", "furniture", "inside", "children")
 
-    def __init__(self, tag: str, place: int, furniture: bool, inside: bool, depth: int) -> None:
-        self.tag, self.place, self.furniture, self.inside, self.depth = tag, place, furniture, inside, depth
+    def __init__(self, tag: str, place: int, furniture: bool, inside: bool) -> None:
+        self.tag, self.place, self.furniture, self.inside = tag, place, furniture, inside
         self.children: list[str] = []
 
 
 def walk(page: str) -> Iterator[tuple[str, list[Node], str]]:
     """Events in page order: ("text", open nodes, block of text) and ("end", open nodes with the ending one last, "")."""
-    stack = [Node("", 0, False, False, 0)]
+    stack = [Node("", 0, False, False)]
     buffer: list[str] = []
     holder = stack[:]
     at, n = 0, len(page)
@@ -157,8 +160,8 @@ def walk(page: str) -> Iterator[tuple[str, list[Node], str]]:
         if furniture and not top.furniture and tag in INLINE and buffer and (text := block()):
             yield "text", holder, text
         top.children.append(style)
-        place = xxhash.xxh64_intdigest(f"{top.place}>{style}") if top.depth < DEEPEST else top.place
-        stack.append(Node(tag, place, furniture, inside, top.depth + 1))
+        place = xxhash.xxh64_intdigest(f"{top.place}>{style}")
+        stack.append(Node(tag, place, furniture, inside))
     if buffer and (text := block()):
         yield "text", holder, text
     while len(stack) > 1:
@@ -204,7 +207,7 @@ def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
 
 
 def low_places(pages: DataFrame, html: str = "html", url: str = "url", lowest: float = LOWEST, fewest: int = FEWEST) -> DataFrame:
-    """host, low: the places of each host whose importance falls below ``lowest``; hosts without any have no row."""
+    """host, low: the places whose importance falls below ``lowest``, of each host with ``fewest`` pages and of SMALL for the others."""
     source = pages.select(host_of(url).alias("host"), F.col(f"`{html}`").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,13 +221,17 @@ def low_places(pages: DataFrame, html: str = "html", url: str = "url", lowest: f
     shares = rows.groupBy("host", "place", "kind", "value").agg(F.count(F.lit(1)).alias("k"), F.max("children").alias("c"))
     style, content = F.col("kind") == 0, F.col("kind") == 1
     k = F.col("k").cast("double")
-    places = shares.groupBy("host", "place").agg(F.sum(F.when(style, k)).alias("seen"), F.sum(F.when(style, k * F.log(k))).alias("klogk"), F.avg(F.when(style, F.col("c"))).alias("c"), F.avg(F.when(content, F.log(k))).alias("spread"))
-    sizes = pages.select(host_of(url).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= fewest)
-    presentation = (F.log("seen") - F.col("klogk") / F.col("seen")) / F.log("m")
+    places = shares.groupBy("host", "place").agg(F.sum(F.when(style, k)).alias("seen"), F.sum(F.when(style, k * F.log(k))).alias("klogk"), F.sum(F.when(style, F.col("c"))).alias("c"), F.count_if(style).alias("styles"), F.sum(F.when(content, F.log(k))).alias("spread"), F.count_if(content).alias("texts"))
+    sizes = pages.select(host_of(url).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("m"))
+    group = F.when(F.col("m") >= fewest, F.col("host")).otherwise(F.lit(SMALL))
+    per_host = places.where("texts > 0").join(sizes.where("m > 1"), "host").withColumn("log_m", F.log("m"))
+    pooled = per_host.groupBy(group.alias("host"), "place").agg(F.sum("m").alias("m"), F.sum(F.col("seen") * F.log("seen") - F.col("klogk")).alias("entropy"), F.sum(F.col("seen") * F.col("log_m")).alias("most"), (F.sum("c") / F.sum("styles")).alias("c"), F.sum(F.col("spread") / F.col("log_m")).alias("spread"), F.sum("texts").alias("texts"))
     weight = F.pow(F.lit(GAMMA), F.col("c"))
-    importance = (1 - weight) * presentation + weight * (1 - F.col("spread") / F.log("m"))
-    found = places.where(F.col("spread").isNotNull()).join(sizes, "host").where(importance < lowest)
-    return materialize(found.groupBy("host").agg(F.collect_list("place").alias("low")), "low-places")
+    importance = (1 - weight) * F.col("entropy") / F.col("most") + weight * (1 - F.col("spread") / F.col("texts"))
+    found = pooled.where((F.col("m") >= fewest) & (importance < lowest)).groupBy("host").agg(F.collect_list("place").alias("low"))
+    # a row for every large host, so that a page without one is known to be of a small host
+    named = sizes.where(F.col("m") >= fewest).select("host").unionByName(pages.sparkSession.createDataFrame([(SMALL,)], "host string"))
+    return materialize(named.join(found, "host", "left").select("host", F.coalesce("low", F.array().cast("array<bigint>")).alias("low")), "low-places")
 
 
 def host_of(url: str):
@@ -236,6 +243,7 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url", keep: l
     """pages (or its ``keep`` columns) with text and n_chars."""
     names = [c for c in (pages.columns if keep is None else keep) if c.lower() not in ("text", "n_chars")]
     low = low_places(pages, html, url)
+    small = frozenset(low.where(F.col("host") == SMALL).first()["low"])
     source = pages.select(*[F.col(f"`{c}`") for c in names], host_of(url).alias("__host"), F.col(f"`{html}`").alias("__html"))
     joined = source.join(low.withColumnRenamed("host", "__host").withColumnRenamed("low", "__low"), "__host", "left").select(*[f"`{c}`" for c in names], "__low", "__html")
     schema = joined.select(*[f"`{c}`" for c in names]).withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
@@ -244,7 +252,7 @@ def extract_text(pages: DataFrame, html: str = "html", url: str = "url", keep: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in slices(batches, "__html"):
             lists = batch.column(at).to_pylist()
-            made = [main_text(x.decode(), set(gone or ())) for x, gone in zip(raw, lists, strict=True)]
+            made = [main_text(x.decode(), small if gone is None else set(gone)) for x, gone in zip(raw, lists, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(made, pa.string()), pa.array(list(map(len, made)), pa.int64())], names=[*names, "text", "n_chars"])
 
     return joined.mapInArrow(run, schema)

@@ -274,6 +274,14 @@ def test_html_tree_decides_in_articles(spark):
     assert {r.text for r in html_pages.extract_text(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()} == {"all alike"}
 
 
+def test_html_tree_of_small_hosts_and_deep_places(spark):
+    frame = "<body><div class=box>words of {1}</div><div class=body><p>page {0}</p></div></body>"
+    deep = "<div>" * 20 + "<div class=box>same</div><div class=body>page {0}</div>" + "</div>" * 20
+    rows = [(i, f"http://small{i // 4}.example/", frame.format(i, i // 4)) for i in range(16)] + [(100 + i, "http://deep.example/", deep.format(i)) for i in range(20)]
+    out = {r.page_id: r.text for r in html_pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"page {i}" for i in range(16)) and all(out[100 + i] == f"page {i}" for i in range(20))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     data = rng.normal(size=(400, 10))
