@@ -3,8 +3,8 @@
 Conventions of every operator here:
 
 * a null text counts as the empty text; nulls elsewhere are carried along;
-* columns the caller adds are kept by the general operators and never looked at; helper columns
-  start with ``__`` and are dropped again;
+* columns the caller adds are kept by the general operators and never looked at; helper columns bear
+  names that the caller's table hasn't (``fresh``) and are dropped again;
 * work in Python goes through Arrow in slices of bounded bytes, so memory follows the slice and the
   longest single text, not the table.
 """
@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker handles at once; one longer text forms a slice of its own.
 SLICE_BYTES = 2 << 20
-#: Entries that a worker's word or piece cache may hold before it is emptied.
+#: Entries that a worker's word or piece cache holds at most, and the bytes of the longest word kept.
 CACHE_ENTRIES = 600_000
+LONGEST = 64
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -42,8 +43,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that all executors share. Only a local session may leave it unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or "/tmp/checkpoints").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -56,20 +60,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and go on from the file: lost executors cost no recomputation.
-
-    The shuffle files that led here are no longer needed; a collection of the driver's small heap
-    lets Spark's cleaner drop them.
-    """
+    """Write the rows to the shared folder and go on from the file: lost executors cost no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that nothing refers to any more; call it once they are out of scope."""
+    """Let Spark's cleaner delete the shuffle files of frames that nothing refers to any more, between the levels of a long job.
+
+    Spark deletes them when the driver collects the frame; a driver with a roomy heap may not do so for
+    half an hour, in which the disks of the executors fill up.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -85,7 +88,7 @@ def drop_table(df: DataFrame) -> None:
 
 
 def fresh(df: DataFrame, name: str) -> str:
-    """A column name that no column of df bears in any case."""
+    """A column name that no column of df bears, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:
         name += "_"
@@ -122,11 +125,12 @@ def map_texts(df: DataFrame, text: str, kernel: Callable[[list[bytes]], dict[str
     new = T._parse_datatype_string(added)
     names = {f.name.lower() for f in new.fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    whole = fresh(df, "__text")
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(whole))
     schema = T.StructType([*source.select(*[f"`{c}`" for c in kept]).schema.fields, *new.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "__text"):
+        for batch, texts in slices(batches, whole):
             made = kernel(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[made[f.name] for f in new.fields]], names=[*kept, *[f.name for f in new.fields]])
 
@@ -150,6 +154,7 @@ def flatten_words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np
     return joined, starts, lengths, counts
 
 
+#: The primes of XXH64.
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 
 
@@ -212,7 +217,7 @@ def xxh64_many(data: bytes, starts: np.ndarray, lengths: np.ndarray, seed: int =
 
 
 class Cache(dict):
-    """word -> value, made on first sight; once full, it keeps what it has, so that its memory is bounded."""
+    """word -> value, made on first sight. It keeps words of up to LONGEST bytes until it is full, so that its memory is bounded."""
 
     def __init__(self, make: Callable[[bytes], object], most: int = CACHE_ENTRIES) -> None:
         super().__init__()
@@ -220,6 +225,6 @@ class Cache(dict):
 
     def __missing__(self, word: bytes) -> object:
         value = self.make(word)
-        if len(self) < self.most:
+        if len(self) < self.most and len(word) <= LONGEST:
             self[word] = value
         return value
