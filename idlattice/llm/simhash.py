@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, flatten_words, fresh, lower_ascii, map_texts, materialize, read, xxh64_many
+from .common import flatten_words, fresh, lower_ascii, map_texts, materialize, read, xxh64_many
 from .graphs import connected_components
 
 BITS = 64
@@ -231,14 +231,13 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id (then text) stays, with the columns of docs."""
-    fp = fresh(docs, "__fp")
-    marked = materialize(with_fingerprints(docs.withColumn("__copy_of_text", F.col("text")), "__copy_of_text", keep=docs.columns, name=fp), "marked")
-    rooted = materialize(components(marked.select(F.col(fp).alias("fp"))), "rooted")
-    # smallest (doc_id, text) of a fingerprint, then of a component; nulls last
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    best = marked.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("p")).join(rooted, "fp").groupBy("root").agg(F.min(F.struct("p", "fp")).alias("b"))
-    kept = best.select(F.col("b.fp").alias("__bf"), F.col("b.p").alias("__bp"))
-    chosen = marked.join(kept, (F.col(fp) == F.col("__bf")) & place.eqNullSafe(F.col("__bp")))
-    once = chosen.groupBy("__bf").agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), F.struct(*[f"`{c}`" for c, kind in docs.dtypes if not kind.startswith("map")])).alias("r"))
-    return once.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])
+    """Pipeline stage: of each component the row with the smallest doc_id (then text, then other columns) stays, with the columns of docs."""
+    fp, row, copy = (fresh(docs, name) for name in ("__fp", "__row", "__copy"))
+    marked = with_fingerprints(docs.withColumn(copy, F.col("text")), copy, keep=docs.columns, name=fp)
+    marked = materialize(marked.withColumn(row, F.monotonically_increasing_id()), "marked")
+    others = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.xxhash64(*others).alias("o"), F.col(row).alias("r"))
+    least = marked.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("p"))
+    rooted = components(marked.select(F.col(fp).alias("fp")))
+    kept = least.join(rooted, "fp").groupBy("root").agg(F.min("p").alias("p")).select(F.col("p.r").alias(row))
+    return marked.join(materialize(kept, "kept"), row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
