@@ -261,7 +261,7 @@ def test_html(spark):
     frame = "<body><div class=box>same words</div><div class=body><p>page {0} text {0}</p></div></body>"
     rows = [(i, f"http://Host.example/{i}", frame.format(i)) for i in range(20)] + [(50, None, None), (51, "http://other.example/", frame.format(1)), (51, "http://other.example/", frame.format(1))]
     out = {r.page_id: r.text for r in html_pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert out[3] == "page 3 text 3" and out[50] == "" and out[51] == "same words\n\npage 1 text 1"
+    assert out[3] == "page 3 text 3" and out[50] == "" and out[51] == "page 1 text 1"  # a small host is judged by its places elsewhere
     assert html_pages.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
