@@ -1,11 +1,14 @@
 """License scans: an Aho-Corasick automaton finds tags and notices, a shunting-yard parser reads expressions.
 
 A text is lower-cased (A-Z), cut into words (digits, a-z and everything beyond ASCII) and matched as one
-string of words, so that a phrase is found across any punctuation. Behind an identifier tag the raw text is
-read as a licence expression: identifiers joined by AND, OR and WITH, with parentheses and a trailing plus.
-
-Defined cases: null or empty text has no words, empty labels and score 0; a malformed expression gives no
-label of its own and verdict null, the tag is still reported.
+string of words, so that a phrase is found across any punctuation. Behind an identifier tag and its colon the raw
+text is read as a licence expression: identifiers joined by AND, OR and WITH, with parentheses and a trailing plus. It
+may go on in the next line, behind the sign of a comment, where an operator or a parenthesis wants more or where the
+line begins with an operator in capitals. A small-lettered operator counts only before an identifier that is known, as
+it may be prose. Every licence of the expression is a label; the exception that WITH names is none.
+
+Defined cases: null or empty text has no words, empty labels and score 0; a tag without a colon or an identifier, or
+with a malformed expression, gives no label of its own and verdict null, the tag is still reported.
 """
 
 from __future__ import annotations
@@ -49,8 +52,9 @@ TAG_WEIGHT = 0.95
 GRADES = {"mit": 2, "apache-2.0": 2, "bsd-2-clause": 2, "bsd-3-clause": 2, "isc": 2, "cc0-1.0": 2, "unlicense": 2, "cc-by-4.0": 2, "mpl-2.0": 1, "lgpl-2.1": 1, "lgpl-3.0": 1, "gpl-2.0": 1, "gpl-3.0": 1, "agpl-3.0": 1, "epl-2.0": 1, "cc-by-sa-4.0": 1, "cc-by-nc-4.0": 0, "cc-by-nd-4.0": 0}
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.\-]*\+?")
-_EXPRESSION = re.compile(rb"[ \t:=]*([A-Za-z0-9.\-+() \t]*)")
+_TOKEN = re.compile(r"[()]|[A-Za-z0-9](?:[A-Za-z0-9.:-]*[A-Za-z0-9])?\+?")
+_COLON = re.compile(r"[ \t]*[:=]")
+_GAP = re.compile(r"[ \t]*+(?:\r?\n[ \t]*+(?:(?://+|#+|\*+|;+|--|%+)[ \t]*+)?)*+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -120,25 +124,54 @@ def evaluate(postfix: list[str]) -> int:
     return stack[-1]
 
 
+def licences_of(postfix: list[str]) -> set[str]:
+    """Identifiers of a postfix expression, without those that WITH names as exceptions."""
+    stack: list[set[str]] = []
+    for token in postfix:
+        if token not in _RANK:
+            stack.append({token})
+            continue
+        right, left = stack.pop(), stack.pop()
+        stack.append(left if token == "with" else left | right)
+    return stack[-1] if stack else set()
+
+
+def _is_known(identifier: str) -> bool:
+    return re.sub(r"(\+|-only|-or-later)$", "", identifier.lower()) in GRADES
+
+
 def _expression_after(raw: bytes, last_word: int) -> str:
-    """The raw text behind the word of that number, as far as it can be an expression; to the line's end at most."""
+    """The expression behind the word of that number and its colon, as far as it goes; tokens joined by blanks."""
     plain = np.frombuffer(raw.translate(_WORDS), np.uint8) != 32
     ends = np.flatnonzero(plain & ~np.append(plain[1:], False)) + 1
-    text = _EXPRESSION.match(raw, int(ends[last_word]))[1].decode()
-    # an identifier follows; words of prose behind it are not part of the expression
-    kept, operand_next, depth = [], True, 0
-    for token in _TOKEN.findall(text):
-        if token == "(" and operand_next:
+    text = raw[int(ends[last_word]) :].decode()
+    colon = _COLON.match(text)
+    at = colon.end() if colon else len(text)
+    kept, operand_next, depth, loose = [], True, 0, False
+    while True:
+        gap = _GAP.match(text, at)
+        token = _TOKEN.match(text, gap.end())
+        if token is None:
+            break
+        word, next_line = token[0], "\n" in gap[0]
+        if word == "(" and operand_next:
             depth += 1
-        elif token == ")" and depth and not operand_next:
+        elif word == ")" and depth and not operand_next:
             depth -= 1
-        elif token.lower() in _RANK and not operand_next:
-            operand_next = True
-        elif token not in "()" and token.lower() not in _RANK and operand_next:
-            operand_next = False
+        elif word.lower() in _RANK and not operand_next:
+            if next_line and not depth and not word.isupper():
+                break
+            operand_next, loose = True, not word.isupper()
+        elif word not in "()" and word.lower() not in _RANK and operand_next:
+            if (next_line and not kept) or (loose and not _is_known(word)):
+                break
+            operand_next = loose = False
         else:
             break
-        kept.append(token)
+        kept.append(word)
+        at = token.end()
+    if loose:
+        kept.pop()
     return " ".join(kept)
 
 
@@ -168,7 +201,7 @@ def scan_text(raw: bytes) -> dict:
             label, weight = NOTICES[p]
             weights[label] = max(weight, weights.get(label, 0.0))
     for _, _, postfix in found["expressions"]:
-        weights |= {x: TAG_WEIGHT for x in postfix if x not in _RANK}
+        weights |= dict.fromkeys(licences_of(postfix), TAG_WEIGHT)
     doubt = 1.0
     for x in sorted(weights):
         doubt *= 1.0 - weights[x]
