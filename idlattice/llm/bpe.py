@@ -3,22 +3,25 @@
 Boundaries are found without a regex: code points become classes by table, and a small automaton runs
 over the classes. Its transition functions form a finite monoid, so the states at all positions come
 from an associative scan: blocks compose their functions in step, block totals are scanned, and each
-block is replayed from its entry state. Slices between boundaries go through a bounded cache of merged
-pieces. Every id keeps the byte offset it starts at; decoding gathers the tokens' bytes by table.
+block is replayed from its entry state. The texts that a task holds at once are scanned as one, with a break between
+them, and equal ones once. Slices between boundaries go through a bounded cache of merged pieces. Every
+id keeps the byte offset it starts at; decoding gathers the tokens' bytes from one table to these offsets.
 
 Pieces: a contraction ('s 't 're 've 'm 'll 'd), letters, numbers or other signs with at most one blank
 before them, or white space, which leaves its last character to what follows.
 
-Defined cases: null or empty text has no tokens, digest of the empty string; unknown ids don't decode.
+Defined cases: null or empty text has no tokens, digest of the empty string; ids without a token decode to nothing;
+a tokenizer with another pattern is refused, as boundaries follow this one.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ from .common import Cache, map_texts, read
 
 #: Classes of code points. BLANK is U+0020; SPACE is other white space; QUOTE is the apostrophe.
 OTHER, LETTER, NUMBER, SPACE, BLANK, QUOTE = range(6)
+#: The pattern whose matches the automaton finds.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: What may follow the apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -51,12 +56,14 @@ def class_table() -> np.ndarray:
 # An apostrophe opens a piece (rather than continuing one) unless a blank or another sign stands before it.
 START, IN_LETTERS, IN_NUMBERS, IN_SIGNS, IN_SPACE, AFTER_BLANK, TAKE_ONE, TAKE_TWO, TAKEN = range(9)
 _STATES = 9
-# Symbols: the six classes, and the apostrophe before a one- or a two-letter ending.
-_QUOTE_ONE, _QUOTE_TWO = 6, 7
-_SYMBOLS = 8
+# Symbols: the six classes, the apostrophe before a one- or a two-letter ending, and the break between texts.
+_QUOTE_ONE, _QUOTE_TWO, _BREAK = 6, 7, 8
+_SYMBOLS = 9
 
 
 def _next_state(state: int, symbol: int) -> int:
+    if symbol == _BREAK:
+        return START
     if state == TAKE_TWO:
         return TAKE_ONE
     if state == TAKE_ONE:
@@ -120,17 +127,21 @@ def states_after(symbols: np.ndarray, block: int = 64) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-def piece_starts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Code points at which pieces start, and the byte offset of every code point (and of the end)."""
+def piece_starts(text: str, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Code points at which pieces start, and the byte offset of every code point (and of the end).
+
+    breaks: code points that stand between texts; each is a piece of its own.
+    """
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-    at = np.concatenate([[0], np.cumsum(width)])
     n = len(points)
+    at = np.zeros(n + 1, np.int32 if n < 1 << 29 else np.int64)
+    np.cumsum(1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000), out=at[1:])
     if n == 0:
         return np.zeros(0, np.int64), at
-    classes = class_table()[points]
-    symbols = classes.copy()
-    quotes = np.flatnonzero(classes == QUOTE)
+    symbols = class_table()[points]
+    wide = (symbols == SPACE) | (symbols == BLANK)
+    blank = symbols == BLANK
+    quotes = np.flatnonzero(symbols == QUOTE)
     if len(quotes):
         tail = np.concatenate([points, np.zeros(2, np.uint32)])
         one, two = tail[quotes + 1], tail[quotes + 2]
@@ -139,10 +150,15 @@ def piece_starts(text: str) -> tuple[np.ndarray, np.ndarray]:
         for ending in ENDINGS:
             if len(ending) == 2:
                 symbols[quotes[(one == ord(ending[0])) & (two == ord(ending[1]))]] = _QUOTE_TWO
+    ends = wide
+    if breaks is not None and len(breaks):
+        symbols[breaks] = _BREAK
+        ends = wide.copy()
+        ends[breaks] = True
+        wide[breaks] = blank[breaks] = False
     state = states_after(symbols)
     before = np.concatenate([[START], state[:-1]]).astype(np.uint8)
-    wide = np.isin(classes, (SPACE, BLANK))
-    follows = np.concatenate([wide[1:], [True]])  # white space or the end behind
+    follows = np.concatenate([ends[1:], [True]])  # white space or the end of a text behind
     # A run starts where its kind changes; a contraction's letters never start one.
     inside = (before == TAKE_ONE) | (before == TAKE_TWO)
     kind = np.array([0, 1, 2, 3, 4, 4, 5, 5, 6], np.uint8)
@@ -151,8 +167,12 @@ def piece_starts(text: str) -> tuple[np.ndarray, np.ndarray]:
     last = wide & ~follows
     start[last] = True
     # ... and a blank there carries what follows, so that run doesn't start anew.
-    carried = np.concatenate([[False], (last & (classes == BLANK))[:-1]])
-    start = (start & ~inside & ~carried) | (np.arange(n) == 0)
+    carried = np.concatenate([[False], (last & blank)[:-1]])
+    start &= ~(inside | carried)
+    start[0] = True
+    if breaks is not None and len(breaks):
+        start[breaks] = True
+        start[breaks[breaks + 1 < n] + 1] = True
     return np.flatnonzero(start), at
 
 
@@ -160,35 +180,46 @@ class BpeCodec:
     """Encoder and decoder over a rank file; one per Python worker."""
 
     def __init__(self, rank_file: str, pattern: str) -> None:
+        if pattern != PATTERN:
+            raise ValueError("the boundaries of this encoder follow another pattern")
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.cache = Cache(merge)
+        self.cache = Cache(lambda piece: array("i", merge(piece)).tobytes())
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.size = np.array(list(map(len, self.tokens)), np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        self.first = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.decimal = [str(k).encode() for k in range(len(self.tokens))]
 
-    def encode(self, texts: list[bytes]) -> list[list[int]]:
-        """Token ids of each text. The texts are scanned as one, with boundaries forced between them."""
-        return [list(chain.from_iterable(map(self.cache.__getitem__, pieces))) for pieces in self._pieces(texts)]
-
-    def _pieces(self, texts: list[bytes]) -> Iterator[list[bytes]]:
-        for raw in texts:
-            starts, at = piece_starts(raw.decode())
-            cuts = at[starts].tolist()
-            yield [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=False)]
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts in turn, and where each text's ids begin (and the end). The texts are scanned as one, with breaks between them."""
+        decoded = [x.decode() for x in texts]
+        breaks = (np.cumsum([len(x) + 1 for x in decoded]) - 1)[:-1]
+        starts, at = piece_starts("\n".join(decoded), breaks)
+        joined = b"\n".join(texts)
+        cuts = at[starts].tolist()
+        pieces = [joined[a:b] for a, b in zip(cuts, [*cuts[1:], len(joined)], strict=True)]
+        lists = list(map(self.cache.__getitem__, pieces))
+        own = np.ones(len(lists), bool)
+        own[np.searchsorted(starts, breaks)] = False
+        upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)) // 4 * own)])
+        ids = np.frombuffer(b"".join(compress(lists, own.tolist())), np.int32)
+        return ids, upto[np.concatenate([[0], np.searchsorted(starts, breaks), [len(lists)]])]
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Byte offset at which each token starts, and the end."""
         return np.concatenate([[0], np.cumsum(self.size[ids])])
 
-    def decode(self, ids: list[int]) -> bytes:
-        """Bytes of the tokens, gathered from one table."""
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """Bytes of the tokens, gathered from one table to their offsets."""
+        out = np.empty(int(offsets[-1]), np.uint8)
+        for a in range(0, len(ids), 1 << 18):
+            part, begin = ids[a : a + (1 << 18)], offsets[a : a + (1 << 18) + 1]
+            out[begin[0] : begin[-1]] = self.bytes[np.arange(begin[0], begin[-1]) + np.repeat(self.first[part] - begin[:-1], self.size[part])]
+        return out.tobytes()
 
 
 @lru_cache(2)
@@ -208,8 +239,9 @@ def encode_documents(docs: DataFrame, text: str = "text", tokenizer: tuple[str,
 
     def run(texts: list[bytes]) -> dict[str, pa.Array]:
         own = codec(*files)
-        ids = [np.array(x, np.int32) for x in own.encode(texts)]
-        return {"ids": pa.array(ids, pa.list_(pa.int32())), "offsets": pa.array([own.offsets(x) for x in ids], pa.list_(pa.int64()))}
+        ids, begin = own.encode(texts)
+        offsets = [own.offsets(ids[a:b]) for a, b in pairwise(begin.tolist())]
+        return {"ids": pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids)), "offsets": pa.array(offsets, pa.list_(pa.int64()))}
 
     return map_texts(docs, text, run, "ids array<int>, offsets array<long>", keep)
 
@@ -225,7 +257,8 @@ def decode_documents(encoded: DataFrame, ids: str = "ids", tokenizer: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(*files)
         for batch in batches:
-            made = [own.decode(x or []) for x in batch.column(at).to_pylist()]
+            lists = [np.array([k for k in x or () if k is not None and 0 <= k < len(own.tokens)], np.int64) for x in batch.column(at).to_pylist()]
+            made = [own.decode(x, own.offsets(x)) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*names, "decoded"])
 
     source = encoded.select(*[f"`{c}`" for c in names])
@@ -238,10 +271,16 @@ def round_trip(docs: DataFrame, text: str = "text", tokenizer: tuple[str, str] |
 
     def run(texts: list[bytes]) -> dict[str, pa.Array]:
         own = codec(*files)
-        encoded = own.encode(texts)
-        spelled = [hashlib.sha256(b" ".join(map(own.decimal.__getitem__, x))).hexdigest() for x in encoded]
-        decoded = [hashlib.sha256(own.decode(x)).hexdigest() for x in encoded]
-        return {"n_tokens": pa.array(list(map(len, encoded)), pa.int64()), "ids_sha256": pa.array(spelled, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+        number = {text: k for k, text in enumerate(dict.fromkeys(texts))}  # equal texts are worked on once
+        ids, begin = own.encode(list(number))
+        offsets = own.offsets(ids)
+        decoded = own.decode(ids, offsets)
+        spelled = list(map(own.decimal.__getitem__, ids.tolist()))
+        digest = lambda x: hashlib.sha256(x).hexdigest()
+        rows = [(b - a, digest(b" ".join(spelled[a:b])), digest(decoded[offsets[a] : offsets[b]])) for a, b in pairwise(begin.tolist())]
+        columns = zip(*[rows[number[text]] for text in texts], strict=True)
+        kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+        return {name: pa.array(column, kind) for (name, kind), column in zip(kinds.items(), columns, strict=True)}
 
     return map_texts(docs, text, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", keep)
 
