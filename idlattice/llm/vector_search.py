@@ -168,14 +168,16 @@ def usable(vector: str) -> Column:
 
 
 def _blocks(rows: DataFrame, size: int, count: int, quantizer: Quantizer | None) -> DataFrame:
-    """rows (id, v) -> (b, n, ids, vectors, packed, reach): blocks of at most ``size`` rows in order of id, as bytes."""
+    """rows (id, v) -> (part, n, ids, vectors, packed, reach): blocks of at most ``size`` rows in order of id, as bytes.
+
+    part: the block's partition, from 0 to ``count`` - 1; one has a block or two.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        seq, held, n = 0, [], 0
+        held, n = [], 0
 
         def made(table: pa.Table) -> pa.RecordBatch:
-            nonlocal seq
             ids = table.column("id").to_numpy()
             v = table.column("v").combine_chunks()
             v = (v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v)
@@ -184,8 +186,7 @@ def _blocks(rows: DataFrame, size: int, count: int, quantizer: Quantizer | None)
             ids, vectors = ids[order], vectors[order]
             codes = quantizer.packed(vectors) if quantizer else np.zeros((0, len(ids)), np.uint8)
             reach = quantizer.reach(vectors, codes).astype("<f8").tobytes() if quantizer else b""
-            seq += 1
-            return pa.RecordBatch.from_pydict({"b": pa.array([(part << 24) + seq], pa.int64()), "n": pa.array([len(ids)], pa.int32()), "ids": [ids.astype("<i8").tobytes()], "vectors": [vectors.astype("<f8").tobytes()], "packed": [codes.tobytes()], "reach": [reach]})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "n": pa.array([len(ids)], pa.int32()), "ids": [ids.astype("<i8").tobytes()], "vectors": [vectors.astype("<f8").tobytes()], "packed": [codes.tobytes()], "reach": [reach]})
 
         for batch in batches:
             held.append(batch)
@@ -197,7 +198,7 @@ def _blocks(rows: DataFrame, size: int, count: int, quantizer: Quantizer | None)
         if n:
             yield made(pa.Table.from_batches(held))
 
-    return rows.repartition(count).mapInArrow(run, "b long, n int, ids binary, vectors binary, packed binary, reach binary")
+    return rows.repartition(count).mapInArrow(run, "part long, n int, ids binary, vectors binary, packed binary, reach binary")
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
@@ -214,11 +215,11 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
     quantizer = Quantizer(dim).fit(np.array([v for v in picked if len(v) == dim]))
     valid = valid.where(F.size("v") == dim)
     total, asked = valid.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
-    blocks = materialize(_blocks(valid, block, max(1, -(-total // block)), quantizer), "vectors")
+    parts = max(1, -(-total // block))
+    blocks = materialize(_blocks(valid, block, parts, quantizer), "vectors")
     queries = _blocks(valid.where(is_query), QUERY_BLOCK, max(1, -(-asked // QUERY_BLOCK)), None).select(F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
-    numbers = [r["b"] for r in blocks.select("b").toLocalIterator()]
-    # every block of queries meets every block of rows: one number of a block each
-    met = queries.withColumn("b", F.explode(F.lit(numbers).cast("array<bigint>"))).join(blocks, "b")
+    # every block of queries meets every block of rows, wherever that stands
+    met = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))).join(blocks, "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
