@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, read, slices
+from .common import LONGEST, materialize, new_path, read, slices
 
 END_ID = 1
 #: Words that a worker keeps from one slice to the next.
@@ -66,6 +66,9 @@ class WordEncoder:
         self.letters = dict(enumerate(_byte_letters())) | {32: " "}
         self.words: dict[bytes, bytes] = {}
 
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
     def _learn(self, words: set[bytes]) -> list[bytes]:
         """Make all the words known; the new ones."""
         new = [w for w in words if w not in self.words]
@@ -78,7 +81,7 @@ class WordEncoder:
                 if "<|" not in one and _PLAIN.fullmatch(one):
                     plain.append(word)
                 else:
-                    self.words[word] = array("I", self.tokenizer.encode(one, add_special_tokens=False).ids).tobytes()
+                    self.words[word] = self._whole(one)
             text = b" ".join(plain).decode()
         if plain:
             parts = (_ASCII_PARTS if text.isascii() else self.split).findall(text.lower())
@@ -87,21 +90,23 @@ class WordEncoder:
             ends = np.flatnonzero(self.ends[ids]) + 1
             blank = np.array([x == " " for x in parts])
             upto = np.cumsum(~blank)
-            if len(ends) != upto[-1] or int(blank.sum()) != len(plain) - 1:
-                raise RuntimeError("pre-tokens and word ends differ")
+            if len(ends) != upto[-1] or int(blank.sum()) != len(plain) - 1:  # the model makes something else of them: word by word
+                self.words.update((w, self._whole(w.decode())) for w in plain)
+                return new
             cuts = (4 * ends[np.append(upto[blank], upto[-1]) - 1]).tolist()
             packed = ids.tobytes()
             self.words.update(zip(plain, [packed[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
         return new
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Packed ids of whole texts. A cache that is full keeps what it had before these texts."""
+        """Packed ids of whole texts. Long words are not kept; a cache that is full keeps what it had before these texts."""
         split = [[w.encode() for w in _SPLIT.findall(x.decode())] if any(map(x.__contains__, _WIDE_SPACES)) else x.split() for x in texts]
         new = self._learn(set(chain.from_iterable(split)))
         get = self.words.__getitem__
         packed = [b"".join(map(get, words)) for words in split]
-        if len(self.words) > WORDS_KEPT:
-            for w in new:
+        full = len(self.words) > WORDS_KEPT
+        for w in new:
+            if full or len(w) > LONGEST:
                 del self.words[w]
         return packed
 
