@@ -200,6 +200,8 @@ class BpeCodec:
         breaks = (np.cumsum([len(x) + 1 for x in decoded]) - 1)[:-1]
         starts, at = piece_starts("\n".join(decoded), breaks)
         joined = b"\n".join(texts)
+        if not joined:
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         cuts = at[starts].tolist()
         pieces = [joined[a:b] for a, b in zip(cuts, [*cuts[1:], len(joined)], strict=True)]
         lists = list(map(self.cache.__getitem__, pieces))
