@@ -172,7 +172,8 @@ def _ask_parts(texts: DataFrame, length: int, window: int) -> DataFrame:
             picked = sliding_argmin(hashes, window - length + 1)[at]
             new = np.concatenate([[True], picked[1:] != picked[:-1]])
             text, ha = text[new], hashes[picked[new]]
-            yield _asked(ha, np.zeros(len(ha), np.uint64), k1[rows][text], k2[rows][text], np.zeros(len(ha), bool), repeats)
+            copied = batch.column(batch.schema.get_field_index("copied")).to_numpy(zero_copy_only=False)[rows][text] if later else np.zeros(len(ha), bool)
+            yield _asked(ha, np.zeros(len(ha), np.uint64), k1[rows][text], k2[rows][text], copied, repeats)
 
     return texts.mapInArrow(run, _ASKED)
 
@@ -195,8 +196,8 @@ def _ask_windows(candidates: DataFrame, window: int) -> DataFrame:
     return candidates.select("number", "copied", "text", "hs", "prior").mapInArrow(run, _ASKED)
 
 
-def _repeated(asked: DataFrame) -> DataFrame:
-    """Of the questions, those whose hash was asked twice or more, or by a copied text; copied texts need no answer: (ha, k1, k2)."""
+def _repeated(asked: DataFrame, answer_copied: bool = True) -> DataFrame:
+    """Of the questions, those whose hash was asked twice or more, or by a copied text: (ha, k1, k2). At the last level copied texts need no answer."""
     dealt = asked.withColumn("deal", F.when(F.col("sure"), F.xxhash64("k1", "k2", "ha")).otherwise(F.col("ha")))
     placed = dealt.repartition("deal").sortWithinPartitions("ha", "hb")
     names = ["ha", "k1", "k2"]
@@ -212,7 +213,7 @@ def _repeated(asked: DataFrame) -> DataFrame:
             same = np.concatenate([[run_of == (ha[0], hb[0])], (ha[1:] == ha[:-1]) & (hb[1:] == hb[:-1])])
             twice = same.copy()
             twice[:-1] |= same[1:]
-            out = (twice | sure) & ~copied
+            out = twice | sure | copied if answer_copied else (twice | sure) & ~copied
             extra = [held] if same[0] and held is not None else []
             held = None
             run_of = (ha[-1], hb[-1])
@@ -255,7 +256,7 @@ def repeated_texts(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     if source is texts:  # the window is its own first level: every long text is a candidate
         distinct = texts.groupBy("k1", "k2").agg(F.any_value("text").alias("text"), (F.count(F.lit(1)) > 1).alias("copied"))
         source = materialize(distinct.withColumns({"hs": F.array().cast("array<bigint>"), "prior": F.lit(0), "number": F.monotonically_increasing_id()}), "candidates")
-    found = materialize(_repeated(_ask_windows(source, window)).groupBy(F.col("k1").alias("number")).agg(F.collect_list("k2").alias("places")), "places")
+    found = materialize(_repeated(_ask_windows(source, window), False).groupBy(F.col("k1").alias("number")).agg(F.collect_list("k2").alias("places")), "places")
     free_shuffles(spark)
     return _cut(source.select("number", "k1", "k2", "copied", "text").join(found, "number", "left").where(F.col("copied") | F.col("places").isNotNull()), window)
 
