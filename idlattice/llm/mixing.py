@@ -96,7 +96,8 @@ def mix(docs: DataFrame, size: str, source: str = "source", shuffle_by: list[str
         early = [((finish(F.lit(p)) < cut[0]) | ((finish(F.lit(p)) == cut[0]) & (F.col("turn") <= cut[1]))).cast("long") for p in range(max_repeats)]
         taken = sum(early[1:], early[0]) * F.col("size")
     found = rows.select(F.col("row").alias(row), F.col("words").alias("__source_size"), F.col("target").alias("__target"), taken.alias("__taken"))
-    return written.select(*[f"`{c}`" for c in kept], row).join(found, row).drop(row)
+    # as many rows as documents: a shuffle at every size, rather than a broadcast of a table that grows with them
+    return written.select(*[f"`{c}`" for c in kept], row).join(found.hint("merge"), row).drop(row)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -240,4 +240,5 @@ def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     least = marked.groupBy(F.col(fp).alias("fp")).agg(F.min(place).alias("p"))
     rooted = components(marked.select(F.col(fp).alias("fp")))
     kept = least.join(rooted, "fp").groupBy("root").agg(F.min("p").alias("p")).select(F.col("p.r").alias(row))
-    return marked.join(materialize(kept, "kept"), row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    # most rows stay: a shuffle at every size, rather than a broadcast of a table that grows with the documents
+    return marked.join(materialize(kept, "kept").hint("merge"), row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
