@@ -53,12 +53,13 @@ def is_country(code: Column) -> Column:
 
 
 @lru_cache(1)
-def _lookup_literal() -> tuple[str, ...]:
-    return tuple(x for pair in sorted(corrections().items()) for x in pair)
+def _lookup() -> str:
+    """All misread codes, each behind a semicolon with the code that it stands for."""
+    return "".join(f";{read}{code}" for read, code in sorted(corrections().items()))
 
 
 def correct_country(raw: Column) -> Column:
     """The code itself if valid, its only nearest valid code if there is one, else as it was read."""
     code = F.upper(F.trim(raw))
-    table = F.create_map(*map(F.lit, _lookup_literal()))
-    return F.when(F.length(code) != 3, raw).when(code.isin(CODES), code).otherwise(F.coalesce(F.try_element_at(table, code), raw))
+    at = F.instr(F.lit(_lookup()), F.concat(F.lit(";"), code))
+    return F.when(F.length(code) != 3, raw).when(code.isin(CODES), code).when(at > 0, F.substring(F.lit(_lookup()), at + 4, F.lit(3))).otherwise(raw)

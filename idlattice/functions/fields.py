@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that tell the class of a document, in order of precedence.
@@ -12,19 +12,20 @@ KEYWORDS = {
     "national_id": ("IDENTITY CARD", "NATIONAL ID", "AADHAAR", "CITIZEN", "DRIVING LICENCE", "IDENTITY NUMBER", "IDENTIFICATION", "ELECTION COMMISSION"),
 }
 #: Words of headings, never part of a person's name.
-HEADINGS = """
-GOVERNMENT GOVT INDIA BHARAT REPUBLIC STATE UNION AUTHORITY UNIQUE IDENTIFICATION ELECTION COMMISSION INCOME TAX DEPARTMENT
-TRANSPORT MINISTRY DIRECTORATE IDENTITY CARD NATIONAL AADHAAR AADHAR MERA PEHCHAN ENROLMENT ENROLLMENT RESIDENT CITIZEN
-DRIVING LICENCE LICENSE PERMANENT ACCOUNT NUMBER VOTER ELECTOR PHOTO SIGNATURE OFFICIAL HELP LINE WWW GOV IN NIC DOWNLOAD
-DATE MALE FEMALE GENDER SEX DOB YEAR BIRTH ADDRESS ISSUE EXPIRY VALID FATHER MOTHER HUSBAND WIFE
-""".split()
+HEADINGS = (
+    "GOVERNMENT", "GOVT", "INDIA", "BHARAT", "REPUBLIC", "STATE", "UNION", "AUTHORITY", "UNIQUE", "IDENTIFICATION", "ELECTION",
+    "COMMISSION", "INCOME", "TAX", "DEPARTMENT", "TRANSPORT", "MINISTRY", "DIRECTORATE", "IDENTITY", "CARD", "NATIONAL", "AADHAAR",
+    "AADHAR", "MERA", "PEHCHAN", "ENROLMENT", "ENROLLMENT", "RESIDENT", "CITIZEN", "DRIVING", "LICENCE", "LICENSE", "PERMANENT", "ACCOUNT",
+    "NUMBER", "VOTER", "ELECTOR", "PHOTO", "SIGNATURE", "OFFICIAL", "HELP", "LINE", "WWW", "GOV", "IN", "NIC", "DOWNLOAD", "DATE", "MALE",
+    "FEMALE", "GENDER", "SEX", "DOB", "YEAR", "BIRTH", "ADDRESS", "ISSUE", "EXPIRY", "VALID", "FATHER", "MOTHER", "HUSBAND", "WIFE",
+)
 DATE = r"([0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}|[0-9]{2}\s+[A-Za-z]{3,9}\s+[0-9]{4}|[0-9]{4}[/.-][0-9]{2}[/.-][0-9]{2})"
 #: Patterns of printed fields; each first group is the value, earlier patterns win.
 VISA_PATTERNS = {
     "visa_type": (r"(?:Visa\s*Type\s*/\s*Class|Type\s*/\s*Class|Visa\s*Type|Type\s*de\s*visa|Visa\s*Category|Category|Class)\s*[:\s]\s*([A-Za-z0-9/_-]+)", r"\b(?:Type|Class)\s*:\s*([A-Za-z0-9/_-]+)"),
-    "entries": (r"(?:Entries|No\s*of\s*Entries|Number\s*of\s*Entries)[:\s]+(MULTIPLE|SINGLE|DOUBLE|MULT|\bM\b|\bS\b|\bD\b|\b[12]\b)", r"\bEntries[:\s]+([A-Za-z0-9]+)"),
-    "issue_date": (r"(?:Issue\s*Date|Date\s*of\s*Issue|Issued|Issued\s*On)[:\s]+" + DATE,),
-    "expiry_date": (r"(?:Expiry\s*Date|Date\s*of\s*Expiry|Expiration\s*Date|Expires\s*On|Valid\s*Until|Expires)[:\s]+" + DATE,),
+    "entries": (r"(?:Entries|No\s*of\s*Entries|Number\s*of\s*Entries|Nombre\s*d'\s*entrées|Entries\s*/\s*Entrées)[:\s]+(MULTIPLE|SINGLE|DOUBLE|MULT|\bM\b|\bS\b|\bD\b|\b[12]\b)", r"\bEntries[:\s]+([A-Za-z0-9]+)"),
+    "issue_date": (r"(?:Issue\s*Date|Date\s*of\s*Issue|Issued|Date\s*d'\s*émission|Issued\s*On)[:\s]+" + DATE,),
+    "expiry_date": (r"(?:Expiry\s*Date|Date\s*of\s*Expiry|Expiration\s*Date|Expires\s*On|Valid\s*Until|Date\s*d'\s*expiration|Expires)[:\s]+" + DATE,),
     "passport_number": (r"(?:Passport\s*No|Passport\s*Number|Pass\s*No|Passport\s*/\s*Passeport|Passeport\s*No)[:\s]+([A-Z0-9]{7,12})",),
     "visa_number": (r"(?:Visa\s*No|Visa\s*Number|Control\s*Number|Document\s*No|Visa\s*#)[:\s]+([A-Z0-9]{7,14})", r"\bControl\s*Number[:\s]+([0-9]{8,14})"),
     "name": (r"(?:Name|Full\s*Name|Given\s*Name|Surname|Bearer|Holder)[:\s]+([A-Za-z\s.'-]{2,50})(?:\n|$)",),
@@ -49,14 +50,16 @@ ID_PATTERNS = {
     "gender": (r"(?:Gender|Sex|Gender\s*/\s*Sex|Sex\s*/\s*Gender)[:\s]+(MALE|FEMALE|TRANSGENDER|OTHER|\bM\b|\bF\b)",),
     "birth": (r"(?:DOB|Date of Birth|Birth Date|Birth|D\.O\.B|Year of Birth|YOB)[:\s/]+([0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}|[0-9]{4}[/.-][0-9]{2}[/.-][0-9]{2}|[0-9]{1,2}\s+[A-Za-z]{3,9}\s+[0-9]{4}|[0-9]{4})",),
 }
-_NOT_A_TYPE = ("/", "-", "_", "CLASS", "CATEGORY", "PASSPORT", "VISA", "NUMBER", "DATE", "CONTROL")
+#: Words that are headings where a type or a name is looked for.
+NOT_A_TYPE = ("/", "-", "_", "CLASS", "CATEGORY", "PASSPORT", "VISA", "NUMBER", "DATE", "CONTROL")
+NOT_A_NAME = ("VISA", "UNITED STATES", "CONTROL NUMBER")
 
 
 def first_match(text: Column, patterns: tuple[str, ...], ignore_case: bool = True) -> Column:
-    """Trimmed first group of the first pattern that matches, else null."""
-    flag = "(?i)" if ignore_case else ""
-    found = [F.when(text.rlike(flag + p), F.trim(F.regexp_replace(F.regexp_extract(text, flag + p, 1), r"^\s+|\s+$", ""))) for p in patterns]
-    return F.coalesce(*found)
+    """Trimmed first group of the first pattern that matches, else null. No pattern's group may be empty."""
+    flag = "(?iu)" if ignore_case else ""
+    found = F.coalesce(*[F.nullif(F.regexp_extract(text, flag + p, 1), F.lit("")) for p in patterns])
+    return F.regexp_replace(found, r"^\s+|\s+$", "")
 
 
 def classify(text: Column, mrz_format: Column, document_code: Column, detected: Column) -> Column:
@@ -96,36 +99,44 @@ def is_visa_date(value: Column) -> Column:
     return F.coalesce(F.when(value.rlike(a), fits(a, 1, 2, 3)).when(value.rlike(b), fits(b, 3, 2, 1)).when(value.rlike(c), fits(c, 1, 0, 3)), F.lit(False))
 
 
-def visa_field(text: Column, name: str) -> Column:
-    found = first_match(text, VISA_PATTERNS[name])
-    if name == "visa_type":
-        parts = [F.upper(first_match(text, (p,))) for p in VISA_PATTERNS[name]]
-        return F.coalesce(*[F.when(~p.isin(*_NOT_A_TYPE), p) for p in parts])
-    if name == "entries":
-        return F.coalesce(*[entries(first_match(text, (p,))) for p in VISA_PATTERNS[name]])
-    if name in ("issue_date", "expiry_date"):
-        return F.when(is_visa_date(found), found)
-    if name == "name":
-        return F.when(~F.upper(found).isin("VISA", "UNITED STATES", "CONTROL NUMBER"), found)
-    return F.upper(found) if name in ("passport_number", "visa_number") else found
+def with_visa_fields(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the printed fields of a visa, null where there is none. Each pattern is searched once, then judged."""
+    names = [(n, k) for n, patterns in VISA_PATTERNS.items() for k in range(len(patterns)) if n in ("visa_type", "entries") or k == 0]
+    single = {n for n in VISA_PATTERNS if n not in ("visa_type", "entries")}
+    found = df.select("*", *[first_match(F.col(text), VISA_PATTERNS[n] if n in single else VISA_PATTERNS[n][k : k + 1]).alias(f"__{n}{k}") for n, k in names])
+    of = lambda n: F.col(f"__{n}0")
+    types = [F.upper(F.col(f"__visa_type{k}")) for k in range(len(VISA_PATTERNS["visa_type"]))]
+    made = {
+        "visa_type": F.coalesce(*[F.when(~x.isin(*NOT_A_TYPE), x) for x in types]),
+        "entries": F.coalesce(*[entries(F.col(f"__entries{k}")) for k in range(len(VISA_PATTERNS["entries"]))]),
+        "issue_date": F.when(is_visa_date(of("issue_date")), of("issue_date")), "expiry_date": F.when(is_visa_date(of("expiry_date")), of("expiry_date")),
+        "passport_number": F.upper(of("passport_number")), "visa_number": F.upper(of("visa_number")),
+        "name": F.when(~F.upper(of("name")).isin(*NOT_A_NAME), of("name")), "issuing_authority": of("issuing_authority"),
+    }
+    return found.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *[c.alias(n) for n, c in made.items()])
 
 
-def passport_field(text: Column, name: str) -> Column:
-    if name == "name":
-        both = F.concat_ws(" ", passport_field(text, "surname"), passport_field(text, "given_names"))
-        return F.when(passport_field(text, "surname").isNotNull() & passport_field(text, "given_names").isNotNull(), both).otherwise(first_match(text, PASSPORT_PATTERNS["full_name"]))
-    found = first_match(text, PASSPORT_PATTERNS[name])
-    if name == "sex":
-        raw = F.upper(found)
-        return F.when(raw.contains("M") & ~raw.contains("F"), "M").when(raw.contains("F"), "F").when(raw.isNotNull(), "X")
-    return F.upper(found) if name in ("passport_number", "nationality") else found
+def with_passport_fields(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the printed fields of a passport, null where there is none."""
+    found = df.select("*", *[first_match(F.col(text), p).alias(f"__{n}") for n, p in PASSPORT_PATTERNS.items()])
+    of = lambda n: F.col(f"__{n}")
+    sex = F.upper(of("sex"))
+    both = F.concat(of("surname"), F.lit(" "), of("given_names"))
+    made = {
+        "passport_number": F.upper(of("passport_number")), "date_of_birth": of("date_of_birth"), "date_of_expiry": of("date_of_expiry"), "surname": of("surname"), "given_names": of("given_names"),
+        "name": F.coalesce(both, of("full_name")), "sex": F.when(sex.contains("M") & ~sex.contains("F"), "M").when(sex.contains("F"), "F").when(sex.isNotNull(), "X"), "nationality": F.upper(of("nationality")),
+    }
+    return found.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *[c.alias(n) for n, c in made.items()])
 
 
-def id_number(text: Column) -> Column:
-    """Grouped twelve digits, a labelled number, five letters-four digits-letter, then any word with enough digits."""
-    account = F.when(text.rlike(r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"), F.regexp_extract(text, r"\b([A-Z]{5}[0-9]{4}[A-Z])\b", 1))
-    generic = r"\b([A-Z]{1,3}[0-9]{6,10}|[0-9]{8,14}|(?=[A-Z0-9]*[0-9])[A-Z0-9]{8,14})\b"
-    return F.coalesce(first_match(text, ID_PATTERNS["grouped"]), first_match(text, ID_PATTERNS["labelled"]), account, F.when(text.rlike(generic), F.regexp_extract(text, generic, 1)))
+GROUPED, BARE_ACCOUNT, GENERIC_NUMBER = r"\b([0-9]{4}\s[0-9]{4}\s[0-9]{4})\b", r"\b([A-Z]{5}[0-9]{4}[A-Z])\b", r"\b([A-Z]{1,3}[0-9]{6,10}|[0-9]{8,14}|(?=[A-Z0-9]*[0-9])[A-Z0-9]{8,14})\b"
+
+
+def id_number(text: Column, grouped_elsewhere: Column | None = None) -> Column:
+    """Grouped twelve digits (or those found elsewhere), a labelled number, five letters-four digits-letter, then any word with enough digits."""
+    exact = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    elsewhere = [] if grouped_elsewhere is None else [grouped_elsewhere]
+    return F.coalesce(exact(GROUPED), *elsewhere, first_match(text, ID_PATTERNS["labelled"]), exact(BARE_ACCOUNT), exact(GENERIC_NUMBER))
 
 
 def is_date_candidate(value: Column, context: Column, number: Column) -> Column:
@@ -180,7 +191,7 @@ def name_score(text: Column, confidence: Column, least: float = 0.50) -> Column:
     clean = F.trim(text)
     words = F.filter(F.split(clean, r"\s+"), lambda w: w != "")
     letters = F.length(F.regexp_replace(clean, "[^A-Za-z]", ""))
-    heading = F.exists(words, lambda w: F.regexp_replace(F.upper(w), "[^A-Z]", "").isin(HEADINGS))
+    heading = F.exists(words, lambda w: F.regexp_replace(F.upper(w), "[^A-Z]", "").isin(*HEADINGS))
     stems = F.upper(clean).rlike("GOVERNMENT|AUTHORITY|AADHAAR|IDENTITY|CARD|REPUBLIC|ELECTION|COMMISSION|DIRECTORATE")
     never = (F.length(clean) < 3) | (F.length(clean) > 50) | clean.rlike("[0-9]") | (letters / F.greatest(F.lit(1), F.length(clean)) < 0.70) | heading | stems
     n = F.size(words)

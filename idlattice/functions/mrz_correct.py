@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mrz_digits import FIELD_CONFUSIONS, WEIGHTS, char_at, char_value, digit_matches, is_valid_digit, month_and_day_fit, weighted_sum
+from .mrz_digits import FIELD_CONFUSIONS, WEIGHTS, char_value, digit_matches, is_valid_digit, month_and_day_fit, weighted_sum
 
 CORRECTION = "array<struct<line:int,position:int,from_char:string,to_char:string,field:string>>"
 
@@ -47,19 +47,23 @@ def correct_fields(df: DataFrame, line: str, fields: tuple[CheckedField, ...]) -
         df = df.withColumns({f"__{f.key}v": F.substring(line, f.begin + 1, f.width), f"__{f.key}d": F.substring(line, f.begin + f.width + 1, 1)})
     df = df.withColumns({k: v for f in fields for k, v in ((f"__{f.key}r", F.translate(c(f, "d"), *FIELD_CONFUSIONS)), (f"__{f.key}f", F.translate(c(f, "v"), *FIELD_CONFUSIONS)), (f"__{f.key}t", weighted_sum(c(f, "v"), f.width)))})
 
-    def single(f: CheckedField, i: int) -> Column:
-        old, new = char_at(c(f, "v"), i), char_at(c(f, "f"), i)
-        changed = F.overlay(c(f, "v"), new, F.lit(i + 1), F.lit(1))
-        right = digit_matches(c(f, "t") + (char_value(new) - char_value(old)) * WEIGHTS[i % 3], changed, c(f, "r"))
-        return F.when((old != new) & right & (month_and_day_fit(changed) if f.dated else F.lit(True)), changed)
+    def single(f: CheckedField) -> Column:
+        """Right values with one character read through the confusions, by the change that it makes to the sum."""
 
-    steps = {}
-    for f in fields:
-        fits = month_and_day_fit if f.dated else (lambda v: F.lit(True))
-        steps[f"__{f.key}one"] = F.filter(F.array(*[single(f, i) for i in range(f.width)]), lambda x: x.isNotNull())
-        steps[f"__{f.key}asis"] = digit_matches(c(f, "t"), c(f, "v"), c(f, "r")) & fits(c(f, "v"))
-        steps[f"__{f.key}whole"] = (c(f, "f") != c(f, "v")) & is_valid_digit(c(f, "f"), c(f, "r"), f.width) & fits(c(f, "f"))
-    df = df.withColumns(steps)
+        def at(i: Column) -> Column:
+            old, new = F.substring(c(f, "v"), i + 1, F.lit(1)), F.substring(c(f, "f"), i + 1, F.lit(1))
+            changed = F.overlay(c(f, "v"), new, i + 1, F.lit(1))
+            weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), i % 3 + 1)
+            right = digit_matches(c(f, "t") + (char_value(new) - char_value(old)) * weight, changed, c(f, "r"))
+            return F.when((old != new) & right & (month_and_day_fit(changed) if f.dated else F.lit(True)), changed)
+
+        return F.filter(F.transform(F.sequence(F.lit(0), F.lit(f.width - 1)), at), lambda x: x.isNotNull())
+
+    fits = {f: month_and_day_fit if f.dated else (lambda v: F.lit(True)) for f in fields}
+    df = df.withColumns({f"__{f.key}asis": digit_matches(c(f, "t"), c(f, "v"), c(f, "r")) & fits[f](c(f, "v")) for f in fields})
+    confusable = {f: ~c(f, "asis") & (c(f, "f") != c(f, "v")) for f in fields}
+    none = F.array().cast("array<string>")
+    df = df.withColumns({k: v for f in fields for k, v in ((f"__{f.key}one", F.when(confusable[f], single(f)).otherwise(none)), (f"__{f.key}whole", confusable[f] & is_valid_digit(c(f, "f"), c(f, "r"), f.width) & fits[f](c(f, "f"))))})
     df = df.withColumns({f"__{f.key}p": F.when(c(f, "asis"), c(f, "v")).when(F.size(c(f, "one")) == 1, F.get(c(f, "one"), F.lit(0))).when((F.size(c(f, "one")) == 0) & c(f, "whole"), c(f, "f")) for f in fields})
     df = df.withColumns({k: v for f in fields for k, v in ((f"__{f.key}w", F.coalesce(c(f, "p"), c(f, "v"))), (f"__{f.key}c", F.when(c(f, "p").isNotNull(), c(f, "r")).otherwise(c(f, "d"))))})
     df = df.withColumns({f"__{f.key}log": F.concat(differences(f.line, f.begin + f.width, c(f, "d"), c(f, "c"), 1, f"{f.name}_check_digit"), differences(f.line, f.begin, c(f, "v"), c(f, "w"), f.width, f.name)) for f in fields})

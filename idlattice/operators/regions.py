@@ -30,18 +30,22 @@ def value_confidence(values: DataFrame, regions: DataFrame, value: str = "value"
     return values.join(hits, ["doc_id", value], "left").withColumn("confidence", F.coalesce("__r.confidence", F.lit(default))).drop("__r")
 
 
-def spatial_values(regions: DataFrame, label: str, pattern: str, card: bool = False) -> DataFrame:
-    """doc_id, value, confidence: the value in, right of or below the first label that has one.
+def spatial_fields(regions: DataFrame, fields: dict[str, tuple[str, str]], card: bool = False) -> DataFrame:
+    """doc_id, field, value, confidence: for each field (label pattern, value pattern) the value in, right of or below the first label that has one.
 
     card: the wider tolerances of identity cards. Labels are tried top down; a value inside the label wins, then
-    the nearest to the right on the same line, then the nearest below.
+    the nearest to the right on the same line, then the nearest below. All fields share one join.
     """
     order = Window.partitionBy("doc_id").orderBy("y1", "x1", "ordinal", "text", "confidence")
     placed = regions.withColumn("place", F.row_number().over(order))
-    found = lambda c: F.trim(F.regexp_extract(c, pattern, 1))
-    labels = placed.where(F.trim("text").rlike(f"(?i){label}")).select("doc_id", F.col("place").alias("label_place"), F.trim("text").alias("label_text"), F.col("confidence").alias("label_confidence"), *[F.col(c).alias(f"l{c}") for c in ("x1", "y1", "x2", "y2")])
-    inline = labels.where(F.col("label_text").rlike(pattern) & (found(F.col("label_text")) != F.col("label_text"))).select("doc_id", "label_place", F.lit(0).alias("way"), F.lit(0.0).alias("distance"), F.col("label_place").alias("place"), found(F.col("label_text")).alias("value"), F.col("label_confidence").alias("confidence"))
-    others = labels.join(placed.where(F.col("text").rlike(pattern)), "doc_id").where(F.col("place") != F.col("label_place"))
+    found = lambda c, pattern: F.trim(F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")))
+    each = lambda make: F.inline(F.filter(F.array(*[make(name, *pair) for name, pair in fields.items()]), lambda s: s["field"].isNotNull()))
+    text = F.trim("text")
+    labels = placed.select("doc_id", F.col("place").alias("label_place"), text.alias("label_text"), F.col("confidence").alias("label_confidence"), *[F.col(c).alias(f"l{c}") for c in ("x1", "y1", "x2", "y2")],
+                           each(lambda name, label, value: F.struct(F.when(text.rlike(f"(?i){label}"), F.lit(name)).alias("field"), found(text, value).alias("own"))))
+    values = placed.select("doc_id", "place", "confidence", "x1", "y1", "x2", "y2", each(lambda name, label, value: F.struct(F.when(text.rlike(value), F.lit(name)).alias("field"), found(text, value).alias("value"))))
+    inline = labels.where(F.col("own") != F.col("label_text")).select("doc_id", "field", "label_place", F.lit(0).alias("way"), F.lit(0.0).alias("distance"), F.col("label_place").alias("place"), F.col("own").alias("value"), F.col("label_confidence").alias("confidence"))
+    others = labels.join(values, ["doc_id", "field"]).where(F.col("place") != F.col("label_place"))
     h = F.col("ly2") - F.col("ly1")
     shift = F.abs((F.col("y1") + F.col("y2")) / 2.0 - (F.col("ly1") + F.col("ly2")) / 2.0)
     if card:
@@ -50,12 +54,17 @@ def spatial_values(regions: DataFrame, label: str, pattern: str, card: bool = Fa
     else:
         right = (shift <= F.greatest(F.lit(18.0), h * 0.9)) & (F.col("x1") >= F.col("lx1") + 5)
         below = (F.col("y1") >= F.col("ly1")) & (F.col("y1") - F.col("ly2") <= F.greatest(F.lit(35.0), h * 2.0)) & (F.col("x1") <= F.col("lx2") + 80) & (F.col("x2") >= F.col("lx1") - 40)
+    # a region on both ways stands for the right one, which wins anyway
     way = F.when(right, 1).when(below, 2)
     distance = F.when(right, F.col("x1") - F.col("lx2")).otherwise(F.col("y1") - F.col("ly2")).cast("double")
-    both = right & below  # such a region also stands for the way below, but the way to the right wins anyway
-    near = others.withColumn("way", way).where(F.col("way").isNotNull() | both).select("doc_id", "label_place", "way", distance.alias("distance"), "place", found(F.col("text")).alias("value"), "confidence")
-    first = Window.partitionBy("doc_id").orderBy("label_place", "way", "distance", "place")
-    return inline.unionByName(near).withColumn("n", F.row_number().over(first)).where("n = 1").select("doc_id", "value", "confidence")
+    near = others.withColumn("way", way).where("way is not null").select("doc_id", "field", "label_place", "way", distance.alias("distance"), "place", "value", "confidence")
+    first = F.min(F.struct("label_place", "way", "distance", "place", "value", "confidence")).alias("f")
+    return inline.unionByName(near).groupBy("doc_id", "field").agg(first).select("doc_id", "field", F.col("f.value").alias("value"), F.col("f.confidence").alias("confidence"))
+
+
+def spatial_values(regions: DataFrame, label: str, pattern: str, card: bool = False) -> DataFrame:
+    """``spatial_fields`` of one field: doc_id, value, confidence."""
+    return spatial_fields(regions, {"value": (label, pattern)}, card).drop("field")
 
 
 def grouped_lines(regions: DataFrame, threshold: float = 16.0) -> DataFrame:
