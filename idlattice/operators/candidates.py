@@ -14,6 +14,24 @@ LEAST_BEST = 80.0
 KEEP = 8
 
 
+def candidate_sources(documents: DataFrame, passes: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """All texts in which a zone is looked for: doc_id, source_ordinal, source, text.
+
+    passes (doc_id, pass_no, source, text) come first, in their order, then the whole text of documents (doc_id, text) and
+    the recognised lines (doc_id, ordinal, text) joined by line ends. Blank passes and texts are none.
+    """
+    whole = documents.select("doc_id", F.lit(1 << 30).alias("source_ordinal"), F.lit("general_ocr").alias("source"), F.trim("text").alias("text"))
+    found = whole
+    if passes is not None:
+        named = F.coalesce("source", F.concat(F.lit("mrz_pass_"), F.col("pass_no") + 1))
+        found = found.unionByName(passes.select("doc_id", F.col("pass_no").cast("int").alias("source_ordinal"), named.alias("source"), F.trim("text").alias("text")))
+    found = found.where("text != ''")
+    if lines is not None:
+        joined = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("l"))
+        found = found.unionByName(joined.select("doc_id", F.lit((1 << 30) + 1).alias("source_ordinal"), F.lit("general_ocr_lines").alias("source"), F.array_join("l.text", "\n").alias("text")))
+    return found
+
+
 def candidate_groups(sources: DataFrame) -> DataFrame:
     """sources (doc_id, source_ordinal, source, text) -> groups of neighbouring lines of twelve or more characters.
 
@@ -62,11 +80,12 @@ def parsed_candidates(groups: DataFrame) -> DataFrame:
     """
     shaped = groups.withColumns({f"n{k}": normalize_line(F.col(f"line{k}")) for k in (1, 2, 3)}).withColumn("fmt", guess_format(F.col("n1"), F.col("n2"), F.col("n3")))
     shaped = settled(shaped, "groups")
-    common = ("format", "valid_format", "line1", "line2", "document_code", "document_number", "nationality", "surname", "given_names", "number_ok", "birth_ok", "expiry_ok", "personal_ok", "composite_ok", "state_valid", "nationality_valid", "overall_valid")
+    common = ("format", "valid_format", "line1", "line2", "document_code", "document_number", "nationality", "surname", "given_names", "issuing_state", "date_of_birth", "sex", "date_of_expiry", "optional", "number_ok", "birth_ok", "expiry_ok", "personal_ok", "composite_ok", "state_valid", "nationality_valid", "overall_valid")
     found = None
-    seen = {r["fmt"] for r in shaped.select("fmt").distinct().collect()}  # five at most
+    # five formats at most; only those that occur are planned, and where none does the passport's parser gives the columns
+    seen = {r["fmt"] for r in shaped.where("fmt is not null").select("fmt").distinct().collect()} or {"TD3"}
     for kind, width, n in (("TD1", 30, 3), ("MRVA", 44, 2), ("MRVB", 36, 2), ("TD2", 36, 2), ("TD3", 44, 2)):
-        if kind not in seen and (kind != "TD3" or seen):
+        if kind not in seen:
             continue
         mine = shaped.where(F.col("fmt") == kind).withColumns({f"p{k}": F.rpad(f"n{k}", width, "<") for k in range(1, n + 1)})
         rows = parse(mine, kind, [f"p{k}" for k in range(1, n + 1)]).select(*groups.columns, F.struct(*[F.col(f"mrz.{c}").alias(c) for c in common]).alias("mrz"))
@@ -109,3 +128,17 @@ def candidate_debug(scored: DataFrame, keep: int = KEEP) -> DataFrame:
     """Per document: number of candidates and the first ``keep`` of them."""
     counts = scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("candidate_count"), F.array_sort(F.collect_list(F.when(F.col("rank") <= keep, F.struct("rank", "source", F.round("score", 2).alias("score"), "mrz.format")))).alias("top"))
     return counts
+
+
+def zones(documents: DataFrame, scored: DataFrame) -> DataFrame:
+    """One row a document: doc_id, detected, format, document_code, fields map, line1, line2, overall_valid, score, candidate_count.
+
+    fields are empty where no candidate is good enough. Filled fields only are in the map.
+    """
+    counts = scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("candidate_count"))
+    names = ("document_number", "nationality", "surname", "given_names", "issuing_state", "date_of_birth", "sex", "date_of_expiry", "optional")
+    filled = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit("personal_number" if n == "optional" else n), F.col(f"mrz.{n}").alias("v")) for n in names]), lambda e: F.coalesce(e["v"], F.lit("")) != ""))
+    best = best_candidates(scored).select("doc_id", "mrz.format", "mrz.document_code", filled.alias("fields"), F.col("mrz.line1").alias("line1"), F.col("mrz.line2").alias("line2"), F.col("mrz.overall_valid").alias("overall_valid"), F.round("score", 2).alias("score"), F.lit(True).alias("found"))
+    met = documents.select("doc_id").join(counts, "doc_id", "left").join(best, "doc_id", "left")
+    empty = F.create_map().cast("map<string,string>")
+    return met.select("doc_id", F.coalesce("found", F.lit(False)).alias("detected"), "format", "document_code", F.coalesce("fields", empty).alias("fields"), "line1", "line2", "overall_valid", "score", F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"))
