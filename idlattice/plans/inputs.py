@@ -112,6 +112,9 @@ from (select o.*, c.c_custkey, substr('{COUNTRIES}', cast(c.c_nationkey % 25 as
     "samples": """
 select l.doc_id, l.toxic = 1 as positive, cast((l.doc_id*37 % 100)/100.0 as double) as score, case when l.doc_id*37 % 100 < 30 then 'LOW' when l.doc_id*37 % 100 < 65 then 'MEDIUM' else 'HIGH' end as level from labels l""",
 }
+SQL["documents_src"] = f"""
+select k as doc_id, text, kind < 4 as detected, case kind when 0 then 'TD3' when 1 then 'MRVA' when 2 then 'TD1' end as format, case kind when 0 then 'P' when 1 then 'V' when 2 then 'I' else 'Q' end as document_code,
+ mrz_number, mrz_name, cast(null as string) as requested from ({SQL['ocr_text']}) o"""
 SQL["candidate_src"] = f"""
 select k as doc_id, s as source_ordinal, 'pass_'||cast(s as string) as source, case s when 0 then 'PASSPORT'||chr(10)||line1||chr(10)||line2 when 1 then line1||chr(10)||'noise artefact line'||chr(10)||line2 else substr(line1,1,30)||chr(10)||substr(line2,1,38)||chr(10)||'short' end as text
 from ({SQL['passport_src']}) p cross join (select 0 as s union all select 1 as s union all select 2 as s) n"""

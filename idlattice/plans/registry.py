@@ -14,22 +14,13 @@ from ..functions.mrz_lines import clean_name, normalize_line
 from ..functions.mrz_parse import parse
 from ..operators import candidates, evaluation, faces, regions, screening, tamper
 from ..streaming import events
-from . import mrz_sql
-from .inputs import SQL, source
+from . import mrz_sql, printed, whole
+from .base import ORACLE_SQL, QUERIES, register, register_table
+from .inputs import SQL
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 AS_OF = "2024-06-01"
 
 
-def register(name: str, input_name: str, make: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
-    """A query over one derived input; in its SQL {src} stands for that input."""
-    QUERIES[name] = lambda spark, sf_dir: make(source(spark, sf_dir, input_name))
-    if sql is not None:
-        ORACLE_SQL[name] = sql.replace("{src}", f"({SQL[input_name]}) src")
-
-
 # --- characters and lines ---------------------------------------------------------------------
 
 register("mrz_check_digit", "passport_src", lambda d: d.select("k", check_digit(F.col("num"), 9).cast("int").alias("number_digit"), check_digit(F.concat("surname", F.lit("<"), "given")).cast("int").alias("name_digit")),
@@ -73,136 +64,10 @@ register("mrz_candidate_score", "candidate_src", lambda d: candidates.scored_can
 register("mrz_best_candidate", "candidate_src", lambda d: candidates.best_candidates(candidates.scored_candidates(d)).select("doc_id", "source", F.col("mrz.document_number").alias("document_number"), F.col("mrz.overall_valid").alias("overall_valid"), F.round("score", 2).alias("score")))
 register("mrz_top8_debug", "candidate_src", lambda d: candidates.candidate_debug(candidates.scored_candidates(d)).select("doc_id", "candidate_count", F.to_json("top").alias("top")))
 
-# --- fields -----------------------------------------------------------------------------------
-
-_UP = "upper(text)"
-
-
-def _has(words: tuple[str, ...]) -> str:
-    return "(" + " or ".join(f"instr({_UP},'{w}')>0" for w in words) + ")"
-
-
-_CLASS = "case " + " ".join(f"when {_has(w)} then '{k}'" for k, w in fields.KEYWORDS.items()) + " else 'national_id' end"
-register("doc_classify", "ocr_text", lambda d: d.select("k", fields.classify(F.col("text"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False)).alias("c")).select("k", "c.document_type", "c.confidence"),
-         f"select k, {_CLASS} as document_type, cast(case when {' or '.join(_has(w) for w in fields.KEYWORDS.values())} then 0.92 else 0.5 end as double) as confidence from {{src}}")
-
-
-def _re(pattern: str) -> str:
-    return pattern.replace("'", "''")
-
-
-def _first(patterns: tuple[str, ...], text: str = "text") -> str:
-    """DuckDB: trimmed first group of the first pattern that matches."""
-    return "coalesce(" + ",".join(f"case when regexp_matches({text},'(?i){_re(p)}') then regexp_replace(regexp_extract({text},'(?i){_re(p)}',1),'^\\s+|\\s+$','','g') end" for p in patterns) + ")"
-
-
-def _entries_sql(e: str) -> str:
-    s = f"upper(trim({e}))"
-    return f"case when {s}='' then null when {s} in ('MULTIPLE','MULT','M','MULTIPLE/MULTIPLE','M/M') then 'MULTIPLE' when {s} in ('SINGLE','S','ONE','1') then 'SINGLE' when {s} in ('DOUBLE','D','TWO','2') then 'DOUBLE' when regexp_full_match({s},'[0-9]+') or length({s})<=10 then {s} end"
-
-
-def _num(e: str, p: str, g: int) -> str:
-    return f"try_cast(regexp_extract({e},'{p}',{g}) as int)"
-
-
-def _visa_date_sql(e: str) -> str:
-    a, b, c = "^([0-9]{2})[/.-]([0-9]{2})[/.-]([0-9]{4})$", "^([0-9]{4})[/.-]([0-9]{2})[/.-]([0-9]{2})$", "^([0-9]{1,2})\\s+([A-Za-z]{3,9})\\s+([0-9]{4})$"
-    return f"coalesce(case when regexp_matches({e},'{a}') then {_num(e, a, 1)} between 1 and 31 and {_num(e, a, 2)} between 1 and 12 and {_num(e, a, 3)} between 1900 and 2060 when regexp_matches({e},'{b}') then {_num(e, b, 3)} between 1 and 31 and {_num(e, b, 2)} between 1 and 12 and {_num(e, b, 1)} between 1900 and 2060 when regexp_matches({e},'{c}') then {_num(e, c, 1)} between 1 and 31 and {_num(e, c, 3)} between 1900 and 2060 end, false)"
-
-
-_V = fields.VISA_PATTERNS
-_VISA_SQL = {
-    "visa_type": "coalesce(" + ",".join(f"case when upper({_first((p,))}) not in ('/','-','_','CLASS','CATEGORY','PASSPORT','VISA','NUMBER','DATE','CONTROL') then upper({_first((p,))}) end" for p in _V["visa_type"]) + ")",
-    "entries": "coalesce(" + ",".join(_entries_sql(_first((p,))) for p in _V["entries"]) + ")",
-    "issue_date": f"case when {_visa_date_sql(_first(_V['issue_date']))} then {_first(_V['issue_date'])} end",
-    "expiry_date": f"case when {_visa_date_sql(_first(_V['expiry_date']))} then {_first(_V['expiry_date'])} end",
-    "passport_number": f"upper({_first(_V['passport_number'])})",
-    "visa_number": f"upper({_first(_V['visa_number'])})",
-    "name": f"case when upper({_first(_V['name'])}) not in ('VISA','UNITED STATES','CONTROL NUMBER') then {_first(_V['name'])} end",
-    "issuing_authority": _first(_V["issuing_authority"]),
-}
-register("visa_visual_fields", "ocr_text", lambda d: d.where("k % 4 = 0").select("k", *[fields.visa_field(F.col("text"), n).alias(n) for n in _VISA_SQL]), "select k, " + ", ".join(f"{v} as {n}" for n, v in _VISA_SQL.items()) + " from {src} where k % 4 = 0")
-register("visa_entries", "ocr_text", lambda d: d.select("k", fields.entries(F.col("ent")).alias("entries")), f"select k, {_entries_sql('ent')} as entries from {{src}}")
-
-
-def _visa_fusion(d: DataFrame) -> DataFrame:
-    """Identity from the zone where it was read (kind below 4), printed fields from the text."""
-    zone = F.col("kind") < 4
-    v = {n: fields.visa_field(F.col("text"), n) for n in ("visa_number", "name", "visa_type", "entries", "expiry_date")}
-    return d.where("k % 4 = 0").select("k", F.when(zone, F.col("mrz_number")).otherwise(v["visa_number"]).alias("document_number"), F.when(zone, F.coalesce(F.nullif(F.col("mrz_name"), F.lit("")), v["name"])).otherwise(v["name"]).alias("name"), F.when(zone, "mrz").otherwise("visual_ocr").alias("name_source"), v["visa_type"].alias("visa_type"), v["entries"].alias("entries"), F.coalesce(v["expiry_date"], F.when(zone, F.lit("301231"))).alias("expiry_date"))
-
-
-register("visa_fusion", "ocr_text", _visa_fusion, f"select k, case when kind<4 then mrz_number else {_VISA_SQL['visa_number']} end as document_number, case when kind<4 then coalesce(nullif(mrz_name,''),{_VISA_SQL['name']}) else {_VISA_SQL['name']} end as name, case when kind<4 then 'mrz' else 'visual_ocr' end as name_source, {_VISA_SQL['visa_type']} as visa_type, {_VISA_SQL['entries']} as entries, coalesce({_VISA_SQL['expiry_date']}, case when kind<4 then '301231' end) as expiry_date from {{src}} where k % 4 = 0")
-
-
-def _visa_discrepancy(d: DataFrame) -> DataFrame:
-    """Numbers that differ and don't contain one another; names without a common word of three letters."""
-    number, name = fields.visa_field(F.col("text"), "visa_number"), fields.visa_field(F.col("text"), "name")
-    a, b = compare.comparable_number(number), compare.comparable_number(F.col("mrz_number"))
-    words = lambda c: F.regexp_extract_all(F.upper(c), F.lit("([A-Z]{3,})"))
-    return d.where("k % 4 = 0").select("k", F.coalesce(~a.contains(b) & ~b.contains(a) & (a != "") & (b != ""), F.lit(False)).alias("number_differs"), F.coalesce((F.size(words(name)) > 0) & (F.size(words(F.col("mrz_name"))) > 0) & ~F.arrays_overlap(words(name), words(F.col("mrz_name"))), F.lit(False)).alias("name_differs"))
-
-
-def _cnum(e: str) -> str:
-    return f"upper(regexp_replace(coalesce({e},''),'[^A-Za-z0-9]','','g'))"
-
-
-_vn, _mn = _cnum(_VISA_SQL["visa_number"]), _cnum("mrz_number")
-_w = lambda e: f"regexp_extract_all(upper({e}),'[A-Z]{{3,}}')"
-register("visa_discrepancy", "ocr_text", _visa_discrepancy, f"select k, coalesce(instr({_vn},{_mn})=0 and instr({_mn},{_vn})=0 and {_vn}<>'' and {_mn}<>'', false) as number_differs, coalesce(len({_w(_VISA_SQL['name'])})>0 and len({_w('mrz_name')})>0 and not list_has_any({_w(_VISA_SQL['name'])},{_w('mrz_name')}), false) as name_differs from {{src}} where k % 4 = 0")
-
-_P = fields.PASSPORT_PATTERNS
-_PASS = ("passport_number", "date_of_birth", "date_of_expiry", "surname", "given_names", "name", "sex", "nationality")
-_sur, _giv, _sx = _first(_P["surname"]), _first(_P["given_names"]), f"upper({_first(_P['sex'])})"
-_PASS_SQL = {
-    "passport_number": f"upper({_first(_P['passport_number'])})", "date_of_birth": _first(_P["date_of_birth"]), "date_of_expiry": _first(_P["date_of_expiry"]), "surname": _sur, "given_names": _giv,
-    "name": f"case when {_sur} is not null and {_giv} is not null then {_sur}||' '||{_giv} else {_first(_P['full_name'])} end",
-    "sex": f"case when instr({_sx},'M')>0 and instr({_sx},'F')=0 then 'M' when instr({_sx},'F')>0 then 'F' when {_sx} is not null then 'X' end", "nationality": f"upper({_first(_P['nationality'])})",
-}
-register("passport_visual_fields", "ocr_text", lambda d: d.where("k % 4 = 1").select("k", *[fields.passport_field(F.col("text"), n).alias(n) for n in _PASS]), "select k, " + ", ".join(f"{v} as {n}" for n, v in _PASS_SQL.items()) + " from {src} where k % 4 = 1")
-register("passport_fusion", "ocr_text", lambda d: d.where("k % 4 = 1").select("k", F.when(F.col("kind") < 3, F.col("mrz_number")).otherwise(fields.passport_field(F.col("text"), "passport_number")).alias("passport_number"), F.when(F.col("kind") < 3, 0.98).otherwise(0.85).alias("confidence"), F.when(F.col("kind") < 3, "mrz").otherwise("visual_ocr").alias("source")),
-         f"select k, case when kind<3 then mrz_number else {_PASS_SQL['passport_number']} end as passport_number, cast(case when kind<3 then 0.98 else 0.85 end as double) as confidence, case when kind<3 then 'mrz' else 'visual_ocr' end as source from {{src}} where k % 4 = 1")
-
-_I = fields.ID_PATTERNS
-_GENERIC = "list_filter(regexp_extract_all(text,'\\b[A-Z0-9]{7,14}\\b'), lambda w: regexp_full_match(w,'[A-Z]{1,3}[0-9]{6,10}|[0-9]{8,14}') or (length(w)>=8 and regexp_matches(w,'[0-9]')))[1]"
-_ID_SQL = f"coalesce({_first(_I['grouped'])},{_first(_I['labelled'])},nullif(regexp_extract(text,'\\b([A-Z]{{5}}[0-9]{{4}}[A-Z])\\b',1),''),{_GENERIC})"
-register("nid_id_number", "ocr_text", lambda d: d.select("k", fields.id_number(F.col("text")).alias("id_number")), f"select k, {_ID_SQL} as id_number from {{src}}")
-register("nid_gender", "ocr_text", lambda d: d.select("k", fields.gender(F.col("text")).alias("gender"), fields.sex_of(fields.gender(F.col("text"))).alias("sex")),
-         f"select k, gender, case when instr(gender,'M')>0 and instr(gender,'FE')=0 then 'M' when instr(gender,'F')>0 then 'F' when gender is not null then 'X' end as sex from (select k, coalesce(upper({_first(_I['gender'])}), case when regexp_matches({_UP},'\\bFEMALE\\b') then 'FEMALE' when regexp_matches({_UP},'\\bMALE\\b') then 'MALE' when regexp_matches({_UP},'\\bTRANSGENDER\\b') then 'TRANSGENDER' end) as gender from {{src}}) g")
-register("nid_authority_address", "ocr_text", lambda d: d.select("k", fields.id_authority(F.col("text")).alias("authority"), fields.id_address(F.col("text")).alias("address"), fields.id_nationality(F.col("text")).alias("nationality")),
-         f"select k, case when instr({_UP},'GOVERNMENT OF INDIA')>0 then 'Government of India' when instr({_UP},'UNIQUE IDENTIFICATION AUTHORITY OF INDIA')>0 then 'Unique Identification Authority of India' when instr({_UP},'ELECTION COMMISSION OF INDIA')>0 then 'Election Commission of India' else {_first(_I['authority'])} end as authority, replace({_first(_I['address'])}, chr(10), ', ') as address, coalesce(upper({_first(_I['nationality'])}), case when instr({_UP},'INDIAN')>0 then 'INDIAN' end) as nationality from {{src}}")
-
-
-def _date_sql(e: str, label: str, number: str) -> str:
-    digits, own = f"regexp_replace({e},'[^0-9]','','g')", f"regexp_replace(coalesce({number},''),'[^0-9]','','g')"
-    p = [f"try_cast(case when regexp_full_match(string_split(translate({e},'.-','//'),'/')[{k}],'[0-9]{{1,9}}') then string_split(translate({e},'.-','//'),'/')[{k}] end as int)" for k in (1, 2, 3)]
-    named = "^([0-9]{1,2})\\s+([A-Za-z]{3,9})\\s+([0-9]{4})$"
-    three = f"(len(string_split(translate({e},'.-','//'),'/'))=3 and (({p[0]} between 1 and 31 and {p[1]} between 1 and 12 and {p[2]} between 1900 and 2026) or ({p[0]} between 1900 and 2026 and {p[1]} between 1 and 12 and {p[2]} between 1 and 31)))"
-    spelled = f"(regexp_matches({e},'{named}') and upper(substr(regexp_extract({e},'{named}',2),1,3)) in ('JAN','FEB','MAR','APR','MAY','JUN','JUL','AUG','SEP','OCT','NOV','DEC') and {_num(e, named, 1)} between 1 and 31 and {_num(e, named, 3)} between 1900 and 2026)"
-    return f"coalesce(not (length({digits})>=4 and instr({own},{digits})>0) and case when regexp_full_match({e},'[0-9]{{4}}') then cast({e} as int) between 1900 and 2026 and regexp_matches(upper({label}),'YOB|YEAR') else coalesce({three},false) or coalesce({spelled},false) end, false)"
-
-
-register("date_candidate_valid", "dates", lambda d: d.select("k", "raw", fields.is_date_candidate(F.col("raw"), F.col("label"), F.col("id_number")).alias("valid"), fields.is_visa_date(F.col("raw")).alias("visa_valid"), fields.is_passport_date(F.col("raw")).alias("passport_valid")),
-         f"select k, raw, {_date_sql('raw', 'label', 'id_number')} as valid, {_visa_date_sql('raw')} as visa_valid, coalesce(regexp_matches(raw,'^[0-9]{{1,2}}[/.-][0-9]{{1,2}}[/.-][0-9]{{2,4}}$') and {_num('raw', '^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{2,4})$', 1)} between 1 and 31 and {_num('raw', '^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{2,4})$', 2)} between 1 and 12, false) as passport_valid from {{src}}")
-_birth = lambda t: fields.first_match(t, _I["birth"])
-register("nid_dob", "ocr_text", lambda d: d.select("k", F.when(fields.is_date_candidate(_birth(F.col("text")), F.regexp_extract("text", r"(?i)(Year of Birth|YOB|DOB|Date of Birth)", 1), fields.id_number(F.col("text"))), _birth(F.col("text"))).alias("date_of_birth")),
-         f"select k, case when {_date_sql('b', 'l', 'n')} then b end as date_of_birth from (select k, {_first(_I['birth'])} as b, regexp_extract(text,'(?i)(Year of Birth|YOB|DOB|Date of Birth)',1) as l, {_ID_SQL} as n from {{src}}) x")
-
-
-def _table(name: str, make: Callable[[DataFrame], DataFrame], table: str, sql: str | None = None) -> None:
-    """A query over a plain table."""
-    QUERIES[name] = lambda spark, sf_dir: make(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-    if sql is not None:
-        ORACLE_SQL[name] = sql
-
-
-_table("english_token_clean", lambda d: d.select("conv_id", "turn", fields.english_token(F.col("text")).alias("clean")), "conversations", "select conv_id, turn, trim(regexp_replace(regexp_replace(text,'[^\\x20-\\x7E]',' ','g'),'\\s+',' ','g')) as clean from conversations")
-_table("pii_mask", lambda d: d.select("conv_id", "turn", fields.mask_personal_data(F.col("text")).alias("masked")), "conversations", "select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text,'(?i)[A-Z0-9]{8,12}','***ID***','g'),'\\b[0-9]{2}[01][0-9][0-3][0-9]\\b','***DOB***','g'),'(?i)[P|V|I]<[A-Z0-9<]{30,44}','***MRZ_LINE***','g') as masked from conversations")
-_NAME_SQL = "case when never then -100.0 else conf*1.5 + case n when 2 then 0.5 when 3 then 0.45 when 4 then 0.35 when 1 then case when length(t)>=5 then 0.1 else -0.6 end else 0.0 end + case when cap then 0.3 when t=lower(t) and letters>0 then -0.5 else 0.0 end + case when regexp_full_match(t,'[A-Za-z\\s.''-]+') then 0.2 else -0.3 end + case when conf<0.5 then -0.8 else 0.0 end end"
-_HEAD = ",".join(f"'{w}'" for w in fields.HEADINGS)
-register("name_score", "regions", lambda d: d.select("doc_id", "ordinal", F.round(fields.name_score(F.col("text"), F.col("confidence")), 6).alias("score")),
-         f"select doc_id, ordinal, round(cast({_NAME_SQL} as double),6) as score from (select *, len(ws) as n, length(t)<3 or length(t)>50 or regexp_matches(t,'[0-9]') or letters/greatest(1,length(t))<0.7 or len(list_filter(ws, lambda w: regexp_replace(upper(w),'[^A-Z]','','g') in ({_HEAD})))>0 or regexp_matches(upper(t),'GOVERNMENT|AUTHORITY|AADHAAR|IDENTITY|CARD|REPUBLIC|ELECTION|COMMISSION|DIRECTORATE') as never, len(list_filter(ws, lambda w: not regexp_matches(w,'^[A-Z]')))=0 or (t=upper(t) and letters>0) as cap from (select doc_id, ordinal, confidence as conf, trim(text) as t, length(regexp_replace(trim(text),'[^A-Za-z]','','g')) as letters, list_filter(regexp_split_to_array(trim(text),'\\s+'), lambda w: w<>'') as ws from {{src}}) a) b")
+# --- texts -----------------------------------------------------------------------------------
 
+register_table("english_token_clean", lambda d: d.select("conv_id", "turn", fields.english_token(F.col("text")).alias("clean")), "conversations", "select conv_id, turn, trim(regexp_replace(regexp_replace(text,'[^\\x20-\\x7E]',' ','g'),'\\s+',' ','g')) as clean from conversations")
+register_table("pii_mask", lambda d: d.select("conv_id", "turn", fields.mask_personal_data(F.col("text")).alias("masked")), "conversations", "select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text,'(?i)[A-Z0-9]{8,12}','***ID***','g'),'\\b[0-9]{2}[01][0-9][0-3][0-9]\\b','***DOB***','g'),'(?i)[P|V|I]<[A-Z0-9<]{30,44}','***MRZ_LINE***','g') as masked from conversations")
 # --- regions ----------------------------------------------------------------------------------
 
 register("ocr_confidence_normalize", "regions", lambda d: d.select("doc_id", "ordinal", regions.unit_confidence(F.col("confidence") * 100 - 5).alias("confidence")),
@@ -213,7 +78,6 @@ register("region_confidence", "regions", lambda d: regions.value_confidence(d.se
 _VALUE = r"([A-Z][a-z]+ [A-Z][a-z]+)"
 register("spatial_value", "regions", lambda d: regions.spatial_values(d, r"\bName\b", _VALUE),
          "with p as (select *, row_number() over (partition by doc_id order by y1,x1,ordinal,text,confidence) as place from {src}), c as (select l.doc_id, l.place as lp, case when abs((o.y1+o.y2)/2.0-(l.y1+l.y2)/2.0) <= greatest(18.0,(l.y2-l.y1)*0.9) and o.x1>=l.x1+5 then 1 when o.y1>=l.y1 and o.y1-l.y2<=greatest(35.0,(l.y2-l.y1)*2.0) and o.x1<=l.x2+80 and o.x2>=l.x1-40 then 2 end as way, o.* from p l join p o on o.doc_id=l.doc_id and o.place<>l.place where regexp_matches(trim(l.text),'(?i)\\bName\\b') and regexp_matches(o.text,'[A-Z][a-z]+ [A-Z][a-z]+')), d as (select c.*, case when way=1 then c.x1-l.x2 else c.y1-l.y2 end as dist from c join p l on l.doc_id=c.doc_id and l.place=c.lp where way is not null) select doc_id, trim(regexp_extract(text,'([A-Z][a-z]+ [A-Z][a-z]+)',1)) as value, confidence from (select *, row_number() over (partition by doc_id order by lp,way,dist,place) as n from d) x where n=1")
-register("line_group", "regions", lambda d: regions.grouped_lines(d))
 register("crop_geometry", "regions", lambda d: regions.crop_boxes(d.withColumn("img_w", F.lit(640)).withColumn("img_h", F.lit(480)).where("ordinal = 3"), "img_w", "img_h").groupBy("crop").agg(F.count(F.lit(1)).alias("n"), F.sum("cx1").alias("sx1"), F.sum("cy1").alias("sy1"), F.sum("cx2").alias("sx2"), F.sum("cy2").alias("sy2")),
          "with r as (select *, greatest(12,y2-y1) as h from {src} where ordinal=3), b as (" + " union all ".join([f"select 'right_var_{k + 1}' as crop, greatest(0,x2-5) as a, greatest(0,y1-cast(floor(h*cast({0.2 + 0.15 * k!r} as double)) as int)) as b, least(640,x2+cast(floor(h*{m}) as int)) as c, least(480,y2+cast(floor(h*cast({0.2 + 0.15 * k!r} as double)) as int)) as d from r" for k, m in enumerate((5.0, 7.0, 9.0))] + ["select 'below', greatest(0,x1-10), greatest(0,y2-2), least(640,x2+cast(floor(h*4.0) as int)), least(480,y2+cast(floor(h*cast(2.2 as double)) as int)) from r", "select 'combined_line', greatest(0,x1-5), greatest(0,y1-cast(floor(h*0.25) as int)), least(640,x2+cast(floor(h*7.0) as int)), least(480,y2+cast(floor(h*0.25) as int)) from r"]) + ") select crop, count(*) as n, cast(sum(a) as bigint) as sx1, cast(sum(b) as bigint) as sy1, cast(sum(c) as bigint) as sx2, cast(sum(d) as bigint) as sy2 from b where c-a>=20 and d-b>=10 group by crop")
 
@@ -231,6 +95,7 @@ def _cdate(e: str) -> str:
     return f"case when regexp_full_match({e},'[0-9]{{6}}') then {e} when regexp_matches({e},'{dmy}') then right({g(dmy, 3)},2)||lpad({g(dmy, 2)},2,'0')||lpad({g(dmy, 1)},2,'0') when regexp_matches({e},'{ymd}') then substr({g(ymd, 1)},3,2)||lpad({g(ymd, 2)},2,'0')||lpad({g(ymd, 3)},2,'0') when regexp_matches({e},'{named}') and {mon}>0.9 and {mon}=floor({mon}) then right({g(named, 3)},2)||lpad(cast(cast({mon} as int) as varchar),2,'0')||lpad({g(named, 1)},2,'0') when length({digits})=6 then {digits} when length({digits})=8 and cast(substr({digits},5,4) as int)>1900 then substr({digits},7,2)||substr({digits},3,2)||substr({digits},1,2) when length({digits})=8 and cast(substr({digits},1,4) as int)>1900 then substr({digits},3,6) end"
 
 
+_cnum = lambda e: f"upper(regexp_replace(coalesce({e},''),'[^A-Za-z0-9]','','g'))"
 register("date_normalize", "dates", lambda d: d.select("k", compare.comparable_date(F.col("raw")).alias("yymmdd")), f"select k, {_cdate('u')} as yymmdd from (select k, upper(trim(raw)) as u from {{src}}) x")
 _csex = lambda e: f"case when upper(trim({e})) in ('M','MALE','HOMME','MASCULINE','MASCULIN') then 'M' when upper(trim({e})) in ('F','FEMALE','FEMME','FEMININE','FEMININ') then 'F' when upper(trim({e})) in ('X','UNSPECIFIED','<') then 'X' else substr(upper(trim({e})),1,1) end"
 _cname = lambda e: f"trim(regexp_replace(upper(regexp_replace({e},'[^A-Za-z\\s]',' ','g')),'\\s+',' ','g'))"
@@ -238,7 +103,7 @@ register("compare_normalizers", "zones", lambda d: d.select("doc_id", compare.co
          f"select doc_id, {_cnum('v_num')} as num, {_cname('v_name')} as name, {_csex('v_sex')} as sex, substr(upper(regexp_replace(m_name,'[^A-Za-z]','','g')),1,3) as nat from {{src}}")
 
 
-def _zones(d: DataFrame) -> DataFrame:
+def zone_maps(d: DataFrame) -> DataFrame:
     m = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), F.col(v))])
     conf = F.create_map(*[x for k in ("passport_number", "dob", "full_name", "sex") for x in (F.lit(k), F.col("conf"))])
     return d.select("doc_id", m(passport_number="v_num", dob="v_dob", full_name="v_name", sex="v_sex").alias("visual"), m(document_number="m_num", date_of_birth="m_dob", name="m_name", sex="m_sex").alias("mrz"), conf.alias("confidences"))
@@ -247,8 +112,8 @@ def _zones(d: DataFrame) -> DataFrame:
 _SUB = lambda a, b: f"len(list_filter(string_split({a},' '), lambda w: not list_contains(string_split({b},' '),w)))=0"
 _CROSS = f"""with z as (select doc_id, conf, {_cnum('v_num')} as vn, {_cnum('m_num')} as mn, {_cdate('upper(trim(v_dob))')} as vd, m_dob as md, {_cname('v_name')} as va, {_cname('m_name')} as ma, {_csex('v_sex')} as vs, {_csex('m_sex')} as ms from {{src}}),
 c as (select doc_id, 'document_number' as field, vn as visual_norm, mn as mrz_norm, vn=mn as match, cast(0.9 as double) as weight, conf from z union all select doc_id,'date_of_birth',vd,md,vd=md,cast(0.9 as double),conf from z union all select doc_id,'name',va,ma,va=ma or {_SUB('va', 'ma')} or {_SUB('ma', 'va')},cast(0.75 as double),conf from z where va<>'' union all select doc_id,'sex',vs,ms,vs=ms,cast(0.65 as double),conf from z)"""
-register("cross_zone_compare", "zones", lambda d: tamper.cross_zone(_zones(d)).select("doc_id", "field", "visual_norm", "mrz_norm", "match", "weight", "counts"), _CROSS + " select doc_id, field, visual_norm, mrz_norm, match, weight, not match and conf>=0.35 as counts from c")
-register("cross_zone_score", "zones", lambda d: tamper.consistency_signal(tamper.cross_zone(_zones(d))),
+register("cross_zone_compare", "zones", lambda d: tamper.cross_zone(zone_maps(d)).select("doc_id", "field", "visual_norm", "mrz_norm", "match", "weight", "counts"), _CROSS + " select doc_id, field, visual_norm, mrz_norm, match, weight, not match and conf>=0.35 as counts from c")
+register("cross_zone_score", "zones", lambda d: tamper.consistency_signal(tamper.cross_zone(zone_maps(d))),
          _CROSS + " select doc_id, n_fields, n_mismatches, score, case when score=0 then 'LOW' when score>=0.85 then 'HIGH' else 'MEDIUM' end as severity from (select doc_id, count(*) as n_fields, cast(count(*) filter (not match and conf>=0.35) as bigint) as n_mismatches, coalesce(round(max(case when not match and conf>=0.35 then weight end),4),0.0) as score from c group by doc_id) x")
 register("tamper_fuse", "signals", tamper.fuse,
          "select doc_id, risk, coverage, elevated, case when risk>=0.65 then case when elevated>=2 or strong>0 then 'HIGH' else 'MEDIUM' end when risk>=0.3 then 'MEDIUM' else 'LOW' end as risk_level from (select doc_id, floor(10000*least(1.0,greatest(0.0,coalesce(cast(sum(case when evaluated then cast(weight*score as decimal(18,8)) end) as double)/nullif(cast(sum(case when evaluated then cast(weight as decimal(18,8)) end) as double),0),0.0)))+0.5000001)/10000.0 as risk, round(least(1.0,cast(coalesce(sum(case when evaluated then cast(weight as decimal(18,8)) end),0) as double)/cast(sum(cast(weight as decimal(18,8))) as double)),4) as coverage, count(*) filter (evaluated and score>=0.3) as elevated, count(*) filter (evaluated and score>=0.8) as strong from {src} where signal<>'other' and (evaluated or signal<>'document_consistency') group by doc_id) x")
@@ -263,7 +128,6 @@ register("copy_move_bins", "matches", lambda d: tamper.copy_move_clusters(d),
 register("copy_move_score", "matches", lambda d: tamper.copy_move_signal(tamper.copy_move_clusters(d)), f"select doc_id, count(*) as clusters, max(matches) as most, cast(case when max(matches)>=12 or count(*)>=2 then 0.8 when max(matches)>=6 then 0.55 else 0.3 end as double) as score from ({ORACLE_SQL['copy_move_bins']}) c group by doc_id")
 register("metadata_editor", "metadata", lambda d: d.select("doc_id", tamper.metadata_score(F.filter(F.array("software"), lambda s: s != "")).alias("score"), tamper.detected_editor(F.lower("software")).alias("editor")),
          "select doc_id, case when software='' then null when editor is not null then cast(0.35 as double) else cast(0.0 as double) end as score, editor from (select *, case " + " ".join(f"when instr(lower(software),'{k}')>0 then '{k.title() if '.' not in k else k.capitalize()}'" for k in tamper.EDITORS) + " end as editor from {src}) x")
-register("merge_boxes", "boxes", lambda d: tamper.merged_boxes(d))
 
 # --- faces ------------------------------------------------------------------------------------
 
@@ -276,9 +140,9 @@ def _face_pairs(d: DataFrame) -> DataFrame:
 
 
 _PAIRS = "(select vec_id, round(greatest(0.0,least(1.0,list_dot_product(embedding,selfie)/(sqrt(list_dot_product(embedding,embedding))*sqrt(list_dot_product(selfie,selfie))))),4) as score from (select a.vec_id, a.embedding, list_transform(list_zip(a.embedding,b.embedding), lambda z: ([0.9,0.55,0.5,0.3])[a.vec_id%4+1]::double*z[1]+(1-([0.9,0.55,0.5,0.3])[a.vec_id%4+1]::double)*z[2]) as selfie from (select vec_id, embedding::double[] as embedding from embeddings) a join (select vec_id, embedding::double[] as embedding from embeddings) b on b.vec_id=a.vec_id+1) p) q"
-_table("face_cosine", lambda d: _face_pairs(d).select("vec_id", "score"), "embeddings", f"select vec_id, score from {_PAIRS}")
-_table("face_band", lambda d: _face_pairs(d).groupBy(faces.band(F.col("score")).alias("band"), faces.band_colour(F.col("score")).alias("colour")).agg(F.count(F.lit(1)).alias("n")), "embeddings", f"select case when score>=0.8 then 'STRONG_MATCH' when score>=0.75 then 'BORDERLINE_MATCH' when score>=0.6 then 'MANUAL_REVIEW' else 'NO_MATCH' end as band, case when score>=0.8 then 'GREEN' when score>=0.75 then 'YELLOW' when score>=0.6 then 'ORANGE' else 'RED' end as colour, count(*) as n from {_PAIRS} group by all")
-_table("face_far_frr", lambda d: evaluation.acceptance_rates(_face_pairs(d).select((F.col("vec_id") % 4 < 2).alias("genuine"), "score")), "embeddings", f"select n_genuine, n_impostor, round(mg,4) as mean_genuine, round(mi,4) as mean_impostor, round(mg-mi,4) as separation, false_accepts, false_rejects, round(false_accepts/greatest(1,n_impostor),4) as far, round(false_rejects/greatest(1,n_genuine),4) as frr from (select count(*) filter (g) as n_genuine, count(*) filter (not g) as n_impostor, avg(score) filter (g) as mg, avg(score) filter (not g) as mi, count(*) filter (not g and score>=0.75) as false_accepts, count(*) filter (g and score<0.75) as false_rejects from (select score, vec_id%4<2 as g from {_PAIRS}) y) z")
+register_table("face_cosine", lambda d: _face_pairs(d).select("vec_id", "score"), "embeddings", f"select vec_id, score from {_PAIRS}")
+register_table("face_band", lambda d: _face_pairs(d).groupBy(faces.band(F.col("score")).alias("band"), faces.band_colour(F.col("score")).alias("colour")).agg(F.count(F.lit(1)).alias("n")), "embeddings", f"select case when score>=0.8 then 'STRONG_MATCH' when score>=0.75 then 'BORDERLINE_MATCH' when score>=0.6 then 'MANUAL_REVIEW' else 'NO_MATCH' end as band, case when score>=0.8 then 'GREEN' when score>=0.75 then 'YELLOW' when score>=0.6 then 'ORANGE' else 'RED' end as colour, count(*) as n from {_PAIRS} group by all")
+register_table("face_far_frr", lambda d: evaluation.acceptance_rates(_face_pairs(d).select((F.col("vec_id") % 4 < 2).alias("genuine"), "score")), "embeddings", f"select n_genuine, n_impostor, round(mg,4) as mean_genuine, round(mi,4) as mean_impostor, round(mg-mi,4) as separation, false_accepts, false_rejects, round(false_accepts/greatest(1,n_impostor),4) as far, round(false_rejects/greatest(1,n_genuine),4) as frr from (select count(*) filter (g) as n_genuine, count(*) filter (not g) as n_impostor, avg(score) filter (g) as mg, avg(score) filter (not g) as mi, count(*) filter (not g and score>=0.75) as false_accepts, count(*) filter (g and score<0.75) as false_rejects from (select score, vec_id%4<2 as g from {_PAIRS}) y) z")
 _Q = "(select *, floor((case when w<60 or h<60 then greatest(0.1,least(1.0,least(w,h)/60.0)) else 1.0 end + case when sharpness<40 then greatest(0.1,least(1.0,sharpness/40.0)) else least(1.0,0.70+sharpness/200.0*0.30) end + case when brightness<30 then greatest(0.1,brightness/30.0) when brightness>240 then greatest(0.1,(255.0-brightness)/15.0) else 1.0 end + case when h/greatest(1,w)<0.6 or h/greatest(1,w)>2 then 0.5 else 1.0 end)/4.0*10000+0.5000001)/10000.0 as quality_score, w>=60 and h>=60 and sharpness>=20 and brightness between 20 and 245 as quality_passed from {src}) f"
 register("face_quality", "faces", lambda d: faces.with_quality(d).select("doc_id", "ordinal", "quality_score", "quality_passed"), f"select doc_id, ordinal, cast(quality_score as double) as quality_score, quality_passed from {_Q}")
 register("portrait_pick", "faces", lambda d: faces.portraits(d).select("doc_id", "ordinal"), "select doc_id, ordinal from (select *, row_number() over (partition by doc_id order by w*h*confidence desc, ordinal) as n from {src}) x where n=1")
@@ -344,5 +208,7 @@ def _event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["event_window_stream"] = _event_windows
 ORACLE_SQL["event_window_stream"] = "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, min(value) as least, max(value) as largest from events group by all"
-_table("event_sessions", lambda d: events.session_counts(d.withColumn("ts", F.col("ts").cast("timestamp"))).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest")), "events",
+register_table("event_sessions", lambda d: events.session_counts(d.withColumn("ts", F.col("ts").cast("timestamp"))).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest")), "events",
        "with s as (select user_id, ts, sum(case when p is null or ts - p > interval 30 minute then 1 else 0 end) over (partition by user_id order by ts, event_id) as k from (select *, lag(ts) over (partition by user_id order by ts, event_id) as p from events) x), c as (select user_id, k, count(*) as n from s group by all) select user_id, count(*) as sessions, max(n) as longest from c group by user_id")
+
+whole.register_composed(_Q)
