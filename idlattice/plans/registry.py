@@ -201,8 +201,7 @@ register("risk_histogram", "samples", evaluation.level_histogram, "select positi
 
 
 def _event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    found = events.drain(events.window_counts(events.read_events(spark, sf_dir)), f"{folder}/idlattice")
+    found = events.drain(events.window_counts(events.read_events(spark, sf_dir)))
     return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "least", "largest")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import fresh_path, remove
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -34,12 +34,21 @@ def without_duplicates(events: DataFrame, late: str = "2 days") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def drain(frame: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now and read its last result from a table below ``folder``."""
-    out, state = f"{folder}/{uuid.uuid4().hex}-out", f"{folder}/{uuid.uuid4().hex}-state"
+def drain(frame: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is there now and read its last result from a table in the shared folder.
+
+    Each batch has a folder of its own, written over if the batch is run again, so that a retry repeats no rows; in
+    complete mode the last one counts. The stream's state is removed at the end, the table when the driver ends.
+    """
+    spark = frame.sparkSession
+    out, state = fresh_path(spark, "drained"), fresh_path(spark, "state")
+
+    at = lambda number: out if mode == "complete" else f"{out}/batch={number}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(at(number))
 
+    spark.createDataFrame([], frame.schema).write.parquet(at(-1))  # a source without events has no batch
     frame.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return frame.sparkSession.read.schema(frame.schema).parquet(out)
+    remove(spark, state)
+    return spark.read.schema(frame.schema).parquet(out).select(*[f"`{c}`" for c in frame.columns])
