@@ -1,13 +1,29 @@
-"""DuckDB texts of the machine-readable-zone parsers, written from the table of places."""
+"""DuckDB texts of the machine-readable-zone parsers, with places, weights and confusions of their own."""
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from ..functions.countries import CODES, corrections
-from ..functions.mrz_digits import ALPHABET, FIELD_CONFUSIONS, WEIGHTS
-from ..functions.mrz_parse import LAYOUTS
 from .inputs import SQL
 
-A, B = FIELD_CONFUSIONS
+ALPHABET, WEIGHTS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", (7, 3, 1)
+#: What OCR reads for a digit, and the digit.
+A, B = "ODQILlZSBJg", "00011125899"
+
+
+def _layout(width: int, lines: int, number: tuple, birth: tuple, expiry: tuple, sex: tuple, nationality: tuple, names: tuple, composite: tuple = (), composite_at: tuple | None = None, visa: bool = False, clean_names: bool = True) -> SimpleNamespace:
+    return SimpleNamespace(**locals())
+
+
+#: Fixed values: (line, begin, end) of the fields of each zone, by ICAO Doc 9303.
+LAYOUTS = {
+    "TD3": _layout(44, 2, (2, 0, 9), (2, 13, 19), (2, 21, 27), (2, 20, 21), (2, 10, 13), (1, 5, 44), ((2, 0, 10), (2, 13, 20), (2, 21, 43)), (2, 43, 44)),
+    "MRVA": _layout(44, 2, (2, 0, 9), (2, 13, 19), (2, 21, 27), (2, 20, 21), (2, 10, 13), (1, 5, 44), visa=True),
+    "MRVB": _layout(36, 2, (2, 0, 9), (2, 13, 19), (2, 21, 27), (2, 20, 21), (2, 10, 13), (1, 5, 36), visa=True),
+    "TD1": _layout(30, 3, (1, 5, 14), (2, 0, 6), (2, 8, 14), (2, 7, 8), (2, 15, 18), (3, 0, 30), ((1, 5, 30), (2, 0, 7), (2, 8, 15), (2, 18, 29)), (2, 29, 30), clean_names=False),
+    "TD2": _layout(36, 2, (2, 0, 9), (2, 13, 19), (2, 21, 27), (2, 20, 21), (2, 10, 13), (1, 5, 36), ((2, 0, 10), (2, 13, 20), (2, 21, 35)), (2, 35, 36), clean_names=False),
+}
 
 
 def _value(c: str) -> str:
@@ -70,8 +86,8 @@ def bare(e: str) -> str:
 COLUMNS = ("valid_format", "document_code", "issuing_state", "surname", "given_names", "document_number", "nationality", "date_of_birth", "sex", "date_of_expiry", "number_ok", "birth_ok", "expiry_ok", "personal_ok", "composite_ok", "birth_valid", "expiry_valid", "sex_valid", "state_valid", "nationality_valid", "overall_valid")
 
 
-def parse_sql(kind: str, src: str) -> str:
-    """The rows of ``parse`` over a source whose lines need no normalising and whose names reach no filler zone."""
+def parse_sql(kind: str, src: str, final: str = "select * from t7") -> str:
+    """The rows of ``parse`` over a source (or its SQL) whose lines need no normalising and whose names reach no filler zone."""
     x = LAYOUTS[kind]
     wide = 44 if kind == "TD2" else x.width
     lines = ", ".join(f"rpad(line{k},{wide},'<') as l{k}" for k in range(1, x.lines + 1))
@@ -80,7 +96,7 @@ def parse_sql(kind: str, src: str) -> str:
     after = lambda p: f"substr(l{p[0]},{p[2] + 1},1)"
     fields = (("n", x.number, 9, False), ("b", x.birth, 6, True), ("e", x.expiry, 6, True))
     fix = kind != "TD1"
-    base = f"select k, {shaped} as ok, {lines} from ({SQL[src]}) s"
+    base = f"select k, line1, line2, {shaped} as ok, {lines} from ({SQL.get(src, src)}) s"
     split = ", ".join(f"{cut(p)} as {f}v, {after(p)} as {f}d" for f, p, _, _ in fields)
     state, nat = country("substr(l1,3,3)"), country(cut(x.nationality))
     t1 = f"select *, {split}, {state} as st, {nat} as nt from t0"
@@ -125,5 +141,48 @@ t7 as (select k, ok as valid_format, case when ok then replace({code},'<','') en
  case when ok then numok end as number_ok, case when ok then bok end as birth_ok, case when ok then eok end as expiry_ok, case when ok then pok end as personal_ok, case when ok then cok end as composite_ok,
  case when ok then bok and bdv end as birth_valid, case when ok then eok and edv end as expiry_valid, case when ok then sxv end as sex_valid, case when ok then sok end as state_valid, case when ok then ncok end as nationality_valid,
  coalesce(ok and numok and bok and eok and ncok and sok{' and bdv and edv and sxv' if x.visa else ''} and coalesce(pok,true) and coalesce(cok,true), false) as overall_valid from t6)
-select * from t7"""
+{final}"""
+
+
+def _changes(line: int, base: int, before: str, after: str, width: int, field: str) -> str:
+    one = lambda i: f"case when substr({before},{i + 1},1)<>substr({after},{i + 1},1) then '{line}:{base + i}:'||substr({before},{i + 1},1)||':'||substr({after},{i + 1},1)||':{field}' end"
+    return f"[{','.join(map(one, range(width)))}]"
+
+
+def td3_log_sql(src: str) -> str:
+    """Second line as read and as corrected, and the log of corrections in order."""
+    logs = [_changes(1, 0, "l1", "'P'", 1, "document_code"), _changes(1, 2, "substr(l1,3,3)", "st", 3, "issuing_state")]
+    for f, begin, width, name in (("n", 0, 9, "passport_number"), ("", 10, 3, "nationality"), ("b", 13, 6, "date_of_birth"), ("s", 20, 1, "sex"), ("e", 21, 6, "date_of_expiry")):
+        if name == "nationality":
+            logs.append(_changes(2, begin, "substr(l2,11,3)", "nt", 3, name))
+        elif name == "sex":
+            logs.append(_changes(2, begin, "substr(l2,21,1)", "sx", 1, name))
+        else:
+            logs += [_changes(2, begin + width, f"{f}d", f"{f}c", 1, f"{name}_check_digit"), _changes(2, begin, f"{f}v", f"{f}w", width, name)]
+    logs.append(_changes(2, 43, "substr(l2,44,1)", "cd", 1, "composite_check_digit"))
+    whole = "nw||nc||nt||bw||bc||sx||ew||ec||substr(l2,29,15)||cd"
+    log = f"array_to_string(list_filter(flatten([{','.join(logs)}]), lambda x: x is not null), ';')"
+    return parse_sql("TD3", src, f"select k, line2 as raw_line2, case when ok then {whole} else line2 end as line2, case when ok then {log} else '' end as log from t6")
+
+
+def _normal(e: str) -> str:
+    u = f"translate(upper(trim({e})),'«‹{{([]|','<<<<<<<')"
+    return f"regexp_replace(case when {u} like 'P%' and (instr({u},'<')>0 or not regexp_matches(substr({u},1,5),'[0-9]')) then replace({u},' ','<') else replace({u},' ','') end, '[^A-Z0-9<]', '', 'g')"
+
+
+def candidates_sql(src: str) -> str:
+    """Scored candidates of passport zones, the only ones in ``src``: doc_id, source, group_kind, pos, format, score, rank, and what the parser made."""
+    fillers, digits = (lambda e: f"(length({e})-length(replace({e},'<','')))"), (lambda e: f"length(regexp_replace({e},'[^0-9]','','g'))")
+    groups = f"""select *, {_normal('g1')} as n1, {_normal('g2')} as n2 from (
+select doc_id, source_ordinal, source, 1 as group_kind, i as pos, line as g1, a as g2 from c where a is not null union all
+select doc_id, source_ordinal, source, 2, i, line, b from c where b is not null) u"""
+    passport = f"length(n1) between 36 and 52 and length(n2) between 36 and 52 and not (n1 like 'V%' and {digits('n2')}>=4) and not (substr(n1,1,1) in ('I','A','C') and instr(n1,'<')>0 and length(n1)<=40 and length(n2)<=40 and {digits('n2')}>=8) and ((n1 like 'P%' and instr(n1,'<')>0 and {digits('n2')}>=4) or {fillers('n1')}+{fillers('n2')}>=6)"
+    lines = f"select doc_id, source_ordinal, source, trim(line) as line, row_number() over w as i, lead(trim(line),1) over w as a, lead(trim(line),2) over w as b from (select doc_id, source_ordinal, source, generate_subscripts(string_split(text, chr(10)),1) as p, unnest(string_split(text, chr(10))) as line from {src}) l where length(trim(line))>=12 window w as (partition by doc_id, source_ordinal order by p)"
+    key = "doc_id||'|'||source_ordinal||'|'||group_kind||'|'||pos"
+    made = parse_sql("TD3", f"select {key} as k, rpad(n1,44,'<') as line1, rpad(n2,44,'<') as line2 from shaped")
+    near = lambda e: f"greatest(0.0, 15.0-abs(length({e})-44)*2.5)"
+    points = "+".join(f"case when coalesce(m.{c},false) then {n} else 0 end" for c, n in (("number_ok", 15), ("birth_ok", 15), ("expiry_ok", 15), ("personal_ok", 15), ("composite_ok", 15), ("overall_valid", 100), ("nationality_valid", 15), ("state_valid", 15)))
+    score = f"length(regexp_replace(upper(g1||g2),'[^A-Z0-9<]','','g'))/greatest(1,length(g1||g2))*30.0 + {near('g1')} + {near('g2')} + case when m.valid_format then {points}+50.0 else 0.0 end"
+    return f"""(with c as ({lines}), shaped as (select * from ({groups}) g where {passport}), m as ({made}), s as (select shaped.*, m.document_number, m.overall_valid, cast({score} as double) as score from shaped join m on m.k={key})
+select *, 'TD3' as format, row_number() over (partition by doc_id order by score desc, source_ordinal, group_kind, pos) as rank from s)"""
 

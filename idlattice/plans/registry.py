@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import compare, fields
-from ..functions.countries import corrections
-from ..functions.mrz_digits import ALPHA_CONFUSIONS, ALPHABET, DIGIT_CONFUSIONS, check_digit, digits_from_ocr, is_valid_digit, letters_from_ocr
+from ..functions.countries import correct_country
+from ..functions.mrz_digits import check_digit, digits_from_ocr, is_valid_digit, letters_from_ocr
 from ..functions.mrz_lines import clean_name, normalize_line
 from ..functions.mrz_parse import parse
 from ..operators import candidates, evaluation, faces, regions, screening, tamper
 from ..streaming import events
-from . import mrz_sql, printed, whole
+from . import mrz_sql, whole
+from . import printed as _printed  # noqa: F401 - registers the queries over printed text
 from .base import ORACLE_SQL, QUERIES, register, register_table
 from .inputs import SQL
 
@@ -24,21 +25,15 @@ AS_OF = "2024-06-01"
 # --- characters and lines ---------------------------------------------------------------------
 
 register("mrz_check_digit", "passport_src", lambda d: d.select("k", check_digit(F.col("num"), 9).cast("int").alias("number_digit"), check_digit(F.concat("surname", F.lit("<"), "given")).cast("int").alias("name_digit")),
-         f"select k, cast({mrz_sql.total('num', 9)} % 10 as int) as number_digit, cast(list_sum([greatest(instr('{ALPHABET}', substr(surname||'<'||given, i, 1))-1, 0)*([7,3,1])[(i-1)%3+1] for i in range(1, length(surname||'<'||given)+1)]) % 10 as int) as name_digit from {{src}}")
+         f"select k, cast({mrz_sql.total('num', 9)} % 10 as int) as number_digit, cast(list_sum([greatest(instr('{mrz_sql.ALPHABET}', substr(surname||'<'||given, i, 1))-1, 0)*([7,3,1])[(i-1)%3+1] for i in range(1, length(surname||'<'||given)+1)]) % 10 as int) as name_digit from {{src}}")
 register("mrz_check_digit_validate", "passport_src", lambda d: d.select("k", is_valid_digit(F.substring("line2", 1, 9), F.substring("line2", 10, 1), 9).alias("number_ok"), is_valid_digit(F.substring("line2", 29, 14), F.substring("line2", 43, 1)).alias("filler_ok")),
          f"select k, {mrz_sql.fits(mrz_sql.total('substr(line2,1,9)', 9), 'substr(line2,1,9)', 'substr(line2,10,1)')} as number_ok, length(line2) > 42 as filler_ok from {{src}}")
 register("mrz_normalize_line", "raw_lines", lambda d: d.select("k", normalize_line(F.col("raw")).alias("line")),
          "select k, regexp_replace(case when l like 'P%' and (instr(l,'<')>0 or not regexp_matches(substr(l,1,5),'[0-9]')) then replace(l,' ','<') else replace(l,' ','') end, '[^A-Z0-9<]', '', 'g') as line from (select k, translate(upper(trim(raw)),'«‹{([]|','<<<<<<<') as l from {src}) x")
 register("mrz_name_clean", "raw_lines", lambda d: d.select("k", clean_name(F.col("name")).alias("name")), f"select k, {mrz_sql.clean_name('name')} as name from {{src}}")
 register("ocr_digit_alpha_normalize", "raw_lines", lambda d: d.select("k", digits_from_ocr(F.col("raw")).alias("digits"), letters_from_ocr(F.col("raw")).alias("letters")),
-         f"select k, translate(raw,'{DIGIT_CONFUSIONS[0]}','{DIGIT_CONFUSIONS[1]}') as digits, translate(raw,'{ALPHA_CONFUSIONS[0]}','{ALPHA_CONFUSIONS[1]}') as letters from {{src}}")
-register("mrz_country_correct", "mrva_src", lambda d: d.select("k", F.substring("line1", 3, 3).alias("raw"), _correct("line1").alias("code")), f"select k, substr(line1,3,3) as raw, {mrz_sql.country('substr(line1,3,3)')} as code from {{src}}")
-
-
-def _correct(line: str):
-    from ..functions.countries import correct_country
-
-    return correct_country(F.substring(line, 3, 3))
+         f"select k, translate(raw,'ODQILlZSB','000111258') as digits, translate(raw,'01258','OIZSB') as letters from {{src}}")
+register("mrz_country_correct", "mrva_src", lambda d: d.select("k", F.substring("line1", 3, 3).alias("raw"), correct_country(F.substring("line1", 3, 3)).alias("code")), f"select k, substr(line1,3,3) as raw, {mrz_sql.country('substr(line1,3,3)')} as code from {{src}}")
 
 
 # --- machine-readable zones -------------------------------------------------------------------
@@ -57,12 +52,13 @@ def _log():
     return F.transform("mrz.corrections", lambda c: F.concat_ws(":", c["line"].cast("string"), c["position"].cast("string"), c["from_char"], c["to_char"], c["field"]))
 
 
-register("mrz_td3_corrections", "passport_src", lambda d: parse(d, "TD3", ["line1", "line2"]).select("k", "mrz.raw_line2", "mrz.line2", F.array_join(_log(), ";").alias("log")))
+register("mrz_td3_corrections", "passport_src", lambda d: parse(d, "TD3", ["line1", "line2"]).select("k", "mrz.raw_line2", "mrz.line2", F.array_join(_log(), ";").alias("log")), mrz_sql.td3_log_sql("passport_src"))
 register("mrz_candidate_groups", "candidate_src", lambda d: candidates.candidate_groups(d).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("group_kind") == 0).alias("triplets")),
          "with l as (select doc_id, source, generate_subscripts(string_split(text, chr(10)),1) as p, unnest(string_split(text, chr(10))) as line from {src}), c as (select *, row_number() over (partition by doc_id, source order by p) as i, length(trim(line)) as n, lead(length(trim(line)),1) over (partition by doc_id, source order by p) as n2, lead(length(trim(line)),2) over (partition by doc_id, source order by p) as n3 from l where length(trim(line))>=12) select doc_id, source, cast(sum((n2 is not null)::int + (n3 is not null)::int + (n3 is not null and (n between 24 and 34 or n2 between 24 and 34 or n3 between 24 and 34))::int) as bigint) as n, cast(sum((n3 is not null and (n between 24 and 34 or n2 between 24 and 34 or n3 between 24 and 34))::int) as bigint) as triplets from c group by all having sum((n2 is not null)::int) > 0")
-register("mrz_candidate_score", "candidate_src", lambda d: candidates.scored_candidates(d).select("doc_id", "source", "group_kind", "pos", F.col("mrz.format").alias("format"), F.round("score", 2).alias("score")))
-register("mrz_best_candidate", "candidate_src", lambda d: candidates.best_candidates(candidates.scored_candidates(d)).select("doc_id", "source", F.col("mrz.document_number").alias("document_number"), F.col("mrz.overall_valid").alias("overall_valid"), F.round("score", 2).alias("score")))
-register("mrz_top8_debug", "candidate_src", lambda d: candidates.candidate_debug(candidates.scored_candidates(d)).select("doc_id", "candidate_count", F.to_json("top").alias("top")))
+_SCORED = mrz_sql.candidates_sql("{src}")
+register("mrz_candidate_score", "candidate_src", lambda d: candidates.scored_candidates(d).select("doc_id", "source", "group_kind", "pos", F.col("mrz.format").alias("format"), F.round("score", 2).alias("score")), f"select doc_id, source, group_kind, pos, format, round(score,2) as score from {_SCORED} s where score>=40")
+register("mrz_best_candidate", "candidate_src", lambda d: candidates.best_candidates(candidates.scored_candidates(d)).select("doc_id", "source", F.col("mrz.document_number").alias("document_number"), F.col("mrz.overall_valid").alias("overall_valid"), F.round("score", 2).alias("score")), f"select doc_id, source, document_number, overall_valid, round(score,2) as score from {_SCORED} s where rank=1 and score>=80")
+register("mrz_top8_debug", "candidate_src", lambda d: candidates.candidate_debug(candidates.scored_candidates(d)).select("doc_id", "candidate_count", F.to_json("top").alias("top")), f"select doc_id, count(*) as candidate_count, to_json(list({{'rank':rank,'source':source,'score':round(score,2),'format':format}} order by rank) filter (rank<=8)) as top from {_SCORED} s where score>=40 group by doc_id")
 
 # --- texts -----------------------------------------------------------------------------------
 
@@ -78,8 +74,8 @@ register("region_confidence", "regions", lambda d: regions.value_confidence(d.se
 _VALUE = r"([A-Z][a-z]+ [A-Z][a-z]+)"
 register("spatial_value", "regions", lambda d: regions.spatial_values(d, r"\bName\b", _VALUE),
          "with p as (select *, row_number() over (partition by doc_id order by y1,x1,ordinal,text,confidence) as place from {src}), c as (select l.doc_id, l.place as lp, case when abs((o.y1+o.y2)/2.0-(l.y1+l.y2)/2.0) <= greatest(18.0,(l.y2-l.y1)*0.9) and o.x1>=l.x1+5 then 1 when o.y1>=l.y1 and o.y1-l.y2<=greatest(35.0,(l.y2-l.y1)*2.0) and o.x1<=l.x2+80 and o.x2>=l.x1-40 then 2 end as way, o.* from p l join p o on o.doc_id=l.doc_id and o.place<>l.place where regexp_matches(trim(l.text),'(?i)\\bName\\b') and regexp_matches(o.text,'[A-Z][a-z]+ [A-Z][a-z]+')), d as (select c.*, case when way=1 then c.x1-l.x2 else c.y1-l.y2 end as dist from c join p l on l.doc_id=c.doc_id and l.place=c.lp where way is not null) select doc_id, trim(regexp_extract(text,'([A-Z][a-z]+ [A-Z][a-z]+)',1)) as value, confidence from (select *, row_number() over (partition by doc_id order by lp,way,dist,place) as n from d) x where n=1")
-register("crop_geometry", "regions", lambda d: regions.crop_boxes(d.withColumn("img_w", F.lit(640)).withColumn("img_h", F.lit(480)).where("ordinal = 3"), "img_w", "img_h").groupBy("crop").agg(F.count(F.lit(1)).alias("n"), F.sum("cx1").alias("sx1"), F.sum("cy1").alias("sy1"), F.sum("cx2").alias("sx2"), F.sum("cy2").alias("sy2")),
-         "with r as (select *, greatest(12,y2-y1) as h from {src} where ordinal=3), b as (" + " union all ".join([f"select 'right_var_{k + 1}' as crop, greatest(0,x2-5) as a, greatest(0,y1-cast(floor(h*cast({0.2 + 0.15 * k!r} as double)) as int)) as b, least(640,x2+cast(floor(h*{m}) as int)) as c, least(480,y2+cast(floor(h*cast({0.2 + 0.15 * k!r} as double)) as int)) as d from r" for k, m in enumerate((5.0, 7.0, 9.0))] + ["select 'below', greatest(0,x1-10), greatest(0,y2-2), least(640,x2+cast(floor(h*4.0) as int)), least(480,y2+cast(floor(h*cast(2.2 as double)) as int)) from r", "select 'combined_line', greatest(0,x1-5), greatest(0,y1-cast(floor(h*0.25) as int)), least(640,x2+cast(floor(h*7.0) as int)), least(480,y2+cast(floor(h*0.25) as int)) from r"]) + ") select crop, count(*) as n, cast(sum(a) as bigint) as sx1, cast(sum(b) as bigint) as sy1, cast(sum(c) as bigint) as sx2, cast(sum(d) as bigint) as sy2 from b where c-a>=20 and d-b>=10 group by crop")
+register("crop_geometry", "regions", lambda d: regions.crop_boxes(d.withColumn("img_w", F.lit(640)).withColumn("img_h", F.lit(480)).where(F.col("text").rlike(r"\b(?:DOB|Birth)\b")), "img_w", "img_h").groupBy("crop").agg(F.count(F.lit(1)).alias("n"), F.sum("cx1").alias("sx1"), F.sum("cy1").alias("sy1"), F.sum("cx2").alias("sx2"), F.sum("cy2").alias("sy2")),
+         "with r as (select *, greatest(12,y2-y1) as h from {src} where regexp_matches(text, '\\bDOB\\b')), b as (" + " union all ".join([f"select 'right_var_{k + 1}' as crop, greatest(0,x2-5) as a, greatest(0,y1-cast(floor(h*cast({0.2 + 0.15 * k!r} as double)) as int)) as b, least(640,x2+cast(floor(h*{m}) as int)) as c, least(480,y2+cast(floor(h*cast({0.2 + 0.15 * k!r} as double)) as int)) as d from r" for k, m in enumerate((5.0, 7.0, 9.0))] + ["select 'below', greatest(0,x1-10), greatest(0,y2-2), least(640,x2+cast(floor(h*4.0) as int)), least(480,y2+cast(floor(h*cast(2.2 as double)) as int)) from r", "select 'combined_line', greatest(0,x1-5), greatest(0,y1-cast(floor(h*0.25) as int)), least(640,x2+cast(floor(h*7.0) as int)), least(480,y2+cast(floor(h*0.25) as int)) from r"]) + ") select crop, count(*) as n, cast(sum(a) as bigint) as sx1, cast(sum(b) as bigint) as sy1, cast(sum(c) as bigint) as sx2, cast(sum(d) as bigint) as sy2 from b where c-a>=20 and d-b>=10 group by crop")
 
 # --- comparison and forensic signals ------------------------------------------------------------
 
@@ -126,8 +122,10 @@ register("edge_texture", "blocks", tamper.edge_signal, "select doc_id, quantile_
 register("copy_move_bins", "matches", lambda d: tamper.copy_move_clusters(d),
          "with m as (select doc_id, sx, sy, tx, ty, tx-sx as dx, ty-sy as dy from {src} where sqrt((tx-sx)*(tx-sx)+(ty-sy)*(ty-sy))>=35), d as (select doc_id, case when f then tx else sx end as ax, case when f then ty else sy end as ay, case when f then sx else tx end as bx, case when f then sy else ty end as y2, case when f then -dx else dx end as ex, case when f then -dy else dy end as ey from (select *, dx<0 or (dx=0 and dy<0) as f from m) x), g as (select doc_id, cast(round_even(ex/20.0,0) as int) as bin_x, cast(round_even(ey/20.0,0) as int) as bin_y, count(*) as matches, cast(greatest(0,floor(min(ax)-15)) as int) as ax1, cast(greatest(0,floor(min(ay)-15)) as int) as ay1, cast(floor(max(ax)+15) as int) as ax2, cast(floor(max(ay)+15) as int) as ay2, cast(greatest(0,floor(min(bx)-15)) as int) as bx1, cast(greatest(0,floor(min(y2)-15)) as int) as by1, cast(floor(max(bx)+15) as int) as bx2, cast(floor(max(y2)+15) as int) as by2 from d group by all) select * from g where matches>=5 and ((not (not (ax2<bx1 or ax1>bx2 or ay2<by1 or ay1>by2)) and matches>=case when ay2-ay1<40 or by2-by1<40 or (ax2-ax1)/greatest(1,ay2-ay1)>2.5 then 10 else 5 end) or matches>=15)")
 register("copy_move_score", "matches", lambda d: tamper.copy_move_signal(tamper.copy_move_clusters(d)), f"select doc_id, count(*) as clusters, max(matches) as most, cast(case when max(matches)>=12 or count(*)>=2 then 0.8 when max(matches)>=6 then 0.55 else 0.3 end as double) as score from ({ORACLE_SQL['copy_move_bins']}) c group by doc_id")
+#: Words that name image editors, in order of precedence.
+_EDITORS = ("adobe photoshop", "photoshop", "gimp", "gnu image manipulation program", "lightroom", "affinity photo", "paint.net", "photopea", "coreldraw", "pixelmator", "canva", "indesign", "picsart", "snapseed", "pixlr", "seashore")
 register("metadata_editor", "metadata", lambda d: d.select("doc_id", tamper.metadata_score(F.filter(F.array("software"), lambda s: s != "")).alias("score"), tamper.detected_editor(F.lower("software")).alias("editor")),
-         "select doc_id, case when software='' then null when editor is not null then cast(0.35 as double) else cast(0.0 as double) end as score, editor from (select *, case " + " ".join(f"when instr(lower(software),'{k}')>0 then '{k.title() if '.' not in k else k.capitalize()}'" for k in tamper.EDITORS) + " end as editor from {src}) x")
+         "select doc_id, case when software='' then null when editor is not null then cast(0.35 as double) else cast(0.0 as double) end as score, editor from (select *, case " + " ".join(f"when instr(lower(software),'{k}')>0 then '{k.title() if '.' not in k else k.capitalize()}'" for k in _EDITORS) + " end as editor from {src}) x")
 
 # --- faces ------------------------------------------------------------------------------------
 
