@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from idlattice.functions import legacy
-from idlattice.operators import pixels, tamper
+from idlattice.operators import analysis, pixels, tamper
 from idlattice.sources import files
 
 
@@ -30,7 +30,10 @@ def test_images(spark, tmp_path):
     listed = spark.createDataFrame([("/x/c.png", 0), ("/x/d.png", 99_000_000), ("/x/e.PNG", 5)], "path string, length long")
     assert [r.error for r in files.checked(listed).orderBy("path").collect()] == ["empty file", "file too large", None]
     decoded = files.read_pixels(spark, str(tmp_path))
-    assert [(r.height, r.width, r.channels) for r in decoded.collect()] == [(160, 192, 3)]
+    rows = {r.path.rsplit("/", 1)[1]: r for r in decoded.collect()}
+    assert (rows["a.bmp"].height, rows["a.bmp"].width, rows["a.bmp"].channels, rows["a.bmp"].error) == (160, 192, 3, None)
+    assert rows["b.txt"].error == "not an image" and rows["b.txt"].data is None  # what can't be decoded is not dropped
+    decoded = decoded.where("error is null")
     blocks = pixels.with_blocks(decoded)
     assert blocks.count() == 30 and blocks.orderBy(F.desc("noise")).first().block == 14
     assert tamper.noise_signal(blocks.select(F.col("path").alias("doc_id"), "block", F.col("noise").alias("value"))).first().outliers == 1
@@ -51,3 +54,44 @@ def test_earlier_service(spark):
     assert line == "L898902C36UTO7408122F1204159ZE184226B<<<<<10"
     lines = spark.createDataFrame([(1, 0, "x"), (1, 1, "P" * 44), (1, 2, "Q" * 41), (1, 3, "R" * 44)], "doc_id int, pos int, line string")
     assert [r.line2[0] for r in legacy.first_pair(lines).collect()] == ["Q"]
+
+
+def test_tags_of_files(spark):
+    entry = lambda tag, text, at: struct.pack("<HHII", tag, 2, len(text) + 1, at)
+    software, taken = b"GIMP 2.10", b"2020:01:01 00:00:00"
+    more = 8 + 2 + 2 * 12 + 4
+    tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 2) + entry(0x0131, software, 200) + struct.pack("<HHII", 0x8769, 4, 1, more) + struct.pack("<I", 0) + struct.pack("<H", 1) + entry(0x9003, taken, 220) + struct.pack("<I", 0)
+    tiff = tiff.ljust(200, b"\0") + software.ljust(20, b"\0") + taken + b"\0"
+    part = b"Exif\0\0" + tiff
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(part) + 2) + part + b"\xff\xd9"
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4s", 13, b"tEXt") + b"Software\0Mypx" + b"crc!"
+    found = {r.path: r.tags for r in files.with_tags(spark.createDataFrame([("a", jpeg), ("b", png), ("c", None), ("d", jpeg[:40]), ("e", b"text")], "path string, content binary")).collect()}
+    assert found == {"a": {"Software": "GIMP 2.10", "DateTimeOriginal": "2020:01:01 00:00:00"}, "b": {"Software": "Mypx"}, "c": {}, "d": {}, "e": {}}
+    pairs = spark.createDataFrame([("x/pair_1_doc.jpg",), ("x/pair_1_selfie.png",), ("x/pair_2_doc.jpg",)], "path string")
+    assert [tuple(r) for r in files.paired_by_name(pairs).collect()] == [("1", "x/pair_1_doc.jpg", "x/pair_1_selfie.png")]
+
+
+def test_synthetic_pages_are_told_apart(spark):
+    pages = pixels.synthetic_pages(spark, 8).cache()
+    blocks = pixels.with_blocks(pages).withColumnRenamed("path", "doc_id")
+    none = lambda schema: spark.createDataFrame([], schema)
+    out = analysis.analyze(pages.select(F.col("path").alias("doc_id"), "width", "height"), blocks, none("doc_id string, values array<string>"), none("doc_id string, field string, match boolean, weight double, counts boolean"), none("doc_id string, matches long"))
+    risk = {r.doc_id: r.risk for r in out.collect()}
+    clean = [risk[f"synthetic/{k}"] for k in (0, 2, 4, 6)]
+    spliced = [risk[f"synthetic/{k}"] for k in (3, 7)]
+    assert max(clean) < 0.35 and min(spliced) - max(clean) >= 0.10
+    bands = pixels.with_zone_variants(pages.limit(1)).collect()
+    assert len(bands) == 15 and {r.filter for r in bands} == {"otsu", "adaptive", "blackhat"} and all(len(r.data) == r.height * r.width for r in bands)
+
+
+def test_pixel_helpers():
+    image = np.full((60, 80), 200.0)
+    image[20:40, 30:50] = 10.0
+    assert 10 <= pixels.otsu(image) < 200
+    assert (pixels.flattened(image, np.array([[30, 20], [49, 20], [49, 39], [30, 39]]), 20, 20) == 10).all()
+    photo = np.zeros((200, 200, 3), np.uint8)
+    photo[40:140, 60:130] = (120, 150, 210)  # skin, blue first
+    photo[150:155, 10:190] = (120, 150, 210)  # too flat
+    assert pixels.skin_boxes(photo) == [(60, 40, 70, 100)] and pixels.skin_boxes(photo[:10]) == []
+    error, spread, rest = pixels.residuals(image)
+    assert error >= 0 and spread >= 0 and rest > 0
