@@ -19,7 +19,8 @@ def logged(line: int, position: Column, before: Column, after: Column, field: st
 def differences(line: int, base: int, before: Column, after: Column, width: int, field: str) -> Column:
     """A log entry for each position at which two strings of one width differ."""
     one = lambda i: F.when(F.substring(before, i + 1, F.lit(1)) != F.substring(after, i + 1, F.lit(1)), logged(line, i + base, F.substring(before, i + 1, F.lit(1)), F.substring(after, i + 1, F.lit(1)), field))
-    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), one), lambda x: x.isNotNull())
+    entries = F.filter(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), one), lambda x: x.isNotNull())
+    return F.when(before != after, entries).otherwise(F.array().cast(CORRECTION))  # most lines have none
 
 
 @dataclass(frozen=True)

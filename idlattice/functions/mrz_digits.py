@@ -23,17 +23,27 @@ def char_at(value: Column, index: int) -> Column:
 
 
 def weighted_sum(value: Column, width: int) -> Column:
-    """Sum of values times weights over a field of fixed width, unrolled so that it stays in generated code."""
+    """Sum of values times weights over a field of fixed width.
+
+    Up to nine characters it is unrolled, so that it stays in generated code; a longer sum would make methods too large for the
+    JVM's compiler, and runs over an array.
+    """
+    if width > 9:
+        return _sum_of(F.substring(value, 1, width))
     terms = [char_value(char_at(value, i)) * WEIGHTS[i % 3] for i in range(width)]
     return sum(terms[1:], terms[0])
 
 
+def _sum_of(value: Column) -> Column:
+    chars = F.transform(F.split(value, ""), lambda c, i: char_value(c) * F.element_at(F.array(*map(F.lit, WEIGHTS)), (i % 3 + 1).cast("int")))
+    return F.aggregate(chars, F.lit(0), lambda a, x: a + x)
+
+
 def check_digit(value: Column, width: int | None = None) -> Column:
     """Check digit of a field; without a width, of a string of any length."""
     if width is not None:
         return weighted_sum(value, width) % 10
-    chars = F.transform(F.split(value, ""), lambda c, i: char_value(c) * F.element_at(F.array(*map(F.lit, WEIGHTS)), (i % 3 + 1).cast("int")))
-    return F.aggregate(chars, F.lit(0), lambda a, x: a + x) % 10
+    return _sum_of(value) % 10
 
 
 def digit_matches(total: Column, value: Column, digit: Column) -> Column:
