@@ -18,7 +18,8 @@ The least prior along the path multiplies the importance, as furniture may diffe
 tell it then: elements that are furniture by tag, by a hidden style or by a class, id or role whose head is such a
 word (``ROLES``) bear ``FURNITURE``; a name that merely holds one bears ``HINT``, which decides nothing by itself. Inside an ``article`` or ``main``
 only the names of ``CERTAIN``, standing alone, bear ``FURNITURE``. On a page with an article or main, what stands outside bears
-``OUTSIDE``. Texts at places whose importance is below ``LOWEST`` go; all others stay.
+``OUTSIDE``. A heading inside an article bears ``HEADING``: it may be the same on every page and still tells what
+follows. Texts at places whose importance is below ``LOWEST`` go; all others stay.
 
 The tree is held as counts: rows (host, place, style or text), summed by aggregation, so that a host with a
 third of all pages is no group of its own anywhere. A host's list of places to remove is joined to its pages; it
@@ -47,6 +48,8 @@ LOWEST = 0.2
 BLEND = 2
 #: Priors of furniture, of what stands outside the article, and of names that hold a word of furniture.
 FURNITURE, OUTSIDE, HINT = 0.1, 0.1, 0.5
+#: Prior of headings inside an article; with FLOOR it lifts even one that all pages share over LOWEST.
+HEADING = 5.0
 #: Importance is compared above this, so that a host of copies compares alike with alike.
 FLOOR = 0.05
 
@@ -56,6 +59,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 FURNITURE_TAGS = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "svg", "canvas", "object", "audio", "video", "map", "fieldset", "datalist"}
 BOUNDS = ("article", "main")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSED_BY_SAME = {"li", "dt", "dd", "tr", "td", "th", "option"}
 BARRIERS = ("ul", "ol", "dl", "table", "article", "section", "div", "main")
 #: Names in class, id or role that stand for furniture.
@@ -218,7 +222,10 @@ class Page:
         top = self.stack[-1]
         own = _attributes(page[attributes : end - 1])
         inside = top.inside or tag in BOUNDS or own.get("role") == "main"
-        prior = min(top.prior, prior_of(tag, own, inside))
+        prior = prior_of(tag, own, inside)
+        if prior == 1.0 and inside and (tag in HEADINGS or top.prior == HEADING):
+            prior = HEADING
+        prior = prior if top.prior == 1.0 else min(top.prior, prior)
         self.bounded = self.bounded or (inside and not top.inside and prior > FURNITURE)
         style = _DIGITS.sub("", f"{tag}.{own.get('class', '')}#{own.get('id', '')}") if own else tag
         top.children.append(style)

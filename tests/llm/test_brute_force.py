@@ -194,6 +194,13 @@ def test_names_do_not_decide_in_articles():
     assert html_pages.main_text("<p>one <span class=ad>buy</span> two</p>") == "one two" and html_pages.main_text("a<br>b &lt;c&gt; <x") == "a b <c>"
 
 
+def test_headings_that_articles_share_stay(spark):
+    frame = "<article><h1>Title {0}</h1><h2>Summary</h2><p>text {0}</p><h2><a href=x>More</a></h2><p>more {0}</p><h2 class=ad>Buy</h2><p class=box>all alike</p></article>"
+    rows = [(i, "http://host.example/", frame.format(i)) for i in range(30)]
+    for r in html_pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == "\n\n".join([f"Title {r.page_id}", "Summary", f"text {r.page_id}", "More", f"more {r.page_id}"])
+
+
 def test_the_tree_decides(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     html = {r.page_id: r.html for r in pages.collect()}
