@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from .images import BAND_RATIOS
 
 BLOCK = 32
+#: Where eyes, nose and mouth corners (right ones first) stand in an aligned face of 112 by 112.
+ALIGNED = ((38.2946, 51.6963), (73.5318, 51.6963), (56.0252, 71.7366), (41.5493, 92.3655), (70.7299, 92.3655))
+ALIGNED_SIDE = 112
 #: Skin in the YCrCb space (least and most Cr, Cb), and what a box of skin must be to count as a face.
 SKIN, FACE_SIDE, FACE_ASPECT, SKIN_CONFIDENCE, MOST_FACES = ((130, 180), (70, 135)), 60, (0.65, 2.2), 0.88, 3
 #: The luminance table of the JPEG standard, row by row.
@@ -96,6 +99,13 @@ def zone_variants(image: np.ndarray, window: int = 21, offset: float = 10.0) ->
     return {"otsu": image > otsu(image), "adaptive": image > local - offset, "blackhat": strokes > otsu(strokes)}
 
 
+def _sampled(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Values between pixels, the border repeated."""
+    x, y = np.clip(x, 0, image.shape[1] - 1.001), np.clip(y, 0, image.shape[0] - 1.001)
+    i, j, fx, fy = y.astype(int), x.astype(int), x % 1, y % 1
+    return image[i, j] * (1 - fx) * (1 - fy) + image[i, j + 1] * fx * (1 - fy) + image[i + 1, j] * (1 - fx) * fy + image[i + 1, j + 1] * fx * fy
+
+
 def flattened(image: np.ndarray, corners: np.ndarray, width: int, height: int) -> np.ndarray:
     """The page between four corners (top left, top right, bottom right, bottom left) as an upright image."""
     target = np.array([[0, 0], [width - 1, 0], [width - 1, height - 1], [0, height - 1]], float)
@@ -104,10 +114,28 @@ def flattened(image: np.ndarray, corners: np.ndarray, width: int, height: int) -
         rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
     m = np.append(np.linalg.solve(np.array(rows), np.asarray(corners, float).ravel()), 1).reshape(3, 3)
     at = m @ np.stack([g.ravel() for g in np.meshgrid(np.arange(width), np.arange(height))] + [np.ones(width * height)])
-    x, y = np.clip(at[0] / at[2], 0, image.shape[1] - 1.001), np.clip(at[1] / at[2], 0, image.shape[0] - 1.001)
-    i, j, fx, fy = y.astype(int), x.astype(int), x % 1, y % 1
-    mixed = image[i, j] * (1 - fx) * (1 - fy) + image[i, j + 1] * fx * (1 - fy) + image[i + 1, j] * (1 - fx) * fy + image[i + 1, j + 1] * fx * fy
-    return mixed.reshape(height, width)
+    return _sampled(image, at[0] / at[2], at[1] / at[2]).reshape(height, width)
+
+
+def aligned_face(image: np.ndarray, landmarks: np.ndarray | None, box: tuple[int, int, int, int] | None = None) -> np.ndarray | None:
+    """A face of 112 by 112: turned, scaled and shifted so that its five landmarks fit best; without them its box with a tenth around."""
+    grid = np.meshgrid(np.arange(ALIGNED_SIDE, dtype=float), np.arange(ALIGNED_SIDE, dtype=float))
+    if landmarks is not None and len(landmarks) == 5:
+        rows, right = [], []
+        for (u, v), (x, y) in zip(ALIGNED, np.asarray(landmarks, float), strict=True):  # from the aligned face back to the picture
+            rows += [[u, -v, 1, 0], [v, u, 0, 1]]
+            right += [x, y]
+        a, b, c, d = np.linalg.lstsq(np.array(rows), np.array(right), rcond=None)[0]
+        return _sampled(image, a * grid[0] - b * grid[1] + c, b * grid[0] + a * grid[1] + d)
+    if box is None:
+        return None
+    x, y, w, h = box
+    x1, y1 = max(0, x - int(w * 0.1)), max(0, y - int(h * 0.1))
+    x2, y2 = min(image.shape[1], x + w + int(w * 0.1)), min(image.shape[0], y + h + int(h * 0.1))
+    if x2 <= x1 or y2 <= y1:
+        return None
+    step = lambda a, b, g: a + (g + 0.5) * (b - a) / ALIGNED_SIDE - 0.5
+    return _sampled(image, step(x1, x2, grid[0]), step(y1, y2, grid[1]))
 
 
 def skin_boxes(pixels: np.ndarray) -> list[tuple[int, int, int, int]]:

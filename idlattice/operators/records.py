@@ -56,6 +56,12 @@ def screening_rows(submitted: DataFrame, checks: DataFrame) -> DataFrame:
     return found
 
 
+def find_by_national_id(screenings: DataFrame, national_ids: DataFrame, number: str) -> DataFrame:
+    """Screenings whose national id bears the number; the filter reaches the scan of the ids."""
+    wanted = national_ids.where(F.col("id_number") == number).select("screening_id").distinct()
+    return screenings.join(wanted, "screening_id", "left_semi")
+
+
 def projections(assessed: DataFrame) -> DataFrame:
     """screening_id with what a client sees: extracted data, biometric and tampering results, verdict."""
     extracted = F.struct("passport_number", "passport_name", "passport_nationality", "visa_number", "visa_type", "nid_name")

@@ -147,6 +147,9 @@ def _screened(d: DataFrame) -> DataFrame:
 register("submission_missing", "screening_src", lambda d: records.missing_documents(d.select("screening_id"), passport=d.select("screening_id"), national_id=d.where("stay_days <> 7").select("screening_id")).select("screening_id", F.array_join("missing", ",").alias("missing")), "select screening_id, 'national_id' as missing from {src} where stay_days=7")
 
 
+register("find_by_national_id", "screening_src", lambda d: records.find_by_national_id(d, d.select("screening_id", F.concat(F.lit("N"), "screening_id").alias("id_number")), "N7").select("screening_id", "passport_number", "nid_name"), "select screening_id, passport_number, nid_name from {src} where 'N'||screening_id='N7'")
+
+
 def _banner(d: DataFrame) -> DataFrame:
     shown = _screened(d).select("screening_id", records.verdict_banner(F.col("verdict"))["colour"].alias("colour"), records.status_label(F.col("status"))["label"].alias("label"), records.risk_colour(F.col("risk")).alias("bar"))
     return shown.groupBy("colour", "label", "bar").agg(F.count(F.lit(1)).alias("n"))

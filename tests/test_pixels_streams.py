@@ -84,6 +84,17 @@ def test_synthetic_pages_are_told_apart(spark):
     assert len(bands) == 15 and {r.filter for r in bands} == {"otsu", "adaptive", "blackhat"} and all(len(r.data) == r.height * r.width for r in bands)
 
 
+def test_evaluation_job(spark, tmp_path):
+    from idlattice import evaluate
+
+    report = evaluate.main(["--synthetic", "8", "--threshold", "0.05"], spark)
+    assert (report["n_clean"], report["n_tampered"], report["fp"]) == (4, 4, 0) and report["tp"] >= 2
+    for label, grey in (("clean", np.full((96, 96), 200.0)), ("tampered", np.full((96, 96), 200.0))):
+        (tmp_path / label).mkdir()
+        bitmap(tmp_path / label / "a.bmp", grey)
+    assert evaluate.main(["--dataset", str(tmp_path)], spark)["n_clean"] == 1
+
+
 def test_pixel_helpers():
     image = np.full((60, 80), 200.0)
     image[20:40, 30:50] = 10.0
@@ -95,3 +106,8 @@ def test_pixel_helpers():
     assert pixels.skin_boxes(photo) == [(60, 40, 70, 100)] and pixels.skin_boxes(photo[:10]) == []
     error, spread, rest = pixels.residuals(image)
     assert error >= 0 and spread >= 0 and rest > 0
+    ramp = np.add.outer(np.arange(300.0), 2 * np.arange(300.0))
+    moved = np.array(pixels.ALIGNED) * 1.5 + [40, 30]  # half as large again, shifted
+    face = pixels.aligned_face(ramp, moved)
+    assert face.shape == (112, 112) and abs(face[10, 20] - ((10 * 1.5 + 30) + 2 * (20 * 1.5 + 40))) < 1e-6
+    assert pixels.aligned_face(ramp, None, (50, 60, 100, 100)).shape == (112, 112) and pixels.aligned_face(ramp, None) is None and pixels.aligned_face(ramp, None, (400, 400, 10, 10)) is None
