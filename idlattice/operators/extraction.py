@@ -3,14 +3,18 @@
 Documents are rows (doc_id, text), regions are rows of ``operators.regions``, zones are rows (doc_id, detected, format,
 document_code, fields map). Found fields are rows (doc_id, field, value, confidence, source), one a field of a document;
 ``document_view`` gathers them. A document without text, regions or zone simply has fewer rows.
+
+Lines, numbers and chosen values are written between steps: they are used several times, and their expressions are too
+large to stand in one plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields
+from ..sources.tables import settled
 from .regions import grouped_lines, spatial_fields, value_confidence
 
 _DATE = fields.DATE
@@ -111,16 +115,18 @@ def second_pass_best(scored: DataFrame) -> DataFrame:
 def _beside_label(lines: DataFrame, numbers: DataFrame) -> DataFrame:
     """Birth dates right of or below their label, sexes right of it: of the first label, the first line that fits."""
     labels = lines.select("doc_id", F.struct("y1", "x1", "line_no").alias("label"), F.trim("text").alias("label_text"), *[F.col(c).alias(f"l{c}") for c in ("x1", "y1", "x2", "y2")], F.explode(F.filter(F.array(F.when(F.trim("text").rlike(f"(?i){_BIRTH_LABEL}"), F.lit("date_of_birth")), F.when(F.trim("text").rlike(f"(?i){_SEX_LABEL}"), F.lit("gender"))), lambda f: f.isNotNull())).alias("field"))
-    met = labels.join(lines, "doc_id").join(numbers, "doc_id", "left").where(F.struct("y1", "x1", "line_no") != F.col("label"))
+    part = lambda p: F.trim(F.nullif(F.regexp_extract("text", p, 1), F.lit("")))
+    said = lines.select("doc_id", "y1", "x1", "line_no", "x2", "y2", "confidence", part(_DATE_OR_YEAR).alias("near"), part(_FULL_DATE).alias("under"), F.upper(part(_SEX_WORD)).alias("sex")).where("near is not null or sex is not null")
     h = F.greatest(F.lit(10.0), (F.col("ly2") - F.col("ly1")).cast("double"))
     level = F.abs((F.col("y1") + F.col("y2")) / 2.0 - (F.col("ly1") + F.col("ly2")) / 2.0) <= F.greatest(F.lit(15.0), h * 1.2)
     right, below = level & (F.col("x1") >= F.col("lx1")), (F.col("y1") - F.col("ly2")).between(0, F.greatest(F.lit(25.0), h * 1.5))
-    part = lambda p: F.trim(F.nullif(F.regexp_extract("text", p, 1), F.lit("")))
-    fits = lambda v: fields.is_date_candidate(v, F.col("label_text"), F.col("id_number"))
-    tried = met.select("*", right.alias("right"), below.alias("below"), part(_DATE_OR_YEAR).alias("near"), part(_FULL_DATE).alias("under"), F.upper(part(_SEX_WORD)).alias("sex"))
+    met = labels.join(numbers, "doc_id", "left").join(said, "doc_id").where(F.struct("y1", "x1", "line_no") != F.col("label")).where(right | below)
+    fits = lambda v: fields.is_date_candidate(F.col(v), F.col("label_text"), F.col("id_number"))
+    tried = met.select("doc_id", "field", "label", "y1", "x1", "line_no", "confidence", "near", "under", "sex", right.alias("right"), below.alias("below"), fits("near").alias("near_fits"), fits("under").alias("under_fits"))
     birth = F.col("field") == "date_of_birth"
-    found = F.when(birth & F.col("right") & fits(F.col("near")), F.struct(F.lit(1).alias("way"), F.col("near").alias("value"))).when(birth & F.col("below") & fits(F.col("under")), F.struct(F.lit(2).alias("way"), F.col("under").alias("value"))).when(~birth & F.col("right") & F.col("sex").isNotNull(), F.struct(F.lit(1).alias("way"), F.col("sex").alias("value")))
-    rows = tried.withColumn("f", found).where("f is not null")
+    way = lambda n, value: F.struct(F.lit(n).alias("way"), F.col(value).alias("value"))
+    found = F.when(birth & F.col("right") & F.col("near_fits"), way(1, "near")).when(birth & F.col("below") & F.col("under_fits"), way(2, "under")).when(~birth & F.col("right") & F.col("sex").isNotNull(), way(1, "sex"))
+    rows = tried.select("doc_id", "field", "label", "y1", "x1", "line_no", "confidence", found.alias("f")).where("f is not null")
     first = F.min(F.struct("label", "f.way", "y1", "x1", "line_no", "f.value", "confidence")).alias("b")
     return rows.groupBy("doc_id", "field").agg(first).select("doc_id", "field", F.col("b.value").alias("value"), F.col("b.confidence").alias("confidence"))
 
@@ -133,13 +139,12 @@ def national_id_visual(documents: DataFrame, regions: DataFrame, least: float =
     best-scored line (or single region), without regions the best-scored line of the text.
     """
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = grouped_lines(regions.join(docs.select("doc_id"), "doc_id", "left_semi"))
-    own = Window.partitionBy("doc_id")
+    lines = settled(grouped_lines(regions.join(docs.select("doc_id"), "doc_id", "left_semi")), "lines")
     place = lambda *more: F.struct("y1", "x1", "line_no", *more)
     firsts = lambda cond, value: F.min(F.when(cond, place(value.alias("value"), "confidence")))
     inside = F.nullif(F.regexp_extract("text", fields.GROUPED, 1), F.lit(""))
     grouped = lines.groupBy("doc_id").agg(firsts(inside.isNotNull(), inside)["value"].alias("in_line"))
-    numbers = docs.join(grouped, "doc_id", "left").select("doc_id", fields.id_number(F.col("text"), F.col("in_line")).alias("id_number"))
+    numbers = settled(docs.join(grouped, "doc_id", "left").select("doc_id", fields.id_number(F.col("text"), F.col("in_line")).alias("id_number")), "numbers")
 
     # what single lines say
     birth = fields.first_match(F.col("text"), fields.ID_PATTERNS["birth"])
@@ -147,6 +152,7 @@ def national_id_visual(documents: DataFrame, regions: DataFrame, least: float =
     holder = fields.first_match(F.col("text"), (_HOLDER,))
     read = lines.join(numbers, "doc_id").select("*", birth.alias("birth"), sex.alias("sex"), holder.alias("holder")).select("*", fields.is_date_candidate(F.col("birth"), F.col("text"), F.col("id_number")).alias("birth_fits"), fields.name_score(F.col("holder"), F.col("confidence"), least).alias("holder_score"), fields.name_score(F.trim("text"), F.col("confidence"), least).alias("line_score"))
     ranked = F.min(F.when(F.col("line_score") > 0, F.struct((-F.col("line_score")).alias("s"), "y1", "x1", "line_no", F.trim("text").alias("value"), "confidence")))
+    read = settled(read.select("doc_id", "y1", "x1", "line_no", "text", "confidence", "birth", "sex", "holder", "birth_fits", "holder_score", "line_score"), "read-lines")
     said = read.groupBy("doc_id").agg(firsts(F.col("birth_fits"), F.col("birth")).alias("l_birth"), firsts(F.col("sex").isNotNull(), F.col("sex")).alias("l_sex"), firsts(F.col("holder_score") > 0, F.col("holder")).alias("l_holder"), ranked.alias("l_ranked"), F.lit(True).alias("has_lines"))
     tokens = regions.withColumn("score", fields.name_score(F.trim("text"), F.col("confidence"), least)).where("score > 0").groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "y1", "x1", "ordinal", F.trim("text").alias("value"), "confidence")).alias("token"))
     has_regions = regions.select("doc_id").distinct().withColumn("has_regions", F.lit(True))
@@ -166,7 +172,7 @@ def national_id_visual(documents: DataFrame, regions: DataFrame, least: float =
         F.when(fields.name_score(F.col("t_holder"), F.lit(0.85), least) > 0, F.col("t_holder")).alias("t_holder"), lone_birth.alias("lone_birth"), lone_sex.alias("lone_sex"), F.array_min(raw_lines)["value"].alias("t_line"),
         fields.id_nationality(F.col("text")).alias("nationality"), fields.first_match(F.col("text"), fields.ID_PATTERNS["nationality"]).alias("nationality_said"), fields.id_address(F.col("text")).alias("address"), fields.first_match(F.col("text"), fields.ID_PATTERNS["address"]).alias("address_said"), fields.id_authority(F.col("text")).alias("issuing_authority"),
     )
-    all_ = spoken
+    all_ = settled(spoken, "spoken")
     for more in (said, beside, named, tokens, has_regions):
         all_ = all_.join(more, "doc_id", "left")
 
@@ -185,8 +191,9 @@ def national_id_visual(documents: DataFrame, regions: DataFrame, least: float =
         "address": pick((F.col("address"), None)),
         "issuing_authority": pick((F.col("issuing_authority"), F.lit(0.90))),
     }
+    all_ = settled(all_.select("doc_id", "nationality_said", "address_said", *[c.alias(f"chosen_{n}") for n, c in chosen.items()]), "chosen")
     said_as = {"nationality": F.col("nationality_said"), "address": F.col("address_said")}
-    rows = F.filter(F.array(*[F.struct(F.lit(n).alias("field"), c["value"].alias("value"), c["confidence"].alias("confidence"), said_as.get(n, c["value"]).alias("said")) for n, c in chosen.items()]), lambda r: r["value"].isNotNull())
+    rows = F.filter(F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"chosen_{n}.value").alias("value"), F.col(f"chosen_{n}.confidence").alias("confidence"), said_as.get(n, F.col(f"chosen_{n}.value")).alias("said")) for n in chosen]), lambda r: r["value"].isNotNull())
     found = all_.select("doc_id", F.inline(rows))
     rated = value_confidence(found.where("confidence is null").select("doc_id", F.col("said").alias("value")).distinct(), lines.withColumnRenamed("line_no", "ordinal")).select("doc_id", F.col("value").alias("said"), F.col("confidence").alias("looked_up"))
     out = found.join(rated, ["doc_id", "said"], "left").select("doc_id", "field", "value", F.coalesce("confidence", "looked_up").alias("confidence"))
@@ -253,13 +260,13 @@ def extract(documents: DataFrame, regions: DataFrame, zones: DataFrame) -> tuple
 
     documents: doc_id, text, requested. Each document goes to the extractor of its type, others count as national ids.
     """
-    types = typed(documents, zones)
+    types = settled(typed(documents, zones), "types")
     kind = F.when(F.col("document_type").isin("passport", "visa"), F.col("document_type")).otherwise("national_id")
     fused = printed = None
     for name, visual_of, fuse in (("passport", passport_visual, passport_fused), ("visa", visa_visual, visa_fused), ("national_id", national_id_visual, national_id_fused)):
         mine = types.where(kind == name)
         near = regions.join(mine.select("doc_id"), "doc_id", "left_semi")
-        visual = visual_of(mine, near)
+        visual = settled(visual_of(mine, near), name)
         rows = fuse(visual, mine.where("fields is not null").select("doc_id", "format", "fields"))
         fused = rows if fused is None else fused.unionByName(rows)
         printed = visual if printed is None else printed.unionByName(visual)
