@@ -57,8 +57,8 @@ NOT_A_NAME = ("VISA", "UNITED STATES", "CONTROL NUMBER")
 
 def first_match(text: Column, patterns: tuple[str, ...], ignore_case: bool = True) -> Column:
     """Trimmed first group of the first pattern that matches, else null. No pattern's group may be empty."""
-    flag = "(?iu)" if ignore_case else ""
-    found = F.coalesce(*[F.nullif(F.regexp_extract(text, flag + p, 1), F.lit("")) for p in patterns])
+    flag = lambda p: "" if not ignore_case else "(?i)" if p.isascii() else "(?iu)"
+    found = F.coalesce(*[F.nullif(F.regexp_extract(text, flag(p) + p, 1), F.lit("")) for p in patterns])
     return F.regexp_replace(found, r"^\s+|\s+$", "")
 
 
