@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import lexical_search
 from .bpe import op6_byte_bpe
 from .html_pages import op5_html_text
+from .lexical_search import op13_lexical_search
 from .licenses import op1_license_scan
 from .mixing import op10_mixing
 from .quality_model import op4_quality_ranking
@@ -28,5 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_search": op8_vector_search,
     "op9_token_orc": op9_token_orc,
     "op10_mixing": op10_mixing,
+    "op13_lexical_search": op13_lexical_search,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op13_lexical_search": lexical_search.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
