@@ -1,17 +1,14 @@
 """Ranked lexical search: term-bucketed postings, joined with the items' terms, summed by item and document.
 
 One pass over the texts counts terms; of its postings those stay whose term some item holds, and a row
-without a term for every document, from which the collection's size and length come. The postings are
-written in buckets of (term, shard); a shard is a fixed part of the documents, so a word that stands in
-most of them fills many buckets. Items meet postings by an equi-join on these two columns, each match is
-scored in integers, and matches are summed by item and document.
-
-Summing every match would shuffle a row for nearly each pair of item and document, as most share a common
-word. So scores over one shard give each item a floor first (a true score, k documents reach it). An
-item's terms stand in order of the most that they can add; those at the end, which together stay below the
-floor, bring no new document in. Only the others make candidates; a candidate that can't reach the floor
-with all the rest goes, and what stays is completed. The result is that of summing all (Turtle & Flood,
-"Query evaluation: strategies and optimizations", 1995).
+without a term for every document, from which the collection's size and length come. The postings are a
+table in folders by term bucket, of which a search reads those that its items' terms fall in, and within
+each folder in files by document. So a word that stands in most documents is spread over all tasks, items meet
+postings by term, and the matches of a document, wherever their terms lie, are summed in the task that
+reads it: what is shuffled is each task's best k of an item, never the matches.
+
+The items' terms are broadcast in groups of at most ``ITEM_TERMS`` rows on average; a group that exceeds twice that
+(one endless item) is joined by a shuffle instead.
 
 Defined cases: a null or empty text has no term; every row is a document and every item row an item, whatever
 ids repeat; null document ids stand behind others of the same score; an item without a known term has no row;
@@ -33,10 +30,10 @@ from pyspark.sql import types as T
 from .common import materialize, new_path, read, slices
 
 K = 20
-#: Documents of a shard, about.
-SHARD_DOCS = 250_000
-#: Shards at least: the first of them gives the floors.
-SHARDS = 16
+#: Folders of postings.
+TERM_BUCKETS = 16
+#: Rows of items' terms that are broadcast at once.
+ITEM_TERMS = 200_000
 #: Terms: ASCII letters and digits and whatever is not ASCII; A-Z count as a-z, the rest parts terms.
 _SIGNS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -65,71 +62,53 @@ def term_counts(rows: DataFrame, text: str) -> DataFrame:
     return rows.select(*kept, text).mapInArrow(run, schema)
 
 
-def _bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """Write the rows as a table in buckets of the keys, in the shared folder."""
-    spark = df.sparkSession
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"{name}_{uuid.uuid4().hex}"
-    df.repartition(count, *keys).write.bucketBy(count, *keys).sortBy(*keys).option("path", new_path(spark, name)).option("compression", "zstd").saveAsTable(table)
-    return spark.table(table)
-
-
-def _impact(size: Column) -> Column:
-    """What a match adds for each unit of its term's weight; size: the document's m."""
-    return F.expr(f"(1000000000 * tf) div (1000 * tf + 12 * {size})")
+def _bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int").alias("bucket")
 
 
-def _summed(postings: DataFrame, asked: DataFrame) -> DataFrame:
-    """(q, d, score) over the matches of postings with asked (q, term, shard, weight)."""
-    return postings.join(asked, ["term", "shard"]).groupBy("q", "d").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+def _written(postings: DataFrame) -> DataFrame:
+    """The postings as a table in the shared folder: folders by term bucket, files by document."""
+    spark = postings.sparkSession
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"postings_{uuid.uuid4().hex}"
+    placed = postings.repartition(count, "d").write.partitionBy("bucket").bucketBy(count, "d").sortBy("term")
+    placed.option("path", new_path(spark, "postings")).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = K, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shard_docs: int = SHARD_DOCS, least_shards: int = SHARDS) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = K, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", item_terms: int = ITEM_TERMS) -> DataFrame:
     """The k documents of highest score above 0 for each item: item_id, rank, doc_id, score."""
     spark = docs.sparkSession
-    shards = max(least_shards, -(-docs.count() // shard_docs))
-    shard = F.pmod(F.xxhash64("d"), F.lit(shards)).cast("int").alias("shard")
     asked = materialize(items.select(F.monotonically_increasing_id().alias("q"), F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")), "items")
     wanted = materialize(term_counts(asked.select("q", "text"), "text").where("term is not null").select("q", "term", F.col("tf").alias("times")), "item_terms")
 
     numbered = docs.select(F.monotonically_increasing_id().alias("d"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     known = wanted.select("term").distinct().withColumn("known", F.lit(True))
     counted = term_counts(numbered, "text").join(known, "term", "left").where("known or term is null")
-    kept = counted.select("d", F.when(F.col("term").isNull(), F.col("doc_id")).alias("doc_id"), "n", "term", "tf", shard)
-    postings = _bucketed(kept, "postings", "term", "shard")
+    postings = _written(counted.select("d", F.when(F.col("term").isNull(), F.col("doc_id")).alias("doc_id"), "n", "term", "tf", _bucket("term")))
 
     whole = postings.where("term is null").agg(F.count_if(F.col("n") > 0).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
     if not whole["L"]:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
-    size = f"(75 + (25 * n * {whole['N']}) div {whole['L']})"
-    scored = postings.where("term is not null").select("term", "shard", "d", _impact(size).alias("impact"))
-
-    held = scored.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("most"))
+    held = postings.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * whole["N"] + 2) / (2 * F.col("df") + 1)))
-    weighed = wanted.join(held, "term").select("q", "term", (F.col("times") * weight).alias("weight"), "most").where("weight > 0")
-    later = Window.partitionBy("q").orderBy(F.col("weight") * F.col("most"), "term").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = materialize(weighed.withColumn("together", F.sum(F.col("weight") * F.col("most")).over(later)), "weights")
-
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    first = ordered.select("q", "term", "weight", F.lit(0).alias("shard"))
-    best = Window.partitionBy("q").orderBy(F.col("score").desc())
-    ranked = _summed(scored.where("shard = 0"), first).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-    floors = ranked.where(F.col("place") == k).select("q", F.col("score").alias("floor"))
-    judged = materialize(ordered.join(floors, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(1))), "floors")
-
-    leading = judged.where("together >= floor")
-    trailing = judged.where("together < floor")
-    rest = judged.groupBy("q").agg(F.first("floor").alias("floor"), F.coalesce(F.max(F.when(F.col("together") < F.col("floor"), F.col("together"))), F.lit(0)).alias("rest"))
-    partly = _summed(scored, leading.select("q", "term", "weight", everywhere))
-    candidates = materialize(partly.join(rest, "q").where("score + rest >= floor").select("q", "d", "score"), "candidates")
-    open_terms = candidates.join(trailing.select("q", "term", "weight"), "q").withColumn("shard", shard)
-    more = scored.join(open_terms.select("q", "d", "term", "shard", "weight"), ["term", "shard", "d"]).select("q", "d", (F.col("weight") * F.col("impact")).alias("score"))
-    total = candidates.unionByName(more).groupBy("q", "d").agg(F.sum("score").alias("score"))
+    groups = max(1, -(-wanted.count() // item_terms))
+    weighed = wanted.join(held, "term").select(F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int").alias("group"), "q", "term", _bucket("term"), (F.col("times") * weight).alias("weight"))
+    weights = materialize(weighed.where("weight > 0"), "weights")
 
+    size = f"(75 + (25 * n * {whole['N']}) div {whole['L']})"
+    scored = postings.where("term is not null").select("bucket", "term", "d", F.expr(f"(1000000000 * tf) div (1000 * tf + 12 * {size})").alias("impact"))
+    best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "d")
     names = postings.where("term is null").select("d", "doc_id")
-    order = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "d")
-    top = total.where("score > 0").join(names, "d").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return top.join(asked.select("q", "item_id"), "q").select("item_id", "rank", "doc_id", "score")
+    found = None
+    for group, rows in weights.groupBy("group").count().collect():
+        own = weights.where(F.col("group") == group).drop("group").hint("broadcast" if rows <= 2 * item_terms else "merge")
+        total = scored.join(own, ["bucket", "term"]).groupBy("q", "d").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+        top = total.where("score > 0").join(names, "d").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        found = top if found is None else found.unionByName(top)
+    if found is None:
+        return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
+    return found.join(asked.select("q", "item_id"), "q").select("item_id", "rank", "doc_id", "score")
 
 
 def op13_lexical_search(spark, sf_dir: str) -> DataFrame:
