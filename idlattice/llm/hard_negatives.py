@@ -58,7 +58,7 @@ def cells_of(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         share = np.arange(1, CELLS) / CELLS
         edges = (values[(share * rows).astype(np.int64)] + values[0] + share * (values[-1] - values[0])) / 2
         ends = np.searchsorted(values, edges, "right")
-        code[d] = np.searchsorted(edges, vectors[:, d], "right")
+        code[d] = np.searchsorted(edges, vectors[:, d], "left")
         first, last = np.concatenate([[0], ends]), np.concatenate([ends, [rows]]) - 1
         used = last >= first
         low[d, used], high[d, used] = values[first[used]], values[last[used]]
