@@ -99,7 +99,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, doc_id: str = "doc_id"
     size = f"(75 + (25 * n * {whole['N']}) div {whole['L']})"
     scored = postings.where("term is not null").select("bucket", "term", "d", F.expr(f"(1000000000 * tf) div (1000 * tf + 12 * {size})").alias("impact"))
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "d")
-    names = postings.where("term is null").select("d", "doc_id")
+    names = postings.where("term is null").select("d", "doc_id").hint("shuffle_hash")
     found = None
     for group, rows in weights.groupBy("group").count().collect():
         own = weights.where(F.col("group") == group).drop("group").hint("broadcast" if rows <= 2 * item_terms else "merge")
