@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hard_negatives, lexical_search
+from . import embedding_dedup, hard_negatives, lexical_search
 from .bpe import op6_byte_bpe
+from .embedding_dedup import op12_embedding_dedup
 from .hard_negatives import op11_hard_negatives
 from .html_pages import op5_html_text
 from .lexical_search import op13_lexical_search
@@ -32,9 +33,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_orc": op9_token_orc,
     "op10_mixing": op10_mixing,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_embedding_dedup": op12_embedding_dedup,
     "op13_lexical_search": op13_lexical_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_embedding_dedup": embedding_dedup.ORACLE,
     "op13_lexical_search": lexical_search.ORACLE,
 }
