@@ -209,3 +209,4 @@ register_table("event_sessions", lambda d: events.session_counts(d.withColumn("t
        "with s as (select user_id, ts, sum(case when p is null or ts - p > interval 30 minute then 1 else 0 end) over (partition by user_id order by ts, event_id) as k from (select *, lag(ts) over (partition by user_id order by ts, event_id) as p from events) x), c as (select user_id, k, count(*) as n from s group by all) select user_id, count(*) as sessions, max(n) as longest from c group by user_id")
 
 whole.register_composed(_Q)
+from . import arriving as _arriving  # noqa: E402, F401 - its SQL is put together from that registered above
