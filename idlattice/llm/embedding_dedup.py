@@ -249,7 +249,8 @@ def _dealt(coded: DataFrame, piece: int) -> DataFrame:
     each = coded.select("label", "dim", "ball", F.explode("filters").alias("f"))
     balls = each.groupBy(*bucket, "ball").agg(F.count(F.lit(1)).alias("n"))
     large = balls.groupBy(*bucket).agg(F.sum("n").alias("rows"), F.array_sort(F.collect_list(F.struct("ball", F.ceil(F.col("n") / piece).cast("long").alias("n")))).alias("balls")).where(F.col("rows") > piece)
-    rows = coded.select("u", "label", "dim", "ball", "vector", "filters", F.explode("filters").alias("f")).join(large.drop("rows"), bucket, "left")
+    # written first: few buckets are large, and of a known size they need no shuffle of the vectors
+    rows = coded.select("u", "label", "dim", "ball", "vector", "filters", F.explode("filters").alias("f")).join(materialize(large.drop("rows"), "large"), bucket, "left")
     # pieces are numbered through the balls of a bucket; a row's own are from ``first`` on
     before = lambda x: F.aggregate(F.filter("balls", lambda b: b["ball"] < x), F.lit(0).cast("long"), lambda s, b: s + b["n"])
     own = F.element_at(F.filter("balls", lambda b: b["ball"] == F.col("ball")), 1)["n"]
