@@ -1,76 +1,15 @@
-"""Corrections that a check digit or the list of countries proves; every change is logged in order."""
+"""Corrections of zone characters that a check digit proves or a sign's place gives away."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .mrz_digits import FIELD_CONFUSIONS, WEIGHTS, char_value, digit_matches, is_valid_digit, month_and_day_fit, weighted_sum
+from .mrz_digits import FIELD_CONFUSIONS, is_valid_digit
 
 CORRECTION = "array<struct<line:int,position:int,from_char:string,to_char:string,field:string>>"
 
 
-def logged(line: int, position: Column, before: Column, after: Column, field: str) -> Column:
-    return F.struct(F.lit(line).alias("line"), position.cast("int").alias("position"), before.alias("from_char"), after.alias("to_char"), F.lit(field).alias("field"))
-
-
-def differences(line: int, base: int, before: Column, after: Column, width: int, field: str) -> Column:
-    """A log entry for each position at which two strings of one width differ."""
-    one = lambda i: F.when(F.substring(before, i + 1, F.lit(1)) != F.substring(after, i + 1, F.lit(1)), logged(line, i + base, F.substring(before, i + 1, F.lit(1)), F.substring(after, i + 1, F.lit(1)), field))
-    entries = F.filter(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), one), lambda x: x.isNotNull())
-    return F.when(before != after, entries).otherwise(F.array().cast(CORRECTION))  # most lines have none
-
-
-@dataclass(frozen=True)
-class CheckedField:
-    """A field with the check digit behind it: short name, line, begin, width, name in the log, whether it is a date."""
-
-    key: str
-    line: int
-    begin: int
-    width: int
-    name: str
-    dated: bool = False
-
-
-def correct_fields(df: DataFrame, line: str, fields: tuple[CheckedField, ...]) -> DataFrame:
-    """df with ``__<key>w`` (value), ``__<key>c`` (digit) and ``__<key>log`` of every field.
-
-    The digit is read through the confusions first. If the field fits, it stays. Else each confusable character
-    alone is tried (the sum changes by its weight times the change of value), and only if none fits all together.
-    A change is made if exactly one candidate is right. Each step is a column of its own, so that no
-    expression repeats what another one holds.
-    """
-    c = lambda f, x: F.col(f"__{f.key}{x}")
-    for f in fields:
-        df = df.withColumns({f"__{f.key}v": F.substring(line, f.begin + 1, f.width), f"__{f.key}d": F.substring(line, f.begin + f.width + 1, 1)})
-    df = df.withColumns({k: v for f in fields for k, v in ((f"__{f.key}r", F.translate(c(f, "d"), *FIELD_CONFUSIONS)), (f"__{f.key}f", F.translate(c(f, "v"), *FIELD_CONFUSIONS)), (f"__{f.key}t", weighted_sum(c(f, "v"), f.width)))})
-
-    def single(f: CheckedField) -> Column:
-        """Right values with one character read through the confusions, by the change that it makes to the sum."""
-
-        def at(i: Column) -> Column:
-            old, new = F.substring(c(f, "v"), i + 1, F.lit(1)), F.substring(c(f, "f"), i + 1, F.lit(1))
-            changed = F.overlay(c(f, "v"), new, i + 1, F.lit(1))
-            weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), i % 3 + 1)
-            right = digit_matches(c(f, "t") + (char_value(new) - char_value(old)) * weight, changed, c(f, "r"))
-            return F.when((old != new) & right & (month_and_day_fit(changed) if f.dated else F.lit(True)), changed)
-
-        return F.filter(F.transform(F.sequence(F.lit(0), F.lit(f.width - 1)), at), lambda x: x.isNotNull())
-
-    fits = {f: month_and_day_fit if f.dated else (lambda v: F.lit(True)) for f in fields}
-    df = df.withColumns({f"__{f.key}asis": digit_matches(c(f, "t"), c(f, "v"), c(f, "r")) & fits[f](c(f, "v")) for f in fields})
-    confusable = {f: ~c(f, "asis") & (c(f, "f") != c(f, "v")) for f in fields}
-    none = F.array().cast("array<string>")
-    df = df.withColumns({k: v for f in fields for k, v in ((f"__{f.key}one", F.when(confusable[f], single(f)).otherwise(none)), (f"__{f.key}whole", confusable[f] & is_valid_digit(c(f, "f"), c(f, "r"), f.width) & fits[f](c(f, "f"))))})
-    df = df.withColumns({f"__{f.key}p": F.when(c(f, "asis"), c(f, "v")).when(F.size(c(f, "one")) == 1, F.get(c(f, "one"), F.lit(0))).when((F.size(c(f, "one")) == 0) & c(f, "whole"), c(f, "f")) for f in fields})
-    df = df.withColumns({k: v for f in fields for k, v in ((f"__{f.key}w", F.coalesce(c(f, "p"), c(f, "v"))), (f"__{f.key}c", F.when(c(f, "p").isNotNull(), c(f, "r")).otherwise(c(f, "d"))))})
-    df = df.withColumns({f"__{f.key}log": F.concat(differences(f.line, f.begin + f.width, c(f, "d"), c(f, "c"), 1, f"{f.name}_check_digit"), differences(f.line, f.begin, c(f, "v"), c(f, "w"), f.width, f.name)) for f in fields})
-    return df.drop(*[f"__{f.key}{x}" for f in fields for x in ("v", "d", "r", "f", "t", "one", "asis", "whole", "p")])
-
-
 def correct_trailing_fillers(line1: Column) -> Column:
     """K, E, C behind the names read as fillers: from two past the last other letter, and never before 30."""
     names = F.substring(line1, 6, 100)
@@ -84,6 +23,6 @@ def correct_sex(raw: Column) -> Column:
     return F.when(raw.isin("0", "1", "I", "L"), F.lit("<")).when(raw == "E", F.lit("F")).otherwise(raw)
 
 
-def correct_composite(payload: Column, digit: Column, width: int) -> Column:
+def correct_composite(payload: Column, digit: Column) -> Column:
     read = F.translate(digit, *FIELD_CONFUSIONS)
-    return F.when((read != digit) & is_valid_digit(payload, read, width), read).otherwise(digit)
+    return F.when((read != digit) & is_valid_digit(payload, read), read).otherwise(digit)

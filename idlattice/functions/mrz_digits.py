@@ -46,16 +46,16 @@ def check_digit(value: Column, width: int | None = None) -> Column:
     return _sum_of(value) % 10
 
 
-def digit_matches(total: Column, value: Column, digit: Column) -> Column:
-    """Whether a digit character fits a weighted sum; a filler fits an all-filler field, else it counts as 0."""
-    number = F.when(digit == "<", F.lit(0)).otherwise(F.when(digit.rlike("^[0-9]$"), digit).try_cast("int"))
-    return F.coalesce(((digit == "<") & value.rlike("^<+$")) | (number.isNotNull() & (total % 10 == number)), F.lit(False))
+def digit_matches(total: Column, digit: Column) -> Column:
+    """Whether a digit character fits a weighted sum; a filler counts as 0, as the sum of an all-filler field does."""
+    number = F.instr(F.lit("0123456789"), F.translate(digit, "<", "0")) - 1
+    return F.coalesce((F.length(digit) == 1) & (total % 10 == number), F.lit(False))
 
 
 def is_valid_digit(value: Column, digit: Column, width: int | None = None) -> Column:
     """Whether ``digit`` is the check digit of ``value``; null, blank and other characters are not."""
     total = weighted_sum(value, width) if width is not None else check_digit(value)
-    return digit_matches(total, value, digit)
+    return digit_matches(total, digit)
 
 
 def digits_from_ocr(value: Column) -> Column:
@@ -66,16 +66,15 @@ def letters_from_ocr(value: Column) -> Column:
     return F.translate(value, *ALPHA_CONFUSIONS)
 
 
-def two_digits(value: Column, index: int) -> Column:
-    part = F.substring(value, index + 1, 2)
-    return F.when(part.rlike("^[0-9]{2}$"), part).try_cast("int")
+_MONTH_AND_DAY = "(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])"
+MONTH_AND_DAY_FIT = f"(?s)^..{_MONTH_AND_DAY}"
 
 
 def month_and_day_fit(value: Column) -> Column:
     """YYMMDD: month 1-12 and day 1-31; only these four characters need be digits."""
-    return F.coalesce(two_digits(value, 2).between(1, 12) & two_digits(value, 4).between(1, 31), F.lit(False))
+    return F.coalesce(value.rlike(MONTH_AND_DAY_FIT), F.lit(False))
 
 
 def is_calendar_date(value: Column) -> Column:
     """Six digits with month 1-12 and day 1-31; month lengths are not looked at."""
-    return F.coalesce(value.rlike("^[0-9]{6}$"), F.lit(False)) & month_and_day_fit(value)
+    return F.coalesce(value.rlike(f"^[0-9]{{2}}{_MONTH_AND_DAY}$"), F.lit(False))

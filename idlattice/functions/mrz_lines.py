@@ -26,12 +26,10 @@ def clean_name(part: Column) -> Column:
     return F.array_join(F.filter(words, lambda w, i: ~noise(F.upper(w)) & ~lone(F.upper(w), i)), " ")
 
 
-def split_names(raw: Column, cleaned: bool = True) -> tuple[Column, Column]:
-    """Surname and given names of a name field; cards keep their words as they are."""
-    names = F.regexp_replace(raw, "^<+", "")
-    parts = F.split(names, "<<", 2)
-    tidy = clean_name if cleaned else lambda c: F.trim(F.replace(c, F.lit("<"), F.lit(" ")))
-    return tidy(F.get(parts, F.lit(0))), F.coalesce(tidy(F.get(parts, F.lit(1))), F.lit(""))
+def split_names(raw: Column, cleaned: Column) -> Column:
+    """Array of surname and given names of a name field; where ``cleaned`` is false, as on cards, words stay as they are."""
+    parts = F.split(F.regexp_replace(raw, "^<+", ""), "<<", 2)
+    return F.transform(parts, lambda c: F.when(cleaned, clean_name(c)).otherwise(F.trim(F.replace(c, F.lit("<"), F.lit(" ")))))
 
 
 def without_fillers(value: Column) -> Column:

@@ -1,20 +1,22 @@
-"""Parsers of the five machine-readable zones. One table of places serves all; differences are data.
+"""Parser of the five machine-readable zones: layouts are a table that rows are joined to, places are columns.
 
-Each parser takes raw lines and returns one struct: format, lines as read and as corrected, the log of
-corrections, fields, check digits, validity of fields, and the verdict over all.
+A row names its format; the join gives it the places of the fields, and one plan slices, corrects and checks the rows of
+all formats. What is done to a checked field is written once, over an array of the fields. The result is one struct:
+format, lines as read and as corrected, the log of corrections, fields, check digits, validity of fields, and the
+verdict over all.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mrz_correct as fix
 from .countries import correct_country, is_country
-from .mrz_digits import is_calendar_date, is_valid_digit, month_and_day_fit
-from .mrz_lines import normalize_line, split_names, without_fillers
+from .mrz_digits import ALPHABET, FIELD_CONFUSIONS, MONTH_AND_DAY_FIT, WEIGHTS
+from .mrz_lines import normalize_line, split_names
 
 
 @dataclass(frozen=True)
@@ -35,129 +37,207 @@ class Layout:
     optional: tuple[tuple[int, int, int], ...]
     visa: bool = False
     clean_names: bool = True
-
-
-TD3 = Layout("TD3", 44, 2, (2, 0, 9), (2, 13, 19), (2, 21, 27), (2, 20, 21), (2, 10, 13), (1, 5, 44), ((2, 0, 10), (2, 13, 20), (2, 21, 43)), (2, 43, 44), ((2, 28, 42),))
-MRVA = Layout("MRVA", 44, 2, (2, 0, 9), (2, 13, 19), (2, 21, 27), (2, 20, 21), (2, 10, 13), (1, 5, 44), (), None, ((2, 28, 44),), visa=True)
-MRVB = Layout("MRVB", 36, 2, (2, 0, 9), (2, 13, 19), (2, 21, 27), (2, 20, 21), (2, 10, 13), (1, 5, 36), (), None, ((2, 28, 36),), visa=True)
-TD1 = Layout("TD1", 30, 3, (1, 5, 14), (2, 0, 6), (2, 8, 14), (2, 7, 8), (2, 15, 18), (3, 0, 30), ((1, 5, 30), (2, 0, 7), (2, 8, 15), (2, 18, 29)), (2, 29, 30), ((1, 15, 30), (2, 18, 29)), clean_names=False)
-TD2 = Layout("TD2", 36, 2, (2, 0, 9), (2, 13, 19), (2, 21, 27), (2, 20, 21), (2, 10, 13), (1, 5, 36), ((2, 0, 10), (2, 13, 20), (2, 21, 35)), (2, 35, 36), ((2, 28, 35),), clean_names=False)
+    #: How lines are corrected: "full" also sets the first character, reads sex and fillers and proves the composite digit;
+    #: "plain" doesn't; "card" corrects countries as fields only.
+    mode: str = "full"
+    personal: tuple[int, int, int] | None = None
+    #: Lines are padded to this many characters before they are corrected.
+    wide: int | None = None
+
+
+TD3 = Layout("TD3", 44, 2, (2, 0, 9), (2, 13, 19), (2, 21, 27), (2, 20, 21), (2, 10, 13), (1, 5, 44), ((2, 0, 10), (2, 13, 20), (2, 21, 43)), (2, 43, 44), ((2, 28, 42),), personal=(2, 28, 42))
+MRVA = Layout("MRVA", 44, 2, (2, 0, 9), (2, 13, 19), (2, 21, 27), (2, 20, 21), (2, 10, 13), (1, 5, 44), (), None, ((2, 28, 44),), visa=True, mode="plain")
+MRVB = Layout("MRVB", 36, 2, (2, 0, 9), (2, 13, 19), (2, 21, 27), (2, 20, 21), (2, 10, 13), (1, 5, 36), (), None, ((2, 28, 36),), visa=True, mode="plain")
+TD1 = Layout("TD1", 30, 3, (1, 5, 14), (2, 0, 6), (2, 8, 14), (2, 7, 8), (2, 15, 18), (3, 0, 30), ((1, 5, 30), (2, 0, 7), (2, 8, 15), (2, 18, 29)), (2, 29, 30), ((1, 15, 30), (2, 18, 29)), clean_names=False, mode="card")
+TD2 = Layout("TD2", 36, 2, (2, 0, 9), (2, 13, 19), (2, 21, 27), (2, 20, 21), (2, 10, 13), (1, 5, 36), ((2, 0, 10), (2, 13, 20), (2, 21, 35)), (2, 35, 36), ((2, 28, 35),), clean_names=False, wide=44)
 LAYOUTS = {x.name: x for x in (TD3, MRVA, MRVB, TD1, TD2)}
 STATE = (1, 2, 5)
 
 
-def _cut(lines: list[Column], place: tuple[int, int, int]) -> Column:
-    line, begin, end = place
-    return F.substring(lines[line - 1], begin + 1, end - begin)
+_PLACE = "array<int>"
+_COLUMNS = {"number": _PLACE, "birth": _PLACE, "expiry": _PLACE, "sex": _PLACE, "nationality": _PLACE, "names": _PLACE, "personal": _PLACE, "composite_at": _PLACE, "composite": f"array<{_PLACE}>", "optional": f"array<{_PLACE}>", "width": "int", "lines": "int", "wide": "int", "visa": "boolean", "clean_names": "boolean", "mode": "string"}
 
 
-def correct_lines(df: DataFrame, l1: str, l2: str, kind: str, keep_code: bool = False) -> DataFrame:
-    """df with lines l1 and l2 corrected in place and ``__log``; kind TD3 also covers TD2 padded to 44.
+def layouts(spark: SparkSession, corrected: bool = True) -> DataFrame:
+    """The layouts as a table: __fmt and __at, a struct of the places; five rows."""
 
-    keep_code: leave position 0 alone.
-    """
-    full = kind == "TD3"
-    part = lambda begin, end: F.substring(l2, begin + 1, end - begin)
-    number = fix.CheckedField("n", 2, 0, 9, "passport_number" if full else "document_number")
-    birth, expiry = fix.CheckedField("b", 2, 13, 6, "date_of_birth", True), fix.CheckedField("e", 2, 21, 6, "date_of_expiry", True)
-    df = fix.correct_fields(df, l2, (number, birth, expiry))
-    code = F.lit("P") if full and not keep_code else F.substring(l1, 1, 1)
-    df = df.withColumns({"__code": code, "__st": correct_country(F.substring(l1, 3, 3)), "__nt": correct_country(part(10, 13)), "__sx": fix.correct_sex(part(20, 21)) if full else part(20, 21)})
-    df = df.withColumn("__n1", F.concat("__code", F.substring(l1, 2, 1), "__st", F.substring(l1, 6, 100)))
-    df = df.withColumn("__n1f", fix.correct_trailing_fillers(F.col("__n1")) if full else F.col("__n1"))
-    rest = F.substring(l2, 29, 15 if full else 100)
-    df = df.withColumn("__n2", F.concat("__nw", "__nc", "__nt", "__bw", "__bc", "__sx", "__ew", "__ec", rest))
-    if full:
-        payload = F.concat("__nw", "__nc", "__bw", "__bc", "__ew", "__ec", rest)
-        df = df.withColumn("__cd", fix.correct_composite(payload, part(43, 44), 39))
-        df = df.withColumn("__n2", F.concat("__n2", "__cd"))
-    logs = [fix.differences(1, 0, F.substring(l1, 1, 1), F.col("__code"), 1, "document_code"), fix.differences(1, 2, F.substring(l1, 3, 3), F.col("__st"), 3, "issuing_state"), fix.differences(1, 0, F.col("__n1"), F.col("__n1f"), 44, "filler")]
-    logs += [F.col("__nlog"), fix.differences(2, 10, part(10, 13), F.col("__nt"), 3, "nationality"), F.col("__blog"), fix.differences(2, 20, part(20, 21), F.col("__sx"), 1, "sex"), F.col("__elog")]
-    if full:
-        logs.append(fix.differences(2, 43, part(43, 44), F.col("__cd"), 1, "composite_check_digit"))
-    df = df.withColumn("__log", F.concat(*logs)).withColumns({l1: F.col("__n1f"), l2: F.col("__n2")})
-    return df.drop("__code", "__st", "__nt", "__sx", "__n1", "__n1f", "__n2", "__cd", *[f"__{k}{x}" for k in "nbe" for x in ("w", "c", "log")])
+    def literal(value: object) -> str:
+        if value is None:
+            return "null"
+        if isinstance(value, tuple):
+            return f"array({', '.join(map(literal, value))})"
+        return f"'{value}'" if isinstance(value, str) else str(value).lower()
 
+    def row(x: Layout) -> str:
+        own = {"wide": x.wide or x.width} | ({} if corrected or x.mode == "card" else {"mode": "none"})
+        return f"('{x.name}', named_struct({', '.join(f"'{c}', cast({literal(own.get(c, getattr(x, c)))} as {kind})" for c, kind in _COLUMNS.items())}))"
+
+    return spark.sql(f"select * from values {', '.join(map(row, LAYOUTS.values()))} as layouts(__fmt, __at)")
+
+
+# Expressions are written as SQL text: built sign by sign through the driver's gateway they take longer than the work.
+
+
+def _cut(lines: str, place: str) -> str:
+    return f"substring(element_at({lines}, {place}[0]), {place}[1] + 1, {place}[2] - {place}[1])"
+
+
+def _behind(lines: str, place: str) -> str:
+    """The check digit behind a field."""
+    return f"substring(element_at({lines}, {place}[0]), {place}[2] + 1, 1)"
+
+
+def _value(sign: str) -> str:
+    return f"greatest(instr('{ALPHABET}', {sign}) - 1, 0)"
+
+
+_WEIGHT = f"array({', '.join(map(str, WEIGHTS))})[i % 3]"
 
-def parse(df: DataFrame, kind: str, lines: list[str], corrected: bool = True, td2_keep_doc_code: bool = False) -> DataFrame:
-    """df with ``mrz``. Lines of another width give valid_format false and no fields.
 
-    td2_keep_doc_code: TD2 lines pass through the TD3 corrector, which sets their first character to P; True leaves it.
+def _sum(text: str) -> str:
+    return f"aggregate(transform(split({text}, ''), (c, i) -> {_value('c')} * {_WEIGHT}), 0, (total, v) -> total + v)"
+
+
+def _matches(total: str, digit: str) -> str:
+    """Whether a digit fits a weighted sum; a filler counts as 0."""
+    return f"coalesce(length({digit}) = 1 and ({total}) % 10 = instr('0123456789', translate({digit}, '<', '0')) - 1, false)"
+
+
+def _fits(date: str) -> str:
+    return f"coalesce({date} rlike '{MONTH_AND_DAY_FIT}', false)"
+
+
+_NONE = f"cast(array() as {fix.CORRECTION})"
+
+
+def _log(line: object, base: object, before: str, after: str, name: str) -> str:
+    """An entry for each position at which two strings of one length differ."""
+    one, other = f"substring({before}, i + 1, 1)", f"substring({after}, i + 1, 1)"
+    entry = f"named_struct('line', {line}, 'position', i + {base}, 'from_char', {one}, 'to_char', {other}, 'field', {name})"
+    entries = f"filter(transform(sequence(0, length({before}) - 1), i -> if({one} <> {other}, {entry}, null)), x -> x is not null)"
+    return f"case when {before} <> {after} then {entries} else {_NONE} end"  # most have none
+
+
+def _proven(fields: str) -> str:
+    """array of (line, at, value, digit, name, dated, open) -> array of (value, digit, log), corrected where the digit proves it.
+
+    The digit is read through the confusions first. If the field fits, it stays. Else each confusable character alone is
+    tried (the sum changes by its weight times the change of value), and only if none fits all together. A change is made if
+    exactly one candidate is right.
     """
-    layout = LAYOUTS[kind]
-    raw = [f"__r{k + 1}" for k in range(layout.lines)]
-    work = [f"__l{k + 1}" for k in range(layout.lines)]
-    for given, r in zip(lines, raw, strict=True):
-        df = df.withColumn(r, normalize_line(F.coalesce(F.col(given), F.lit(""))))
-    shaped = F.lit(True)
-    for r in raw:
-        shaped = shaped & (F.length(r) == layout.width)
-    wide = 44 if kind == "TD2" else layout.width
-    for r, w in zip(raw, work, strict=True):
-        df = df.withColumn(w, F.rpad(r, wide, "<"))
-    if kind == "TD1":
-        df = df.withColumns({"__a": correct_country(F.substring("__l1", 3, 3)), "__b": correct_country(F.substring("__l2", 16, 3))})
-        df = df.withColumn("__log", F.concat(fix.differences(1, 2, F.substring("__l1", 3, 3), F.col("__a"), 3, "issuing_state"), fix.differences(2, 15, F.substring("__l2", 16, 3), F.col("__b"), 3, "nationality")))
-    elif corrected:
-        df = correct_lines(df, "__l1", "__l2", "TD3" if kind in ("TD3", "TD2") else kind, kind == "TD2" and td2_keep_doc_code)
-    else:
-        df = df.withColumn("__log", F.array().cast(fix.CORRECTION))
-    cut = [F.substring(w, 1, layout.width) for w in work]
-    number, birth, expiry = _cut(cut, layout.number), _cut(cut, layout.birth), _cut(cut, layout.expiry)
-    digit_of = lambda p: _cut(cut, (p[0], p[2], p[2] + 1))
-    sex = _cut(cut, layout.sex)
-    shown_sex = F.when(sex.isin("M", "F", "X"), sex).otherwise(F.lit(""))
-    if kind == "TD1":
-        state, nationality = F.col("__a"), F.col("__b")
-    else:
-        state, nationality = without_fillers(_cut(cut, STATE)), without_fillers(_cut(cut, layout.nationality))
-    surname, given = split_names(_cut(cut, layout.names), layout.clean_names)
-    dates = is_calendar_date if layout.visa else month_and_day_fit
-    none = F.lit(None).cast("boolean")
-    flags = {"ok_number": is_valid_digit(number, digit_of(layout.number), 9), "ok_birth": is_valid_digit(birth, digit_of(layout.birth), 6), "ok_expiry": is_valid_digit(expiry, digit_of(layout.expiry), 6), "ok_personal": none, "ok_composite": none}
-    if kind == "TD3":
-        personal, personal_digit = _cut(cut, (2, 28, 42)), _cut(cut, (2, 42, 43))
-        flags["ok_personal"] = personal.rlike("^<+$") | (personal_digit == "<") | is_valid_digit(personal, personal_digit, 14)
-    if layout.composite:
-        width = sum(e - b for _, b, e in layout.composite)
-        flags["ok_composite"] = is_valid_digit(F.concat(*[_cut(cut, p) for p in layout.composite]), _cut(cut, layout.composite_at), width)
-    flags |= {"ok_state": is_country(state), "ok_nationality": is_country(nationality), "ok_sex": sex.isin("M", "F", "X", "<") if layout.visa else sex.isin("M", "F", "X")}
-    df = df.withColumns({f"__{k}": v for k, v in flags.items()})
-    ok_number, ok_birth, ok_expiry, ok_personal, ok_composite, ok_state, ok_nationality, ok_sex = (F.col(f"__{k}") for k in flags)
-    overall = ok_number & ok_birth & ok_expiry & ok_nationality & ok_state
-    if layout.visa:
-        overall = overall & dates(birth) & dates(expiry) & ok_sex
-    for extra in (ok_personal, ok_composite):
-        overall = overall & F.coalesce(extra, F.lit(True))
-    known = lambda c: F.when(F.col("__shaped"), c)
-    df = df.withColumn("__shaped", shaped)
-    result = F.struct(
-        F.lit(kind).alias("format"),
-        F.col("__shaped").alias("valid_format"),
-        *[F.col(r).alias(f"raw_line{k + 1}") for k, r in enumerate(raw)],
-        *[F.when(F.col("__shaped"), c).otherwise(F.col(r)).alias(f"line{k + 1}") for k, (c, r) in enumerate(zip(cut, raw, strict=True))],
-        F.when(F.col("__shaped"), F.col("__log")).otherwise(F.array().cast(fix.CORRECTION)).alias("corrections"),
-        known(without_fillers(F.substring(cut[0], 1, 2))).alias("document_code"),
-        known(state).alias("issuing_state"),
-        known(surname).alias("surname"),
-        known(given).alias("given_names"),
-        known(without_fillers(number)).alias("document_number"),
-        known(nationality).alias("nationality"),
-        known(birth).alias("date_of_birth"),
-        known(shown_sex).alias("sex"),
-        known(expiry).alias("date_of_expiry"),
-        known(F.concat_ws("|", *[without_fillers(_cut(cut, p)) for p in layout.optional])).alias("optional"),
-        known(ok_number).alias("number_ok"),
-        known(ok_birth).alias("birth_ok"),
-        known(ok_expiry).alias("expiry_ok"),
-        known(ok_personal).alias("personal_ok"),
-        known(ok_composite).alias("composite_ok"),
-        known(ok_birth & dates(birth)).alias("birth_valid"),
-        known(ok_expiry & dates(expiry)).alias("expiry_valid"),
-        known(F.coalesce(ok_sex, F.lit(False))).alias("sex_valid"),
-        known(ok_state).alias("state_valid"),
-        known(ok_nationality).alias("nationality_valid"),
-        F.coalesce(F.col("__shaped") & overall, F.lit(False)).alias("overall_valid"),
+
+    def translated(text: str) -> str:
+        return f"translate({text}, '{FIELD_CONFUSIONS[0]}', '{FIELD_CONFUSIONS[1]}')"
+
+    def fits(date: str) -> str:
+        return f"(not g.f.dated or {_fits(date)})"
+
+    def nested(text: str) -> str:
+        return text.replace("g.", "h.g.")
+
+    read = f"transform({fields}, f -> named_struct('f', f, 'r', {translated('f.digit')}, 'w', {translated('f.value')}, 'total', {_sum('f.value')}))"
+    asis = f"{_matches('g.total', 'g.r')} and {fits('g.f.value')}"
+    judged = f"transform({read}, g -> named_struct('g', g, 'asis', {asis}, 'doubtful', g.f.open and g.w <> g.f.value and not ({asis})))"
+    old, new = "substring(g.f.value, i + 1, 1)", "substring(g.w, i + 1, 1)"
+    changed = f"overlay(g.f.value, {new}, i + 1, 1)"
+    total = f"g.total + ({_value(new)} - {_value(old)}) * {_WEIGHT}"
+    right = f"{old} <> {new} and {_matches(total, 'g.r')} and {fits(changed)}"
+    single = f"filter(transform(sequence(0, length(g.f.value) - 1), i -> if({right}, {changed}, null)), x -> x is not null)"
+    whole = f"{_matches(_sum('g.w'), 'g.r')} and {fits('g.w')}"
+    tried = f"transform({judged}, h -> named_struct('f', h.g.f, 'r', h.g.r, 'w', h.g.w, 'asis', h.asis, 'one', if(h.doubtful, {nested(single)}, cast(array() as array<string>)), 'whole', h.doubtful and {nested(whole)}))"
+    found = f"transform({tried}, k -> named_struct('f', k.f, 'r', k.r, 'p', case when not k.f.open then null when k.asis then k.f.value when size(k.one) = 1 then k.one[0] when size(k.one) = 0 and k.whole then k.w end))"
+    made = f"transform({found}, m -> named_struct('f', m.f, 'value', coalesce(m.p, m.f.value), 'digit', if(m.p is not null, m.r, m.f.digit)))"
+    digit_log = _log("n.f.line", "n.f.at + length(n.f.value)", "n.f.digit", "n.digit", "concat(n.f.name, '_check_digit')")
+    value_log = _log("n.f.line", "n.f.at", "n.f.value", "n.value", "n.f.name")
+    return f"transform({made}, n -> named_struct('value', n.value, 'digit', n.digit, 'log', concat({digit_log}, {value_log})))"
+
+
+def parse_by_format(df: DataFrame, fmt: str, lines: list[str], corrected: bool = True, td2_keep_doc_code: bool = False) -> DataFrame:
+    """The rows of df whose column ``fmt`` names a layout, with ``mrz``. Lines of another width give valid_format false and no fields.
+
+    lines: two or three columns; a format of fewer lines doesn't look at the third.
+    td2_keep_doc_code: TD2 lines are corrected like TD3, which sets their first character to P; True leaves it.
+    """
+    own = df.columns
+    df = df.join(F.broadcast(layouts(df.sparkSession, corrected)), F.col(fmt) == F.col("__fmt"))
+    df = df.withColumn("__raw", F.slice(F.array(*[normalize_line(F.coalesce(F.col(c), F.lit(""))) for c in lines]), F.lit(1), F.col("__at.lines")))
+    df = df.selectExpr("*", "transform(__raw, x -> rpad(x, __at.wide, '<')) as __l", "forall(__raw, x -> length(x) = __at.width) as __shaped")
+
+    full, linewise = "__at.mode = 'full'", "__at.mode in ('full', 'plain')"
+    one, two = "__l[0]", "__l[1]"
+    names = {"number": f"if({full}, 'passport_number', 'document_number')", "birth": "'date_of_birth'", "expiry": "'date_of_expiry'"}
+
+    def field(c: str) -> str:
+        place = f"__at.{c}"
+        return f"named_struct('line', {place}[0], 'at', {place}[1], 'value', {_cut('__l', place)}, 'digit', {_behind('__l', place)}, 'name', {names[c]}, 'dated', {str(c != 'number').lower()}, 'open', {linewise})"
+
+    codes = F.expr(f"array(substring({one}, 3, 3), {_cut('__l', '__at.nationality')})")
+    sex, keep = F.expr(_cut("__l", "__at.sex")), f"__at.mode <> 'full' or ({str(td2_keep_doc_code).lower()} and __fmt = 'TD2')"
+    df = df.withColumns({
+        "__f": F.expr(_proven(f"array({', '.join(map(field, names))})")),
+        "__codes": F.when(F.expr("__at.mode = 'none'"), codes).otherwise(F.transform(codes, correct_country)),
+        "__code": F.expr(f"if({keep}, substring({one}, 1, 1), 'P')"),
+        "__sex": F.when(F.expr(full), fix.correct_sex(sex)).otherwise(sex),
+    })
+    df = df.withColumn("__head", F.expr(f"concat(__code, substring({one}, 2, 1), __codes[0], substring({one}, 6, 100))"))
+    rest, seal = f"substring({two}, 29, if({full}, 15, 100))", f"substring({two}, 44, 1)"
+    payload = F.expr(f"concat({', '.join(f'__f[{k}].value, __f[{k}].digit' for k in range(3))}, {rest})")
+    df = df.withColumns({
+        "__first": F.when(F.expr(full), fix.correct_trailing_fillers(F.col("__head"))).otherwise(F.col("__head")),
+        "__seal": F.when(F.expr(full), fix.correct_composite(payload, F.expr(seal))).otherwise(""),
+    })
+    second = f"concat(__f[0].value, __f[0].digit, __codes[1], __f[1].value, __f[1].digit, __sex, __f[2].value, __f[2].digit, {rest}, __seal)"
+    states = _log(1, 2, f"substring({one}, 3, 3)", "__codes[0]", "'issuing_state'")
+    nations = _log("__at.nationality[0]", "__at.nationality[1]", _cut("__l", "__at.nationality"), "__codes[1]", "'nationality'")
+    sealed = _log(2, 43, seal, "__seal", "'composite_check_digit'")
+    lined = [_log(1, 0, f"substring({one}, 1, 1)", "__code", "'document_code'"), states, _log(1, 0, "__head", "__first", "'filler'"), "__f[0].log", nations, "__f[1].log"]
+    lined += [_log("__at.sex[0]", "__at.sex[1]", _cut("__l", "__at.sex"), "__sex", "'sex'"), "__f[2].log", f"if({full}, {sealed}, {_NONE})"]
+    df = df.selectExpr(
+        "*",
+        f"case when {linewise} then concat({', '.join(lined)}) when __at.mode = 'card' then concat({states}, {nations}) else {_NONE} end as __log",
+        f"transform(if({linewise}, array(__first, {second}), __l), x -> substring(x, 1, __at.width)) as __cut",
     )
-    return df.withColumn("mrz", result).drop("__shaped", "__log", "__a", "__b", *[f"__{k}" for k in flags], *raw, *work)
+    return _told(df).select(*[f"`{c}`" for c in own if c != "mrz"], "mrz")
+
+
+def _told(df: DataFrame) -> DataFrame:
+    """df with ``mrz`` from the corrected lines ``__cut``."""
+
+    def cut(name: str) -> str:
+        return _cut("__cut", f"__at.{name}")
+
+    def shown(place: str) -> str:
+        return f"replace({_cut('__cut', place)}, '<', '')"
+
+    composite = f"array_join(transform(__at.composite, p -> {_cut('__cut', 'p')}), '')"
+    pairs = [f"named_struct('v', {cut(c)}, 'd', {_behind('__cut', f'__at.{c}')})" for c in ("number", "birth", "expiry", "personal")]
+    pairs.append(f"named_struct('v', {composite}, 'd', {cut('composite_at')})")
+    df = df.selectExpr(
+        "*",
+        f"transform(array({', '.join(pairs)}), x -> {_matches(_sum('x.v'), 'x.d')}) as __d",
+        f"if(__at.mode = 'card', __codes, transform(array(array({', '.join(map(str, STATE))}), __at.nationality), p -> {shown('p')})) as __n",
+        f"transform(array({cut('birth')}, {cut('expiry')}), x -> {_fits('x')} and (not __at.visa or x rlike '^[0-9]{{6}}$')) as __t",
+        f"{cut('sex')} as __s",
+    ).withColumn("__names", split_names(F.expr(cut("names")), F.col("__at.clean_names")))
+    flags = {
+        "number_ok": "__d[0]", "birth_ok": "__d[1]", "expiry_ok": "__d[2]",
+        "personal_ok": f"if(__at.personal is not null, {cut('personal')} rlike '^<+$' or {_behind('__cut', '__at.personal')} = '<' or __d[3], null)",
+        "composite_ok": "if(__at.composite_at is not null, __d[4], null)",
+        "birth_valid": "__d[1] and __t[0]", "expiry_valid": "__d[2] and __t[1]", "sex_valid": "__s in ('M', 'F', 'X') or (__at.visa and __s = '<')",
+    }
+    known = {k: F.expr(v) for k, v in flags.items()} | {"state_valid": is_country(F.expr("__n[0]")), "nationality_valid": is_country(F.expr("__n[1]"))}
+    df = df.withColumn("__ok", F.struct(*[v.alias(k) for k, v in known.items()]))
+    overall = "__ok.number_ok and __ok.birth_ok and __ok.expiry_ok and __ok.state_valid and __ok.nationality_valid and coalesce(__ok.personal_ok, true) and coalesce(__ok.composite_ok, true)"
+    fields = {
+        "document_code": "replace(substring(__cut[0], 1, 2), '<', '')", "issuing_state": "__n[0]", "surname": "__names[0]", "given_names": "coalesce(get(__names, 1), '')", "document_number": shown("__at.number"), "nationality": "__n[1]",
+        "date_of_birth": cut("birth"), "sex": "if(__s in ('M', 'F', 'X'), __s, '')", "date_of_expiry": cut("expiry"), "optional": f"array_join(transform(__at.optional, p -> {shown('p')}), '|')",
+    } | {k: f"__ok.{k}" for k in known}
+    made = {"format": "__fmt", "valid_format": "__shaped"} | {f"raw_line{k + 1}": f"get(__raw, {k})" for k in range(3)} | {f"line{k + 1}": f"get(if(__shaped, __cut, __raw), {k})" for k in range(3)}
+    made |= {"corrections": f"if(__shaped, __log, {_NONE})"} | {k: f"if(__shaped, {v}, null)" for k, v in fields.items()}
+    made["overall_valid"] = f"coalesce(__shaped and {overall} and (not __at.visa or (__ok.birth_valid and __ok.expiry_valid and __ok.sex_valid)), false)"
+    return df.selectExpr("*", "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in made.items()) + ") as mrz")
+
 
+def parse(df: DataFrame, kind: str, lines: list[str], corrected: bool = True, td2_keep_doc_code: bool = False) -> DataFrame:
+    """df with ``mrz``, all rows read as one format."""
+    return parse_by_format(df.withColumn("__kind", F.lit(kind)), "__kind", lines, corrected, td2_keep_doc_code).drop("__kind")

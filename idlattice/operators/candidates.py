@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mrz_lines import normalize_line
-from ..functions.mrz_parse import parse
+from ..functions.mrz_parse import parse_by_format
 from ..sources.tables import settled
 
 LEAST_SCORE = 40.0
@@ -73,25 +73,17 @@ def guess_format(l1: Column, l2: Column, l3: Column) -> Column:
 
 
 def parsed_candidates(groups: DataFrame) -> DataFrame:
-    """Groups that look like a format, with what its parser makes of them; each row is parsed by one parser.
+    """Groups that look like a format, with what the parser makes of them; one plan for all formats.
 
-    Groups and results are written between the steps: a filter on a format then reaches the scan, and no
-    parser's expressions are written out again inside another step.
+    Groups and results are written between the steps, so that the parser's expressions are not written out again in others.
     """
     shaped = groups.withColumns({f"n{k}": normalize_line(F.col(f"line{k}")) for k in (1, 2, 3)}).withColumn("fmt", guess_format(F.col("n1"), F.col("n2"), F.col("n3")))
-    shaped = settled(shaped, "groups")
     common = ("format", "valid_format", "line1", "line2", "document_code", "document_number", "nationality", "surname", "given_names", "issuing_state", "date_of_birth", "sex", "date_of_expiry", "optional", "number_ok", "birth_ok", "expiry_ok", "personal_ok", "composite_ok", "state_valid", "nationality_valid", "overall_valid")
-    found = None
-    # five formats at most; only those that occur are planned, and where none does the passport's parser gives the columns
-    seen = {r["fmt"] for r in shaped.where("fmt is not null").select("fmt").distinct().collect()} or {"TD3"}
-    for kind, width, n in (("TD1", 30, 3), ("MRVA", 44, 2), ("MRVB", 36, 2), ("TD2", 36, 2), ("TD3", 44, 2)):
-        if kind not in seen:
-            continue
-        mine = shaped.where(F.col("fmt") == kind).withColumns({f"p{k}": F.rpad(f"n{k}", width, "<") for k in range(1, n + 1)})
-        rows = parse(mine, kind, [f"p{k}" for k in range(1, n + 1)]).select(*groups.columns, F.struct(*[F.col(f"mrz.{c}").alias(c) for c in common]).alias("mrz"))
-        rows = settled(rows, f"parsed-{kind}")
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    # lines that are too short or too long are filled up or cut to the format's width
+    width = F.when(F.col("fmt") == "TD1", 30).when(F.col("fmt").isin("MRVB", "TD2"), 36).otherwise(44)
+    cut = settled(shaped.where("fmt is not null"), "groups").withColumns({f"p{k}": F.rpad(f"n{k}", width, F.lit("<")) for k in (1, 2, 3)})
+    rows = parse_by_format(cut, "fmt", ["p1", "p2", "p3"])
+    return settled(rows.select(*groups.columns, F.struct(*[F.col(f"mrz.{c}").alias(c) for c in common]).alias("mrz")), "parsed")
 
 
 def candidate_score(lines: list[str]) -> Column:
