@@ -5,7 +5,9 @@ string of words, so that a phrase is found across any punctuation. Behind an ide
 text is read as a licence expression: identifiers joined by AND, OR and WITH, with parentheses and a trailing plus. It
 may go on in the next line, behind the sign of a comment, where an operator or a parenthesis wants more or where the
 line begins with an operator in capitals. A small-lettered operator counts only before an identifier that is known, as
-it may be prose. Every licence of the expression is a label; the exception that WITH names is none.
+it may be prose. Every licence of the expression is a label, one that is not in the table behind "unknown:"; the exception
+that WITH names is none. The words "license" and "licence" are tags too where a colon and known identifiers follow.
+Reading takes time in proportion to the text.
 
 Defined cases: null or empty text has no words, empty labels and score 0; a tag without a colon or an identifier, or
 with a malformed expression, gives no label of its own and verdict null, the tag is still reported.
@@ -14,6 +16,7 @@ with a malformed expression, gives no label of its own and verdict null, the tag
 from __future__ import annotations
 
 import re
+from importlib.resources import files
 
 import ahocorasick
 import numpy as np
@@ -48,8 +51,13 @@ NOTICES = {
 BASE_WEIGHT = {"cc-by": 0.8, "gpl": 0.9, "reserved": 0.7}
 TAGS = ("spdx license identifier",)
 TAG_WEIGHT = 0.95
-#: Identifier stems and how freely they may be used, 2 free, 1 with share-alike or notice duties, 0 not.
-GRADES = {"mit": 2, "apache-2.0": 2, "bsd-2-clause": 2, "bsd-3-clause": 2, "isc": 2, "cc0-1.0": 2, "unlicense": 2, "cc-by-4.0": 2, "mpl-2.0": 1, "lgpl-2.1": 1, "lgpl-3.0": 1, "gpl-2.0": 1, "gpl-3.0": 1, "agpl-3.0": 1, "epl-2.0": 1, "cc-by-sa-4.0": 1, "cc-by-nc-4.0": 0, "cc-by-nd-4.0": 0}
+#: Tags that are ordinary words: they count only with a colon behind them and identifiers that are all known.
+WORD_TAGS = ("license", "licence")
+#: Identifiers of the table in lower case, with how freely they may be used.
+GRADES = {name.lower(): int(grade) for name, grade in (x.split() for x in files(__package__).joinpath("spdx.txt").read_text().splitlines() if x and not x.startswith("#"))}
+UNKNOWN_WEIGHT = 0.5
+#: Bytes behind a tag that are looked at first; more where the expression goes on.
+WINDOW = 512
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9](?:[A-Za-z0-9.:-]*[A-Za-z0-9])?\+?")
@@ -60,7 +68,7 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for phrase in {*BASE, *NOTICES, *TAGS}:
+    for phrase in {*BASE, *NOTICES, *TAGS, *WORD_TAGS}:
         found.add_word(f" {phrase} ", phrase)
     found.make_automaton()
     return found
@@ -140,17 +148,37 @@ def _is_known(identifier: str) -> bool:
     return re.sub(r"(\+|-only|-or-later)$", "", identifier.lower()) in GRADES
 
 
-def _expression_after(raw: bytes, last_word: int) -> str:
-    """The expression behind the word of that number and its colon, as far as it goes; tokens joined by blanks."""
+def _word_ends(raw: bytes) -> np.ndarray:
     plain = np.frombuffer(raw.translate(_WORDS), np.uint8) != 32
-    ends = np.flatnonzero(plain & ~np.append(plain[1:], False)) + 1
-    text = raw[int(ends[last_word]) :].decode()
+    return np.flatnonzero(plain & ~np.append(plain[1:], False)) + 1
+
+
+def _expression_after(raw: bytes, begin: int) -> str:
+    """The expression behind a tag that ends at that byte, and its colon, as far as it goes; tokens joined by blanks.
+
+    It is read in a window of the text, which grows while the expression reaches its end.
+    """
+    size = WINDOW
+    while True:
+        text = raw[begin : begin + size].decode(errors="ignore")
+        found, ended = _expression(text)
+        if ended or begin + size >= len(raw):
+            return found
+        size *= 4
+
+
+def _expression(text: str) -> tuple[str, bool]:
+    """(tokens, whether the expression ends before the text does)."""
     colon = _COLON.match(text)
     at = colon.end() if colon else len(text)
+    if not colon:
+        return "", bool(text.strip(" \t"))
     kept, operand_next, depth, loose = [], True, 0, False
     while True:
         gap = _GAP.match(text, at)
         token = _TOKEN.match(text, gap.end())
+        # what stops within a few signs of the end may go on behind it
+        open_ = (gap.end() if token is None else token.end()) > len(text) - 8
         if token is None:
             break
         word, next_line = token[0], "\n" in gap[0]
@@ -172,7 +200,7 @@ def _expression_after(raw: bytes, last_word: int) -> str:
         at = token.end()
     if loose:
         kept.pop()
-    return " ".join(kept)
+    return " ".join(kept), not open_
 
 
 def scan_text(raw: bytes) -> dict:
@@ -185,14 +213,19 @@ def scan_text(raw: bytes) -> dict:
         line = b" ".join([b"", *words, b""])
         hits = list(_machine[0].iter(line.decode("latin-1")))
         if hits:
-            blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-            for end, phrase in hits:
+            blanks, ends = np.flatnonzero(np.frombuffer(line, np.uint8) == 32), None
+            firsts = np.searchsorted(blanks, [end for end, _ in hits])
+            for last, (_, phrase) in zip(firsts.tolist(), hits, strict=True):
                 n = phrase.count(" ") + 1
-                first = int(np.searchsorted(blanks, end)) - n
-                found["places"].append((first, n, phrase))
-                if phrase in TAGS:
-                    text = _expression_after(raw, first + n - 1)
-                    postfix = parse_expression(text)
+                first = last - n
+                if phrase not in WORD_TAGS:
+                    found["places"].append((first, n, phrase))
+                    if phrase not in TAGS:
+                        continue
+                ends = _word_ends(raw) if ends is None else ends
+                text = _expression_after(raw, int(ends[last - 1]))
+                postfix = parse_expression(text)
+                if phrase in TAGS or (postfix and all(map(_is_known, licences_of(postfix)))):
                     found["expressions"].append((text, evaluate(postfix) if postfix else None, postfix or []))
     base = {BASE[p] for _, _, p in found["places"] if p in BASE}
     weights = {x: BASE_WEIGHT[x] for x in base}
@@ -201,7 +234,8 @@ def scan_text(raw: bytes) -> dict:
             label, weight = NOTICES[p]
             weights[label] = max(weight, weights.get(label, 0.0))
     for _, _, postfix in found["expressions"]:
-        weights |= dict.fromkeys(licences_of(postfix), TAG_WEIGHT)
+        for x in licences_of(postfix):
+            weights |= {x: TAG_WEIGHT} if _is_known(x) else {f"unknown:{x}": UNKNOWN_WEIGHT}
     doubt = 1.0
     for x in sorted(weights):
         doubt *= 1.0 - weights[x]
