@@ -3,11 +3,14 @@
 Vectors are cut into subspaces of two components with 16 codewords each. Codewords and codes minimise
 |r|^2 + (eta - 1) <r, x>^2 / |x|^2 for the residual r: the part of r along x, which moves inner products
 of near queries most, weighs eta times as much (Guo et al., "Accelerating large-scale inference with
-anisotropic vector quantization", 2020). A query's tables hold its products with all codewords; a scan adds
-table entries by code, two four-bit codes at a time. The best of each block are scored on the original
-vectors in double precision. A row's true score exceeds its approximate one by at most the query's norm times
-the norm of the row's residual; every other row that may so reach the k-th score is scored too. The codes
-only decide how much is scored: what is found is exact.
+anisotropic vector quantization", 2020). A query's tables hold its products with all codewords in eight bits; a
+scan adds table entries by code, two four-bit codes at a time, for all queries of a block at once, in integers.
+
+The codes decide what is scored on the original vectors, in double precision: first the best of each block, then
+every row whose approximate score, with ``SPREAD`` times the error that codes make, reaches the k-th of these. The
+error is measured in each block on evenly spaced rows, relative to the norm of a row's residual. Rows that are left out would
+have to be off by more; measured recall on random and on clustered vectors was over 0.999 (tests). ``exact=True`` takes the bound
+instead, the query's norm times that of the residual, and finds all.
 
 The codebooks are fitted on at most ``SAMPLE`` vectors; every vector is coded and scanned. Vectors stand in
 blocks of bounded rows, queries too, and each pair of blocks is one bounded piece of work.
@@ -34,7 +37,10 @@ SAMPLE = 16_384
 BLOCK = 8192
 QUERY_BLOCK = 512
 #: Candidates of a block that are scored first, for each query; their k-th score rules out others.
-RERANK = 256
+RERANK = 128
+#: Standard deviations of the codes' error that a row is allowed, and rows of a block on which it is measured.
+SPREAD = 3.5
+MEASURED = 256
 #: Score from which on parallel error should matter; it sets eta.
 THRESHOLD = 0.2
 
@@ -122,41 +128,55 @@ def scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
     return out
 
 
+def coarse(tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tables in eight bits, one query beside the other (pairs, 256, queries), with each query's step and base."""
+    low = tables.min(axis=2, keepdims=True)
+    step = np.maximum((tables - low).max(axis=(0, 2)), 1e-30) / 255
+    return np.ascontiguousarray(np.rint((tables - low) / step[None, :, None]).astype(np.uint8).transpose(0, 2, 1)), step.astype(np.float64), low.sum(axis=(0, 2), dtype=np.float64)
+
+
+def coarse_scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Sums of table entries (queries, rows), in integers; a row of the table serves all queries."""
+    out = np.zeros((packed.shape[1], tables.shape[2]), np.uint16 if len(tables) <= 257 else np.uint32)
+    for table, code in zip(tables, packed, strict=True):
+        out += table[code]
+    return np.ascontiguousarray(out.T)
+
+
 def _products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Scores row by row in one order of sums, so that equal vectors tie wherever they stand."""
     return np.einsum("nd,d->n", vectors, query)
 
 
-def best_of_block(quantizer: Quantizer, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, packed: np.ndarray, reach: np.ndarray, k: int, rerank: int) -> tuple[list, list, list]:
+def best_of_block(quantizer: Quantizer, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, packed: np.ndarray, reach: np.ndarray, k: int, rerank: int, exact: bool = False) -> tuple[list, list, list]:
     """Each query's k best of a block whose rows are in order of id: (query ids, ids, scores)."""
-    approx = scan(quantizer.tables(queries), packed)
+    tables, norms = quantizer.tables(queries), np.linalg.norm(queries, axis=1)
+    if exact:
+        approx = scan(tables, packed)
+        step, base, room = np.ones(len(queries)), np.zeros(len(queries)), norms
+    else:
+        small, step, base = coarse(tables)
+        approx = coarse_scan(small, packed)
+        some = np.unique(np.linspace(0, len(ids) - 1, MEASURED).astype(np.int64))
+        error = (queries @ vectors[some].T - (base[:, None] + step[:, None] * approx[:, some])) / np.maximum(norms[:, None] * reach[some], 1e-300)
+        room = norms * np.maximum(error.mean(axis=1) + SPREAD * error.std(axis=1), 0)
     most = min(max(rerank, k) + 1, len(ids))  # its own row may be among them
-    kth = np.partition(approx, len(ids) - most, axis=1)[:, len(ids) - most]
-    norms = np.linalg.norm(queries, axis=1)
-    rough = None
     found: tuple[list, list, list] = ([], [], [])
     for q in range(len(query_ids)):
         row = approx[q]
-        near = np.flatnonzero(row >= kth[q])
+        near = np.argpartition(row, len(row) - most)[len(row) - most :]
         near = near[ids[near] != query_ids[q]]
-        if len(near) > most:
-            near = near[np.argsort(-row[near], kind="stable")[:most]]
-        exact = _products(vectors[near], queries[q])
-        bar = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
-        open_ = ~(row + norms[q] * reach < bar) & (ids != query_ids[q])
-        open_[near] = False
-        rest = np.flatnonzero(open_)
-        if len(rest) > rerank:
-            if rough is None:  # one product of matrices rules out most rows where codes can't
-                rough = queries @ vectors.T
-                slack = 1e-9 * norms * np.sqrt((vectors**2).sum(axis=1).max())
-            rest = rest[~(rough[q, rest] < bar - slack[q])]
-        if len(rest):
-            near, exact = np.concatenate([near, rest]), np.concatenate([exact, _products(vectors[rest], queries[q])])
-        order = np.lexsort((ids[near], -exact))[:k]
+        scores = _products(vectors[near], queries[q])
+        if len(scores) >= k:
+            bar = np.partition(scores, len(scores) - k)[len(scores) - k]
+            rest = np.flatnonzero(base[q] + step[q] * row + room[q] * reach >= bar)
+            rest = rest[ids[rest] != query_ids[q]]
+            rest = rest[~np.isin(rest, near, assume_unique=True)]
+            near, scores = np.concatenate([near, rest]), np.concatenate([scores, _products(vectors[rest], queries[q])])
+        order = np.lexsort((ids[near], -scores))[:k]
         found[0].append(np.full(len(order), query_ids[q]))
         found[1].append(ids[near[order]])
-        found[2].append(exact[order])
+        found[2].append(scores[order])
     return found
 
 
@@ -201,10 +221,10 @@ def _blocks(rows: DataFrame, size: int, count: int, quantizer: Quantizer | None)
     return rows.repartition(count).mapInArrow(run, "part long, n int, ids binary, vectors binary, packed binary, reach binary")
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK, block: int = BLOCK, exact: bool = False) -> DataFrame:
     """The k rows of largest inner product for every query row: query_id, rank, vec_id, score.
 
-    is_query: condition on the column ``id``, the row's vec_id.
+    is_query: condition on the column ``id``, the row's vec_id. exact: leave out only what the codes prove to be no neighbour.
     """
     spark = rows.sparkSession
     valid = rows.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
@@ -226,7 +246,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
             for r in range(batch.num_rows):
                 cell = lambda name, kind, r=r, batch=batch: np.frombuffer(batch.column(batch.schema.get_field_index(name))[r].as_buffer(), kind)
                 ids, qids = cell("ids", "<i8"), cell("qids", "<i8")
-                found = best_of_block(quantizer, qids, cell("qvectors", "<f8").reshape(len(qids), dim), ids, cell("vectors", "<f8").reshape(len(ids), dim), cell("packed", np.uint8).reshape(-1, len(ids)), cell("reach", "<f8"), k, rerank)
+                found = best_of_block(quantizer, qids, cell("qvectors", "<f8").reshape(len(qids), dim), ids, cell("vectors", "<f8").reshape(len(ids), dim), cell("packed", np.uint8).reshape(-1, len(ids)), cell("reach", "<f8"), k, rerank, exact)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["query_id", "vec_id", "score"])
 
     found = met.select("ids", "vectors", "packed", "reach", "qids", "qvectors").mapInArrow(run, "query_id long, vec_id long, score double")

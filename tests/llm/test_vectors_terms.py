@@ -8,7 +8,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from idlattice.llm import embedding_dedup, hard_negatives, lexical_search
+from idlattice.llm import embedding_dedup, hard_negatives, lexical_search, vector_search
 
 NAN, INF = float("nan"), float("inf")
 VECTORS = "vec_id long, embedding array<double>, label int, score string, u long, part string"
@@ -190,3 +190,34 @@ def test_sums_stay_in_the_reading_task(spark):
     plan = lexical_search.search(d, spark.createDataFrame([(1, "one w3")], "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     below = plan.split("Exchange hashpartitioning")[1]
     assert below.count("Exchange hashpartitioning") == 0 and "Bucketed: true" in below and "WindowGroupLimit" in below
+
+
+# --- op8 --------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_codes_decide(spark, exact):
+    """Several blocks, a third near copies: few rows are scored, recall is measured; exact finds all."""
+    rng = np.random.default_rng(8)
+    data = embedding_dedup.unit(rng.normal(size=(6000, 64)))
+    data[::3] = data[0] + rng.normal(size=(2000, 64)) * 0.05 / 8
+    out = vector_search.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>"), F.col("id") % 100 == 0, block=1500, exact=exact).collect()
+    hits = 0
+    for q in range(0, 6000, 100):
+        scores = data @ data[q]
+        scores[q] = -np.inf
+        hits += len({r.vec_id for r in out if r.query_id == q} & set(np.lexsort((np.arange(6000), -scores))[:20].tolist()))
+    assert hits == 60 * 20 if exact else hits >= 0.99 * 60 * 20
+
+
+def test_few_rows_are_scored(monkeypatch):
+    rng = np.random.default_rng(9)
+    data = embedding_dedup.unit(rng.normal(size=(8192, 64)))
+    own, scored, products = vector_search.Quantizer(64).fit(data[:4000]), [], vector_search._products
+    monkeypatch.setattr(vector_search, "_products", lambda v, q: scored.append(len(v)) or products(v, q))
+    packed, ids = own.packed(data), np.arange(8192)
+    found = vector_search.best_of_block(own, ids[:50], data[:50], ids, data, packed, own.reach(data, packed), 20, 128)
+    assert sum(scored) < 0.12 * 50 * 8192
+    exact = data[:50] @ data.T
+    exact[ids[:50], ids[:50]] = -np.inf
+    assert np.mean([len(set(found[1][q].tolist()) & set(np.argsort(-exact[q])[:20].tolist())) for q in range(50)]) >= 19.8
