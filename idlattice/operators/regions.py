@@ -70,27 +70,34 @@ def spatial_values(regions: DataFrame, label: str, pattern: str, card: bool = Fa
 def grouped_lines(regions: DataFrame, threshold: float = 16.0) -> DataFrame:
     """Words of a document merged into lines: doc_id, line_no, text, confidence, x1, y1, x2, y2.
 
-    Words go, by height of their centres, to the first line whose mean centre is within the threshold. The
-    fold runs over each document's sorted words.
+    Words go, by height of their centres, to the first line whose mean centre is within the threshold. Where two
+    centres in order lie further apart than that, no line holds words of both sides: such gaps cut the document into
+    islands, and the words of each are dealt to lines by themselves. As centres only grow, a line that a word has left
+    behind takes no later one either, so only lines still within reach are kept at hand. All steps share one partitioning.
     """
-    word = F.struct(((F.col("y1") + F.col("y2")) / 2.0).alias("cy"), "ordinal", "x1", "y1", "x2", "y2", F.col("clean").alias("text"), "confidence")
     from ..functions.fields import english_token
 
-    words = regions.withColumn("clean", english_token(F.col("text"))).where(F.col("clean") != "").groupBy("doc_id").agg(F.array_sort(F.collect_list(word)).alias("words"))
-    start = F.expr("cast(array() as array<struct<total:double,n:int,words:array<struct<cy:double,ordinal:int,x1:int,y1:int,x2:int,y2:int,text:string,confidence:double>>>>)")
-
-    def place(lines: Column, w: Column) -> Column:
-        near = F.transform(lines, lambda g: F.abs(w["cy"] - g["total"] / g["n"]) <= threshold)
-        at = F.array_position(near, True)
-        grown = F.transform(lines, lambda g, i: F.when(i + 1 == at, F.struct((g["total"] + w["cy"]).alias("total"), (g["n"] + 1).alias("n"), F.concat(g["words"], F.array(w)).alias("words"))).otherwise(g))
-        new = F.concat(lines, F.array(F.struct(w["cy"].alias("total"), F.lit(1).alias("n"), F.array(w).alias("words"))))
-        return F.when(at > 0, grown).otherwise(new)
-
-    lines = words.select("doc_id", F.posexplode(F.aggregate("words", start, place)).alias("line_no", "g"))
-    ordered = F.array_sort(F.transform("g.words", lambda w: F.struct(w["x1"].alias("x1"), w["cy"].alias("cy"), w["ordinal"].alias("ordinal"), w["text"].alias("text"), w["confidence"].alias("confidence"))))
-    length = F.aggregate("g.words", F.lit(0), lambda a, w: a + F.length(w["text"]))
-    weighted = F.aggregate("g.words", F.lit(0.0), lambda a, w: a + w["confidence"] * F.length(w["text"]))
-    return lines.select("doc_id", "line_no", F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"), F.round(weighted / F.greatest(F.lit(1), length), 4).alias("confidence"), F.array_min("g.words.x1").alias("x1"), F.array_min("g.words.y1").alias("y1"), F.array_max("g.words.x2").alias("x2"), F.array_max("g.words.y2").alias("y2"))
+    order = ("cy", "ordinal", "x1", "y1", "x2", "y2", "text", "confidence")
+    clean = regions.withColumn("clean", english_token(F.col("text"))).where(F.col("clean") != "")
+    words = clean.select("doc_id", ((F.col("y1") + F.col("y2")) / 2.0).alias("cy"), "ordinal", "x1", "y1", "x2", "y2", F.col("clean").alias("text"), "confidence")
+    down = Window.partitionBy("doc_id").orderBy(*order)
+    gap = (F.col("cy") - F.lag("cy").over(down) > threshold).cast("int")
+    cut = words.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("island", F.sum("gap").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = cut.groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("words"))
+    near = f"filter(s.open, g -> abs(w.cy - g.total / g.n) <= {threshold})"
+    empty = "named_struct('open', cast(array() as array<struct<total:double,n:int,line:int>>), 'lines', 0, 'at', cast(array() as array<int>))"
+    joined = "named_struct('open', concat(array(named_struct('total', t.open[0].total + t.cy, 'n', t.open[0].n + 1, 'line', t.open[0].line)), slice(t.open, 2, size(t.open))), 'lines', t.lines, 'at', concat(t.at, array(t.open[0].line)))"
+    begun = "named_struct('open', array(named_struct('total', t.cy, 'n', 1, 'line', t.lines)), 'lines', t.lines + 1, 'at', concat(t.at, array(t.lines)))"
+    step = f"transform(array(named_struct('open', {near}, 'lines', s.lines, 'at', s.at, 'cy', w.cy)), t -> if(size(t.open) > 0, {joined}, {begun}))[0]"
+    dealt = islands.withColumn("f", F.expr(f"aggregate(words, {empty}, (s, w) -> {step})"))
+    before = Window.partitionBy("doc_id").orderBy("island").rowsBetween(Window.unboundedPreceding, -1)
+    counted = dealt.withColumn("first", F.coalesce(F.sum("f.lines").over(before), F.lit(0)))
+    numbered = counted.select("doc_id", "island", "first", F.inline(F.arrays_zip("words", F.col("f.at").alias("line"))))
+    lines = numbered.groupBy("doc_id", "island", (F.col("first") + F.col("line")).cast("int").alias("line_no")).agg(F.array_sort(F.collect_list("words")).alias("words"))
+    ordered = F.array_sort(F.transform("words", lambda w: F.struct(w["x1"].alias("x1"), w["cy"].alias("cy"), w["ordinal"].alias("ordinal"), w["text"].alias("text"), w["confidence"].alias("confidence"))))
+    length = F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w["text"]))
+    weighted = F.aggregate("words", F.lit(0.0), lambda a, w: a + w["confidence"] * F.length(w["text"]))
+    return lines.select("doc_id", "line_no", F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"), F.round(weighted / F.greatest(F.lit(1), length), 4).alias("confidence"), F.array_min("words.x1").alias("x1"), F.array_min("words.y1").alias("y1"), F.array_max("words.x2").alias("x2"), F.array_max("words.y2").alias("y2"))
 
 
 def crop_boxes(labels: DataFrame, width: str, height: str, kind: str = "dob") -> DataFrame:
