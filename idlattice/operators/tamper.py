@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.compare import FIELD_PAIRS, HIGH_WEIGHT, LEAST_CONFIDENCE, NORMALIZERS, same_name
@@ -71,10 +71,55 @@ def merged_boxes(boxes: DataFrame, max_gap: float = 48.0) -> DataFrame:
     return gathered.select("doc_id", F.posexplode(folded).alias("region", "b")).select("doc_id", "region", "b.*")
 
 
-def copy_move_clusters(pairs: DataFrame, least: int = 5, min_dist: float = 35.0, bin_size: float = 20.0) -> DataFrame:
+#: Points of an image from which on copies are looked for, the share that a match's distance may be of the next one's, and the
+#: radius in bits within which neighbours are found: 16 chunks of 16 bits, of which a pair in it shares one whole.
+LEAST_POINTS, RATIO, RADIUS = 25, 0.80, 15
+
+
+def nearest_descriptors(points: DataFrame, k: int = 3) -> DataFrame:
+    """points (doc_id, point, descriptor: 32 bytes) -> doc_id, point, place (from 1), other, distance: the k nearest in the image.
+
+    The point itself is one of them; equal distances go by point. Exact up to RADIUS bits, none beyond: of 16 chunks at
+    least one is the same in any such pair, so pairs meet by an equi-join on (image, chunk, its value), once, at their first
+    common chunk. An image has as many points as its detector gives, not as many as the table.
+    """
+    words = F.array(*[F.conv(F.hex(F.substring("descriptor", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(4)])
+    chunks = F.transform(F.sequence(F.lit(1), F.lit(31), F.lit(2)), lambda i: F.hex(F.substring(F.col("descriptor"), i, F.lit(2))))
+    held = points.where(F.length("descriptor") == 32).select("doc_id", "point", words.alias("words"), chunks.alias("chunks"))
+    one = held.select("doc_id", "point", "words", "chunks", F.posexplode("chunks").alias("at", "key"))
+    two = one.select("doc_id", "at", "key", F.col("point").alias("other"), F.col("words").alias("other_words"), F.col("chunks").alias("other_chunks"))
+    first = F.array_position(F.zip_with("chunks", "other_chunks", lambda a, b: a == b), True) == F.col("at") + 1
+    apart = sum((F.bit_count(F.col("words")[i].bitwiseXOR(F.col("other_words")[i])) for i in range(1, 4)), F.bit_count(F.col("words")[0].bitwiseXOR(F.col("other_words")[0])))
+    near = one.join(two, ["doc_id", "at", "key"]).where(first).select("doc_id", "point", "other", apart.alias("distance")).where(F.col("distance") <= RADIUS)
+    order = Window.partitionBy("doc_id", "point").orderBy("distance", "other")
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("doc_id", "point", "place", "other", "distance")
+
+
+def descriptor_matches(points: DataFrame, ratio: float = RATIO, strict: bool = True) -> DataFrame:
+    """points (doc_id, point, x, y, descriptor) -> pairs (doc_id, sx, sy, tx, ty) of each point and the point that matches it.
+
+    The match is the nearest other point. strict: where the point itself comes first among its three nearest, the match is
+    weighed against itself, so that only equal descriptors pass; else against the next nearest other point, which
+    counts as RADIUS + 1 bits away if none is within reach. Images of fewer than LEAST_POINTS points have no pairs.
+    """
+    enough = points.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_POINTS).select("doc_id")
+    nearest = nearest_descriptors(points.join(enough, "doc_id", "left_semi"))
+    gathered = nearest.groupBy("doc_id", "point").agg(F.array_sort(F.collect_list(F.struct("place", "other", "distance"))).alias("near"))
+    others = gathered.withColumn("o", F.filter("near", lambda x: x["other"] != F.col("point"))).where(F.size("o") > 0)
+    target, leads = F.get("o", F.lit(0)), F.get("near", F.lit(0))["other"] == F.col("point")
+    beyond = F.coalesce(F.get("o", F.lit(1))["distance"], F.lit(RADIUS + 1))
+    third = F.coalesce(F.get("near", F.lit(2))["distance"], F.lit(RADIUS + 1))
+    against = F.when(leads, target["distance"]).otherwise(third) if strict else beyond
+    kept = others.where((against == 0) | (target["distance"] <= ratio * against)).select("doc_id", "point", target["other"].alias("other"))
+    place = lambda key, x, y: points.select("doc_id", F.col("point").alias(key), F.col("x").cast("double").alias(x), F.col("y").cast("double").alias(y))
+    return kept.join(place("point", "sx", "sy"), ["doc_id", "point"]).join(place("other", "tx", "ty"), ["doc_id", "other"]).select("doc_id", "sx", "sy", "tx", "ty")
+
+
+def copy_move_clusters(pairs: DataFrame, least: int = 5, min_dist: float = 35.0, bin_size: float = 20.0, sizes: DataFrame | None = None) -> DataFrame:
     """pairs (doc_id, sx, sy, tx, ty) of matching points -> clusters of one displacement: bin, matches, boxes.
 
     Displacements point to the right. Flat clusters, as repeated letters make, need more matches; overlapping boxes too.
+    sizes (doc_id, width, height): boxes end at the image's edge.
     """
     dx, dy = F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")
     far = pairs.where(F.sqrt(dx * dx + dy * dy) >= min_dist)
@@ -85,6 +130,9 @@ def copy_move_clusters(pairs: DataFrame, least: int = 5, min_dist: float = 35.0,
     low = lambda c: F.greatest(F.lit(0), F.floor(F.min(c) - 15)).cast("int")
     high = lambda c: F.floor(F.max(c) + 15).cast("int")
     boxes = binned.groupBy("doc_id", "bin_x", "bin_y").agg(F.count(F.lit(1)).alias("matches"), low("ax").alias("ax1"), low("ay").alias("ay1"), high("ax").alias("ax2"), high("ay").alias("ay2"), low("bx").alias("bx1"), low("by").alias("by1"), high("bx").alias("bx2"), high("by").alias("by2"))
+    if sizes is not None:
+        cut = {f"{p}{c}2": F.least(F.col(f"{p}{c}2"), F.coalesce(F.col(edge), F.col(f"{p}{c}2"))) for p in "ab" for c, edge in (("x", "width"), ("y", "height"))}
+        boxes = boxes.join(sizes.select("doc_id", "width", "height"), "doc_id", "left").withColumns(cut).drop("width", "height")
     h, w, h2 = F.col("ay2") - F.col("ay1"), F.col("ax2") - F.col("ax1"), F.col("by2") - F.col("by1")
     flat = (h < 40) | (h2 < 40) | (w / F.greatest(F.lit(1), h) > 2.5)
     needed = F.when(flat, max(10, 2 * least)).otherwise(least)

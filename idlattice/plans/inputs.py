@@ -98,6 +98,10 @@ select l_orderkey % 500 as doc_id, l_orderkey*10+l_linenumber as block, cast(cas
 select l_orderkey % 700 as doc_id, cast(l_orderkey*10+l_linenumber as int) as ordinal, cast(l_partkey % 40*32 as int) as x1, cast(l_suppkey % 10*32 as int) as y1, cast(l_partkey % 40*32+32 as int) as x2, cast(l_suppkey % 10*32+32 as int) as y2 from lineitem""",
     "matches": """
 select l_orderkey % 50 as doc_id, cast(l_partkey % 300 as double) as sx, cast(l_orderkey % 211 as double) as sy, cast(l_partkey % 300+case when l_linenumber % 2 = 0 then -1 else 1 end*(100+20*(l_linenumber % 3)) as double) as tx, cast(l_orderkey % 211+40*(l_linenumber % 2) as double) as ty from lineitem""",
+    "points": """
+select doc_id, point, cast(x as double) as x, cast(y as double) as y, case when point % 9 = 0 then substr(h, 1, 60)||'7'||substr(h, 62) else h end as descriptor
+from (select l_orderkey div_10 as doc_id, cast(row_number() over (partition by floor(l_orderkey / 10) order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as int) as point, l_partkey % 611 as x, l_suppkey * 7 % 407 as y,
+ case when l_linenumber < 4 then md5(cast(l_linenumber as string))||md5(cast(l_orderkey / 10 as string)) else md5(cast(l_partkey as string))||md5(cast(l_suppkey as string)) end as h from lineitem) b""".replace("l_orderkey div_10", "cast(floor(l_orderkey / 10) as bigint)").replace("cast(l_orderkey / 10 as string)", "cast(cast(floor(l_orderkey / 10) as bigint) as string)"),
     "metadata": """
 select event_id as doc_id, case when event_id % 5 = 0 then '' when event_id % 5 = 1 then 'Adobe Photoshop 24' when event_id % 5 = 2 then 'Canon EOS' when event_id % 5 = 3 then 'GIMP 2.10' else event_type end as software from events""",
     "faces": """

@@ -121,6 +121,13 @@ register("noise_block_outliers", "blocks", tamper.noise_signal,
 register("edge_texture", "blocks", tamper.edge_signal, "select doc_id, quantile_cont(value,0.5) as median, min(value) as least, cast(case when quantile_cont(value,0.5)>8 and quantile_cont(value,0.5)-min(value)>6 and min(value)<3 then 0.25 else 0.0 end as double) as score from {src} group by doc_id")
 register("copy_move_bins", "matches", lambda d: tamper.copy_move_clusters(d),
          "with m as (select doc_id, sx, sy, tx, ty, tx-sx as dx, ty-sy as dy from {src} where sqrt((tx-sx)*(tx-sx)+(ty-sy)*(ty-sy))>=35), d as (select doc_id, case when f then tx else sx end as ax, case when f then ty else sy end as ay, case when f then sx else tx end as bx, case when f then sy else ty end as y2, case when f then -dx else dx end as ex, case when f then -dy else dy end as ey from (select *, dx<0 or (dx=0 and dy<0) as f from m) x), g as (select doc_id, cast(round_even(ex/20.0,0) as int) as bin_x, cast(round_even(ey/20.0,0) as int) as bin_y, count(*) as matches, cast(greatest(0,floor(min(ax)-15)) as int) as ax1, cast(greatest(0,floor(min(ay)-15)) as int) as ay1, cast(floor(max(ax)+15) as int) as ax2, cast(floor(max(ay)+15) as int) as ay2, cast(greatest(0,floor(min(bx)-15)) as int) as bx1, cast(greatest(0,floor(min(y2)-15)) as int) as by1, cast(floor(max(bx)+15) as int) as bx2, cast(floor(max(y2)+15) as int) as by2 from d group by all) select * from g where matches>=5 and ((not (not (ax2<bx1 or ax1>bx2 or ay2<by1 or ay1>by2)) and matches>=case when ay2-ay1<40 or by2-by1<40 or (ax2-ax1)/greatest(1,ay2-ay1)>2.5 then 10 else 5 end) or matches>=15)")
+register("descriptor_matches", "points", lambda d: tamper.descriptor_matches(d.withColumn("descriptor", F.unhex("descriptor"))), """
+with e as (select * from {src} where doc_id in (select doc_id from {src} group by doc_id having count(*) >= 25)),
+n as (select *, list_transform(string_split(descriptor, ''), lambda c: instr('0123456789abcdef', c) - 1) as bits from e),
+d as (select a.doc_id, a.point, a.x as sx, a.y as sy, b.point as other, b.x as tx, b.y as ty, list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: bit_count(xor(z[1]::int, z[2]::int))))::int as apart from n a join n b on a.doc_id = b.doc_id),
+o as (select *, row_number() over (partition by doc_id, point order by apart, other) as place from d),
+g as (select doc_id, point, any_value(sx) as sx, any_value(sy) as sy, max(case when place = 1 then other end) as o1, max(case when place = 3 then apart end) as a3, min_by(apart, place) filter (other <> point) as t, min_by(tx, place) filter (other <> point) as tx, min_by(ty, place) filter (other <> point) as ty from o where place <= 3 group by all)
+select doc_id, sx, sy, tx, ty from g where case when o1 = point then t = 0 else a3 = 0 or t <= 0.8 * a3 end""")
 register("copy_move_score", "matches", lambda d: tamper.copy_move_signal(tamper.copy_move_clusters(d)), f"select doc_id, count(*) as clusters, max(matches) as most, cast(case when max(matches)>=12 or count(*)>=2 then 0.8 when max(matches)>=6 then 0.55 else 0.3 end as double) as score from ({ORACLE_SQL['copy_move_bins']}) c group by doc_id")
 #: Words that name image editors, in order of precedence.
 _EDITORS = ("adobe photoshop", "photoshop", "gimp", "gnu image manipulation program", "lightroom", "affinity photo", "paint.net", "photopea", "coreldraw", "pixelmator", "canva", "indesign", "picsart", "snapseed", "pixlr", "seashore")

@@ -3,7 +3,7 @@
 import random
 import time
 
-from idlattice.operators import regions
+from idlattice.operators import regions, tamper
 
 
 def folded(words, threshold=16.0):
@@ -53,3 +53,61 @@ def test_ten_thousand_words(spark):
     assert time.perf_counter() - began < 20
     assert sum(len(r.text.split(" ")) for r in found) == 10_000
     assert [r.text.split(" ") for r in sorted(found, key=lambda r: r.line_no)] == folded(pages[1])
+
+
+# --- matches of descriptors -------------------------------------------------------------------
+
+
+def matched(points, strict):
+    """The rules over all pairs."""
+    out = []
+    for doc in {p[0] for p in points}:
+        mine = [p for p in points if p[0] == doc]
+        if len(mine) < 25:
+            continue
+        for p in mine:
+            near = sorted((bin(int.from_bytes(p[4], "big") ^ int.from_bytes(q[4], "big")).count("1"), q[1], q) for q in mine)[:3]
+            near = [x for x in near if x[0] <= tamper.RADIUS]
+            others = [x for x in near if x[1] != p[1]]
+            if not others:
+                continue
+            far = (tamper.RADIUS + 1, None, None)
+            third = near[2] if len(near) > 2 else far
+            against = ((others[0] if near[0][1] == p[1] else third) if strict else (others[1] if len(others) > 1 else far))[0]
+            if against == 0 or others[0][0] <= 0.8 * against:
+                out.append((doc, p[2], p[3], others[0][2][2], others[0][2][3]))
+    return sorted(out)
+
+
+def flipped(rng, bits, n):
+    x = int.from_bytes(bits, "big")
+    for k in rng.sample(range(256), n):
+        x ^= 1 << k
+    return x.to_bytes(32, "big")
+
+
+def test_matches_of_descriptors(spark):
+    rng = random.Random(7)
+    points = []
+    for doc, n in ((1, 24), (2, 25), (3, 300)):
+        seen = []
+        for k in range(n):
+            d = flipped(rng, rng.choice(seen), rng.choice((0, 0, 1, 5, 12, 15, 16, 40))) if seen and rng.random() < 0.6 else rng.randbytes(32)
+            seen.append(d)
+            points.append((doc, k, float(rng.randrange(900)), float(rng.randrange(600)), d))
+    df = spark.createDataFrame(points, "doc_id long, point int, x double, y double, descriptor binary").repartition(3)
+    for strict in (True, False):
+        assert sorted(map(tuple, tamper.descriptor_matches(df, strict=strict).collect())) == matched(points, strict)
+    odd = spark.createDataFrame([(1, 1, 0.0, 0.0, None), (1, 2, 0.0, 0.0, b"x")], df.schema)
+    assert tamper.descriptor_matches(odd).count() == 0 == tamper.descriptor_matches(df.limit(0)).count()
+
+
+def test_copied_patch_is_cut_at_the_edge(spark):
+    rng = random.Random(8)
+    patch = [(rng.randrange(60), rng.randrange(60), rng.randbytes(32)) for _ in range(30)]
+    points = [(1, 2 * k + c, float(x + 300 * c), float(y + 200 * c), d) for k, (x, y, d) in enumerate(patch) for c in (0, 1)]
+    df = spark.createDataFrame(points, "doc_id long, point int, x double, y double, descriptor binary")
+    sizes = spark.createDataFrame([(1, 355, 250)], "doc_id long, width int, height int")
+    found = tamper.copy_move_clusters(tamper.descriptor_matches(df), sizes=sizes).collect()
+    assert len(found) == 1 and (found[0].bin_x, found[0].bin_y, found[0].matches) == (15, 10, 60)
+    assert (found[0].ax1, found[0].ay1) == (0, 0) and found[0].bx2 == 355 and found[0].by2 == 250
