@@ -1,7 +1,7 @@
 """Main text of web pages with a site style tree.
 
-Pages of one host are merged element by element: an element's place is its path of tags, classes and ids, where
-digits don't count. A text stands at the place of the element that it begins in. From the merged tree comes the
+Pages of one host are merged element by element: an element's place is its path of tags and classes, where digits
+don't count; ids, which pages make up as they go, are no part of it. A text stands at the place of the element that it begins in. From the merged tree comes the
 importance of every place that holds text (after Yi, Liu and Li, "Eliminating noisy information in web pages for
 data mining", 2003):
 
@@ -10,20 +10,22 @@ data mining", 2003):
 * the larger of both counts, relative to the same measure over all places of the host, so that a host of
   copies of one page has nothing unimportant.
 
-A host's estimate is blended with one over all hosts, which weighs as much as ``BLEND`` pages, and that one with
-importance 1. So a host of a single page is judged by what its places are elsewhere, and one of many pages by itself;
-no host is left out and none switches from one rule to another.
+A host's estimate is blended with one over all hosts, which weighs as much as ``BLEND`` pages, and that one with what
+tags and names alone suggest, the square of the place's prior. So a host of a single page is judged by what its places are
+elsewhere, and by tags and names where nothing else is known; one of many pages by itself; no host is left out and none
+switches from one rule to another.
 
-The least prior along the path multiplies the importance, as furniture may differ on every page and entropy can't
-tell it then: elements that are furniture by tag, by a hidden style or by a class, id or role whose head is such a
-word (``ROLES``) bear ``FURNITURE``; a name that merely holds one bears ``HINT``, which decides nothing by itself. Inside an ``article`` or ``main``
-only the names of ``CERTAIN``, standing alone, bear ``FURNITURE``. On a page with an article or main, what stands outside bears
-``OUTSIDE``. A heading inside an article bears ``HEADING``: it may be the same on every page and still tells what
-follows. Texts at places whose importance is below ``LOWEST`` go; all others stay.
+The least prior along the path also multiplies the importance: elements that are furniture by tag, by a hidden style or by a class,
+id or role whose head is such a word (``ROLES``) bear ``FURNITURE``, which is below ``LOWEST``: menus, comments and adverts differ from
+page to page as stories do, so entropy can't save them. All other priors are above it: a place whose texts differ from page to page
+stays, and one that repeats falls the sooner, the more its name speaks against it. A name that merely holds such a word bears ``HINT``;
+inside an ``article`` or ``main`` only the names of ``CERTAIN``, standing alone, say more, and bear ``INNER``. On a page with an article or
+main, what stands outside bears ``OUTSIDE``. A heading inside an article bears ``HEADING``: it may be the same
+on every page and still tells what follows. Texts at places whose importance is below ``LOWEST`` go; all others stay.
 
 The tree is held as counts: rows (host, place, style or text), summed by aggregation, so that a host with a
 third of all pages is no group of its own anywhere. A host's list of places to remove is joined to its pages; it
-holds places of templates, not of pages, as digits don't count in them.
+holds places of templates, not of pages, as ids and digits don't count in them.
 
 Defined cases: null or empty html has no text; a null or hostless url counts as host ""; broken markup is read as
 browsers do in the main: unclosed p and li end at the next, stray end tags are ignored, a tag that the page ends in is
@@ -46,8 +48,8 @@ from .common import fresh, materialize, read, slices
 
 LOWEST = 0.2
 BLEND = 2
-#: Priors of furniture, of what stands outside the article, and of names that hold a word of furniture.
-FURNITURE, OUTSIDE, HINT = 0.1, 0.1, 0.5
+#: Priors of furniture, of names of furniture in an article, of what stands outside one, and of names that hold a word of furniture.
+FURNITURE, INNER, OUTSIDE, HINT = 0.1, 0.3, 0.6, 0.6
 #: Prior of headings inside an article; with FLOOR it lifts even one that all pages share over LOWEST.
 HEADING = 5.0
 #: Importance is compared above this, so that a host of copies compares alike with alike.
@@ -102,7 +104,7 @@ def prior_of(tag: str, own: dict[str, str], inside: bool) -> float:
             certain = len(words) == 1 and name.isalpha() and words[0] in CERTAIN
         else:
             certain = words[-1] in ROLES and words[0] not in MERELY_HAVE
-        found = min(found, FURNITURE if certain else HINT)
+        found = min(found, (INNER if inside else FURNITURE) if certain else HINT)
     return found
 
 
@@ -227,7 +229,7 @@ class Page:
             prior = HEADING
         prior = prior if top.prior == 1.0 else min(top.prior, prior)
         self.bounded = self.bounded or (inside and not top.inside and prior > FURNITURE)
-        style = _DIGITS.sub("", f"{tag}.{own.get('class', '')}#{own.get('id', '')}") if own else tag
+        style = _DIGITS.sub("", f"{tag}.{own['class']}") if own.get("class") else tag
         top.children.append(style)
         self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append(Node(tag, xxhash.xxh64_intdigest(f"{top.place}>{style}>{prior}"), prior, inside))
@@ -261,11 +263,16 @@ def page_tree(page: str) -> list[tuple[int, float, int, int]]:
     return [(_signed(a), b, c, _signed(d)) for a, b, c, d in rows]
 
 
+def alone(prior: float) -> float:
+    """Importance of a place of which no page is known but its own."""
+    return prior * (min(1.0, prior**2) + FLOOR) / (1 + FLOOR)
+
+
 def main_text(page: str, low: set[int] | None = None) -> str:
     """Blocks of the page without the texts at ``low`` places; by default those that are low in the tree of this page alone."""
     read = Page(page)
     if low is None:
-        low = {_signed(place) for place, prior in (read.place(node) for block in read.blocks for node, _ in block) if prior < LOWEST}
+        low = {_signed(place) for place, prior in (read.place(node) for block in read.blocks for node, _ in block) if alone(prior) < LOWEST}
     kept = (_clean("".join(raw for node, raw in block if _signed(read.place(node)[0]) not in low)) for block in read.blocks)
     return "\n\n".join(filter(None, kept))
 
@@ -284,7 +291,7 @@ def importance_of(shares: DataFrame, sizes: DataFrame) -> DataFrame:
     evidence = (F.col("m") - 1).cast("double")
     places = measured(["host", "place"], F.min("prior").alias("prior")).join(sizes, "host").select("host", "place", "prior", "m", own.alias("own"), evidence.alias("n"))
     blended = lambda near, n, far: (F.col(near) * F.col(n) + far * BLEND) / (F.col(n) + BLEND)
-    pooled = places.groupBy("place").agg((F.sum(F.col("own") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1.0))).alias("own"), F.sum("n").alias("n")).select("place", blended("own", "n", F.lit(1.0)).alias("elsewhere"))
+    pooled = places.groupBy("place").agg((F.sum(F.col("own") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1.0))).alias("own"), F.sum("n").alias("n"), F.least(F.lit(1.0), F.min("prior") * F.min("prior")).alias("named")).select("place", blended("own", "n", F.col("named")).alias("elsewhere"))
     # the whole host: the mean of what all its distinct texts are worth
     hosts = shares.where(content).groupBy("host").agg(F.avg(F.log(k)).alias("spread")).join(sizes, "host").select("host", (1 - F.col("spread") / log_m).alias("whole"), evidence.alias("n"))
     worth, n = hosts.agg(F.sum(F.col("whole") * F.col("n")), F.sum("n")).first()

@@ -157,11 +157,11 @@ def style_tree(pages, blend, floor):
             whole[host] += worth
     near = lambda x, n, far: (x * n + far * blend) / (n + blend)
 
-    def pooled(values):
+    def pooled(values, default=1.0):
         n = sum(size[h] - 1 for h, _ in values)
-        return near(sum(x * (size[h] - 1) for h, x in values) / max(n, 1), n, 1.0)
+        return near(sum(x * (size[h] - 1) for h, x in values) / max(n, 1), n, default)
 
-    elsewhere = {place: pooled([(h, x) for (h, q), x in own.items() if q == place]) for _, place in own}
+    elsewhere = {place: pooled([(h, x) for (h, q), x in own.items() if q == place], min(1.0, prior[place] ** 2)) for _, place in own}
     average = pooled([(h, sum(x) / len(x)) for h, x in whole.items()])
     out = {}
     for (host, place), x in own.items():
