@@ -10,11 +10,15 @@ large to stand in one plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..sources.tables import settled
+from . import document_types
 from .regions import grouped_lines, spatial_fields, value_confidence
 
 _DATE = fields.DATE
@@ -255,22 +259,57 @@ def typed(documents: DataFrame, zones: DataFrame) -> DataFrame:
     return met.withColumn("__seen", seen).select("doc_id", "text", "detected", "format", "fields", F.coalesce(asked, "__seen.document_type").alias("document_type"), F.when(asked.isNull(), F.col("__seen.confidence")).alias("type_confidence"))
 
 
-def extract(documents: DataFrame, regions: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class Extractor:
+    """How documents of a type are read (types, regions -> doc_id, field, value, confidence) and fused with their zones (-> and source)."""
+
+    visual: Callable[[DataFrame, DataFrame], DataFrame]
+    fuse: Callable[[DataFrame, DataFrame], DataFrame]
+
+
+EXTRACTORS = {"passport": Extractor(passport_visual, passport_fused), "visa": Extractor(visa_visual, visa_fused), "national_id": Extractor(national_id_visual, national_id_fused)}
+#: Type of documents that none of the others fits.
+FALLBACK = "national_id"
+_BY_RULES = "by_rules"
+
+
+def by_rules(rules: DataFrame) -> Extractor:
+    """The extractor of the types that ``document_types`` rules describe; what the zone has goes before the print, field by field."""
+
+    def visual(types: DataFrame, regions: DataFrame) -> DataFrame:
+        return _with_confidence(document_types.read_fields(types, rules), regions)
+
+    def fuse(printed: DataFrame, zones: DataFrame) -> DataFrame:
+        zone = zones.select("doc_id", F.explode("fields").alias("field", "value")).where(F.coalesce("value", F.lit("")) != "").withColumn("confidence", F.lit(ZONE_CONFIDENCE))
+        return _from(zone, "mrz").unionByName(_from(printed.join(zone, ["doc_id", "field"], "left_anti"), "visual_ocr"))
+
+    return Extractor(visual, fuse)
+
+
+def extract(documents: DataFrame, regions: DataFrame, zones: DataFrame, extractors: dict[str, Extractor] | None = None, rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(types, fields, printed): per document its type and zone; fused fields; the printed fields alone, as the forensic check compares them.
 
-    documents: doc_id, text, requested. Each document goes to the extractor of its type, others count as national ids.
+    documents: doc_id, text, requested. Each document goes to the extractor of its type, others to that of FALLBACK.
+    extractors: further ones by type, before the built-in ones; rules: types that are described by a table (``document_types``).
     """
-    types = settled(typed(documents, zones), "types")
-    kind = F.when(F.col("document_type").isin("passport", "visa"), F.col("document_type")).otherwise("national_id")
+    known = EXTRACTORS | (extractors or {})
+    types = typed(documents, zones)
+    kind = F.when(F.col("document_type").isin(*known), F.col("document_type")).otherwise(FALLBACK)
+    if rules is not None:
+        rules = settled(document_types.checked(rules), "rules")
+        described = document_types.known_types(rules).withColumn("__described", F.lit(True))
+        types = document_types.marked(types, rules).join(F.broadcast(described), "document_type", "left")
+        known, kind = known | {_BY_RULES: by_rules(rules)}, F.when(F.col("__described"), _BY_RULES).otherwise(kind)
+    types = settled(types.withColumn("__kind", kind), "types")
     fused = printed = None
-    for name, visual_of, fuse in (("passport", passport_visual, passport_fused), ("visa", visa_visual, visa_fused), ("national_id", national_id_visual, national_id_fused)):
-        mine = types.where(kind == name)
+    for name, extractor in known.items():
+        mine = types.where(F.col("__kind") == name)
         near = regions.join(mine.select("doc_id"), "doc_id", "left_semi")
-        visual = settled(visual_of(mine, near), name)
-        rows = fuse(visual, mine.where("fields is not null").select("doc_id", "format", "fields"))
+        visual = settled(extractor.visual(mine, near), name)
+        rows = extractor.fuse(visual, mine.where("fields is not null").select("doc_id", "format", "fields"))
         fused = rows if fused is None else fused.unionByName(rows)
         printed = visual if printed is None else printed.unionByName(visual)
-    return types, fused, printed
+    return types.drop("__kind", "__described"), fused, printed
 
 
 def discrepancies(printed: DataFrame, zones: DataFrame) -> DataFrame:

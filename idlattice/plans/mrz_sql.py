@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
-from ..functions.countries import CODES, corrections
+from ..functions.countries import CODES
 from .inputs import SQL
 
 ALPHABET, WEIGHTS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", (7, 3, 1)
@@ -57,9 +57,18 @@ def _corrected(prefix: str, width: int, date: bool) -> tuple[str, str]:
     return one, pick
 
 
+#: What is read, and the letters that it may stand for.
+MISREAD = ("0O", "1I", "2Z", "5S", "8B", "6G", "6B", "VU", "UV")
+
+
 def country(e: str) -> str:
-    table = "map {" + ",".join(f"'{k}':'{v}'" for k, v in sorted(corrections().items())) + "}"
-    return f"case when length(trim({e}))<>3 then {e} when upper(trim({e})) in ({_codes()}) then upper(trim({e})) else coalesce(({table})[upper(trim({e}))], {e}) end"
+    """A code as it is if valid, else the only nearest valid code that misread letters explain, else what was read."""
+    code, pairs = f"upper(trim({e}))", ",".join(f"'{x}'" for x in MISREAD)
+    at = lambda i: f"case when substr({code},{i},1)=substr(v,{i},1) then 0 when substr({code},{i},1)||substr(v,{i},1) in ({pairs}) then 1 else 9 end"
+    near = f"list_filter(list_transform([{_codes()}], lambda v: {{'d': {at(1)}+{at(2)}+{at(3)}, 'v': v}}), lambda x: x.d < 9)"
+    # the nearest stands first in order; it is the only one if no other is as near
+    best = f"list_transform([list_sort({near})], lambda l: case when len(l)=0 then null when len(l)>1 and l[2].d=l[1].d then null else l[1].v end)[1]"
+    return f"case when length(trim({e}))<>3 then {e} when {code} in ({_codes()}) then {code} else coalesce({best}, {e}) end"
 
 
 def _codes() -> str:

@@ -127,6 +127,20 @@ from (select *, doc_id % 10 = 0 and not has_fields as bare from c) c left join f
 register("metadata_older", "metadata", lambda d: analysis.older_metadata(d.withColumn("tags", F.create_map(F.lit("Software"), F.col("software"), F.lit("DateTime"), F.lit("b"), F.lit("DateTimeOriginal"), F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b")))).select("doc_id", "score", "timestamp_mismatch"),
          "select doc_id, cast(case when regexp_matches(lower(software),'photoshop|gimp|gnu image manipulation program|lightroom|affinity photo|paint.net|photopea|coreldraw|pixelmator|canva|indesign|picsart|snapseed|pixlr|seashore') then 0.4 when doc_id % 3 = 0 then 0.25 else 0.0 end as double) as score, doc_id % 3 = 0 as timestamp_mismatch from {src}")
 
+_CARD_RULES = "select * from values ('driving_card', 'document_type', 1, null, '^Driving card', null, null), ('driving_card', 'id_number', 1, 'ID No', '([A-Z0-9]{5,12})', '[A-Z]{2}[0-9]+', 'upper'), ('driving_card', 'born', 1, 'Year of Birth', '([0-9]{4})', null, null), ('driving_card', 'authority', 1, 'Authority', '([A-Za-z ]{3,40})', null, 'upper') as rules(document_type, field, priority, label, value, allowed, spelling)"
+
+
+def _by_rules(d: DataFrame, r: DataFrame) -> DataFrame:
+    """A fourth type of document that is nothing but rows of a table."""
+    rules = d.sparkSession.sql(_CARD_RULES)
+    types, fused, _ = extraction.extract(d.select("doc_id", "text", "requested"), r, _zoned(d), rules=rules)
+    return fused.join(types.where("document_type = 'driving_card'").select("doc_id"), "doc_id", "left_semi").select("doc_id", "field", "value", "source")
+
+
+register_many("document_rules", ("documents_src", "regions"), _by_rules,
+              "select doc_id, field, value, 'visual_ocr' as source from (select doc_id, unnest(['id_number', 'born', 'authority']) as field, unnest([regexp_extract(text, 'ID No: ([A-Z0-9]{5,12})', 1), regexp_extract(text, 'Year of Birth: ([0-9]{4})', 1), upper(regexp_extract(text, 'Authority: ([A-Za-z ]{3,40})', 1))]) as value from {src0} where not detected and text like 'Driving card%') c where value <> ''")
+
+
 # --- submissions ------------------------------------------------------------------------------
 
 
