@@ -188,18 +188,26 @@ def block_rows(image: np.ndarray, size: int = BLOCK) -> list[tuple[int, int, int
 
 
 def with_blocks(images: DataFrame, size: int = BLOCK) -> DataFrame:
-    """images (path, height, width, channels, data) -> path, block, x, y, ela, noise, sharpness. Images under a block have no rows."""
+    """images (path, height, width, channels, data) -> path, block, x, y, ela, noise, sharpness, error. Images under a block have no rows.
+
+    An image whose bytes can't be measured has one row of nulls with the error; the others go on.
+    """
+    names, kinds = ["block", "x", "y", "ela", "noise", "sharpness"], [*[pa.int32()] * 3, *[pa.float64()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 path, h, w, c, data = (batch.column(k)[r].as_py() for k in range(5))
-                rows = block_rows(grey(data, h, w, c), size) if data else []
+                rows, error = [], None
+                try:
+                    rows = block_rows(grey(data, h, w, c), size) if data else []
+                except (ValueError, TypeError, IndexError) as problem:
+                    rows, error = [(None,) * len(names)], f"{type(problem).__name__}: {problem}"[:200]
                 if rows:
-                    columns = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *[pa.array(v, pa.int32()) for v in columns[:3]], *[pa.array(v) for v in columns[3:]]], names=["path", "block", "x", "y", "ela", "noise", "sharpness"])
+                    columns = zip(zip(*rows, strict=True), kinds, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *[pa.array(v, kind) for v, kind in columns], pa.array([error] * len(rows), pa.string())], names=["path", *names, "error"])
 
-    return images.select("path", "height", "width", "channels", "data").mapInArrow(run, "path string, block int, x int, y int, ela double, noise double, sharpness double")
+    return images.select("path", "height", "width", "channels", "data").mapInArrow(run, "path string, block int, x int, y int, ela double, noise double, sharpness double, error string")
 
 
 def with_face_measures(images: DataFrame) -> DataFrame:

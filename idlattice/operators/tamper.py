@@ -22,17 +22,34 @@ def block_statistics(blocks: DataFrame, value: str) -> DataFrame:
     return near.join(spread, "doc_id")
 
 
-def ela_signal(blocks: DataFrame, value: str = "value") -> DataFrame:
+def _stands_out(noise: bool) -> Column:
+    """Whether a block's deviation from the median is an outlier's: above it for recompression error, to either side for noise."""
+    if noise:
+        return F.abs("deviation") >= F.greatest(F.lit(14.0), 3.5 * F.greatest(F.lit(0.8), 1.4826 * F.col("mad")))
+    return F.col("deviation") >= F.greatest(F.lit(2.5), 2.5 * F.greatest(F.lit(0.5), 1.4826 * F.col("mad")))
+
+
+def outlier_regions(blocks: DataFrame, value: str, noise: bool = False, size: int = 32) -> DataFrame:
+    """blocks (doc_id, block, x, y, value) -> doc_id, region (from 0), x1, y1, x2, y2: outlier blocks, those near each other merged."""
+    far = block_statistics(blocks, value).where(_stands_out(noise))
+    x, y = F.col("x").cast("int"), F.col("y").cast("int")
+    return merged_boxes(far.select("doc_id", F.col("block").cast("int").alias("ordinal"), x.alias("x1"), y.alias("y1"), (x + size).alias("x2"), (y + size).alias("y2")), size * 1.5)
+
+
+def ela_signal(blocks: DataFrame, value: str = "value", regions: DataFrame | None = None) -> DataFrame:
     """doc_id, outliers, outlier_ratio, largest_deviation, score: blocks whose recompression error stands out above the median.
 
-    Every outlier block is a region of its own size at least, so that a document with any has one.
+    regions: ``outlier_regions`` of the blocks; two of them weigh more than one. Without places every outlier block counts as a region.
     """
     s = block_statistics(blocks, value)
-    limit = F.greatest(F.lit(2.5), 2.5 * F.greatest(F.lit(0.5), 1.4826 * F.col("mad")))
-    per = s.groupBy("doc_id").agg(F.count_if(F.col("deviation") >= limit).alias("outliers"), F.greatest(F.lit(0.0), F.max("deviation")).alias("largest_deviation"), F.max("n_blocks").alias("n_blocks"))
+    per = s.groupBy("doc_id").agg(F.count_if(_stands_out(False)).alias("outliers"), F.greatest(F.lit(0.0), F.max("deviation")).alias("largest_deviation"), F.max("n_blocks").alias("n_blocks"))
     ratio = F.col("outliers") / F.greatest(F.lit(1), F.col("n_blocks"))
     base = 0.20 + ratio * 3.5 + F.least(F.lit(30.0), F.col("largest_deviation")) / 30.0 * 0.45
-    base = F.when((F.col("outliers") >= 2) | (F.col("largest_deviation") >= 15.0), F.greatest(base, F.lit(0.45))).otherwise(base)
+    several = F.col("outliers") >= 2
+    if regions is not None:
+        per = per.join(regions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("regions")), "doc_id", "left")
+        several = F.coalesce("regions", F.lit(0)) >= 2
+    base = F.when(several | (F.col("largest_deviation") >= 15.0), F.greatest(base, F.lit(0.45))).otherwise(base)
     base = F.when((F.col("largest_deviation") >= 25.0) & (ratio >= 0.02), F.greatest(base, F.lit(0.70))).otherwise(base)
     score = F.when((F.col("outliers") == 0) | (F.col("largest_deviation") < 2.5) | (F.col("n_blocks") < 4), 0.0).otherwise(F.round(F.least(F.lit(1.0), base), 4))
     return per.select("doc_id", "outliers", F.round(ratio, 4).alias("outlier_ratio"), F.round("largest_deviation", 2).alias("largest_deviation"), score.alias("score"))
@@ -41,8 +58,7 @@ def ela_signal(blocks: DataFrame, value: str = "value") -> DataFrame:
 def noise_signal(blocks: DataFrame, value: str = "value") -> DataFrame:
     """The same of noise, where deviations to either side count and few outliers don't."""
     s = block_statistics(blocks, value)
-    limit = F.greatest(F.lit(14.0), 3.5 * F.greatest(F.lit(0.8), 1.4826 * F.col("mad")))
-    per = s.groupBy("doc_id").agg(F.count_if(F.abs("deviation") >= limit).alias("outliers"), F.max(F.abs("deviation")).alias("largest_deviation"), F.max("n_blocks").alias("n_blocks"))
+    per = s.groupBy("doc_id").agg(F.count_if(_stands_out(True)).alias("outliers"), F.max(F.abs("deviation")).alias("largest_deviation"), F.max("n_blocks").alias("n_blocks"))
     ratio = F.col("outliers") / F.greatest(F.lit(1), F.col("n_blocks"))
     base = F.least(F.lit(1.0), 0.18 + ratio * 3.5 + F.least(F.lit(30.0), F.col("largest_deviation")) / 30.0 * 0.30)
     score = F.when((F.col("outliers") == 0) | (ratio < 0.015) | (F.col("largest_deviation") < 14.0), 0.0).otherwise(F.round(base, 4))
