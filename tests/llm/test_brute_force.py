@@ -1,5 +1,6 @@
 """Whole results of the operators and of every pipeline stage against brute force; odd tables and columns."""
 
+import math
 import random
 import time
 from collections import Counter, defaultdict
@@ -79,28 +80,49 @@ def test_licence_expressions():
 
 def test_quality_verdicts(docs):
     packer = zstandard.ZstdCompressor(level=3)
+    limits = quality_rules.Limits(np.array([9.0, 11.0, 13.0]), np.array([0.30, 0.24, 0.20]), np.array([0.66, 0.52, 0.45]))
 
-    def within(part, limits):
-        return limits[0] <= len(packer.compress(part)) / len(part) <= limits[1]
-
-    def limits_of(size):
-        return [(a, b) for most, a, b in quality_rules.WHOLE_BANDS if size <= most][0]
+    def within(part):
+        x = min(max(math.log2(len(part)), 9), 13)
+        k = 0 if x < 11 else 1
+        low, high = (v[k] + (v[k + 1] - v[k]) * (x - (9, 11)[k]) / 2 for v in ((0.30, 0.24, 0.20), (0.66, 0.52, 0.45)))
+        return low - 1e-12 <= len(packer.compress(part)) / len(part) <= high + 1e-12
 
     def kept(text):
         raw = text.encode()
         parts = [raw[k : k + 4096] for k in range(0, len(raw), 4096)]
-        checks = [within(p, (0.12, 0.497)) for p in parts if len(p) == 4096]
+        checks = [within(p) for p in parts if len(p) == 4096]
         if checks and len(parts[-1]) < 4096:
-            tail = raw[-max(len(parts[-1]), 1024) :]
-            checks.append(within(tail, limits_of(len(tail))))
-        return within(raw, limits_of(len(raw))) and 10 * checks.count(False) <= len(checks)
+            checks.append(within(raw[-max(len(parts[-1]), 1024) :]))
+        return within(raw) and 4 * checks.count(False) <= len(checks)
 
     source = docs.select("doc_id", "text").unionByName(docs.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
     verdicts = Counter()
-    for r in quality_rules.quality_rules(source).collect():
+    for r in quality_rules.quality_rules(source, limits=limits).collect():
         assert r.kept == (not r.base_failed and kept(r.text or " "))
         verdicts[r.kept, r.base_failed] += 1
-    assert verdicts[True, False] > 100 and verdicts[False, True] > 10
+    assert verdicts[True, False] > 100 and verdicts[False, True] > 10 and verdicts[False, False] > 0
+    assert all(r.kept != r.base_failed for r in quality_rules.quality_rules(source).collect())  # without limits the counts alone decide
+
+
+def test_limits_follow_the_labels(spark):
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    texts, labels = table("documents"), table("labels")
+    limits = quality_rules.learn_limits(texts, labels)
+    turned = quality_rules.learn_limits(texts, labels.withColumn("quality", 1 - F.col("quality")))
+    at = [limits.of(n) for n in (400, 1000, 4096, 12000)]
+    assert all(0 < low < high for low, high in at) and at[0][1] > at[1][1] > max(at[2][1], at[3][1])  # short texts pack less
+    assert turned.of(1000)[0] < 0.9 * limits.of(1000)[0]  # texts marked bad pack further, so calling them good lowers the floor
+    marks = {r.doc_id: r.quality for r in labels.where(quality_rules.held_out()).collect()}
+    judged = [(marks[r.doc_id], r.kept) for r in quality_rules.quality_rules(texts, limits=limits).collect() if r.doc_id in marks and not r.base_failed]
+    good = [kept for mark, kept in judged if mark == 1]
+    assert sum(good) >= 0.98 * len(good) > 0
+    # held-out labels, null ids and null marks change nothing; without a good label there is no limit
+    more = labels.unionByName(labels.where(quality_rules.held_out()).withColumn("quality", F.lit(0).cast("long")), True).unionByName(labels.limit(1).select(F.lit(None).cast("long").alias("doc_id"), "quality"), True)
+    again = quality_rules.learn_limits(texts, more)
+    assert np.array_equal(again.highest, limits.highest) and np.array_equal(again.lowest, limits.lowest)
+    assert quality_rules.learn_limits(texts, labels.where("false")) is None and quality_rules.learn_limits(texts.where("false"), labels) is None
+    assert quality_rules.fit_limits(np.array([100]), np.array([0.5])).of(5000) == (0.25, 0.5)
 
 
 # --- op3 --------------------------------------------------------------------------------------

@@ -85,13 +85,15 @@ def test_quality_rules(docs, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
-def test_noise_is_outside_the_bands():
+def test_noise_is_outside_the_bands(spark):
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    limits = quality_rules.learn_limits(table("documents"), table("labels"))
     rng, packer = random.Random(8), quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL)
 
     def noise(signs, size):
         return " ".join("".join(rng.choices(signs, k=rng.randrange(3, 10))) for _ in range(size))[:size].encode()
 
-    accepted = lambda text: quality_rules.compression_verdict(text, packer)[3]
+    accepted = lambda text: quality_rules.compression_verdict(text, packer, limits)[3]
     letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     for size in (1000, 2000, 4000, 8000, 20000):
         assert not accepted(noise(letters + letters.upper() + digits + "+/", size)) and not accepted(noise(letters + digits, size))
