@@ -30,22 +30,50 @@ def value_confidence(values: DataFrame, regions: DataFrame, value: str = "value"
     return values.join(hits, ["doc_id", value], "left").withColumn("confidence", F.coalesce("__r.confidence", F.lit(default))).drop("__r")
 
 
+#: Height in pixels of a band in which labels meet values, and the bands that a document has at most.
+BAND = 64
+BANDS = 1024
+
+
+def _within_reach(labels: DataFrame, values: DataFrame, card: bool) -> DataFrame:
+    """Pairs of a label and a value of its document and field that may stand right of it (way 1) or below it (way 2).
+
+    They meet in bands of the document's height: a value lies in one band a way, a label asks in all that it reaches.
+    So pairs grow with what stands at one height, not with the square of the document's regions.
+    """
+    h = F.col("ly2") - F.col("ly1")
+    middle = (F.col("ly1") + F.col("ly2")) / 2.0
+    beside = F.greatest(F.lit(15.0), h * 1.2) if card else F.greatest(F.lit(18.0), h * 0.9)
+    under = F.greatest(F.lit(35.0), h * 2.5) if card else F.greatest(F.lit(35.0), h * 2.0)
+    band = lambda y: F.floor(y / F.col("unit"))
+    # a pixel more on either side, for what doubles round
+    reach = lambda way, top, bottom: F.struct(F.lit(way).alias("way"), F.greatest(band(top - 1), band(F.col("top"))).alias("a"), F.least(band(bottom + 1), band(F.col("bottom"))).alias("b"))
+    asked = labels.select("*", F.inline(F.array(reach(1, middle - beside, middle + beside), reach(2, F.col("ly2") if card else F.col("ly1"), F.col("ly2") + under))))
+    asked = asked.where("a <= b").select("*", F.explode(F.sequence("a", "b")).alias("band")).drop("unit", "top", "bottom", "a", "b")
+    stands = lambda way, y: F.struct(F.lit(way).alias("way"), band(y).alias("band"))
+    given = values.select("*", F.inline(F.array(stands(1, (F.col("y1") + F.col("y2")) / 2.0), stands(2, F.col("y1"))))).drop("unit", "top", "bottom")
+    return asked.join(given, ["doc_id", "field", "way", "band"]).drop("band")
+
+
 def spatial_fields(regions: DataFrame, fields: dict[str, tuple[str, str]], card: bool = False) -> DataFrame:
     """doc_id, field, value, confidence: for each field (label pattern, value pattern) the value in, right of or below the first label that has one.
 
     card: the wider tolerances of identity cards. Labels are tried top down; a value inside the label wins, then
-    the nearest to the right on the same line, then the nearest below. All fields share one join.
+    the nearest to the right on the same line, then the nearest below. All fields share one join, by bands of height.
+    Regions without a place have no neighbours, but a label's own value counts.
     """
     order = Window.partitionBy("doc_id").orderBy("y1", "x1", "ordinal", "text", "confidence")
-    placed = regions.withColumn("place", F.row_number().over(order))
+    whole = Window.partitionBy("doc_id")
+    extent = regions.withColumn("place", F.row_number().over(order)).withColumn("top", F.min(F.least("y1", "y2")).over(whole)).withColumn("bottom", F.max(F.greatest("y1", "y2")).over(whole))
+    placed = extent.withColumn("unit", F.greatest(F.lit(float(BAND)), (F.col("bottom") - F.col("top")) / F.lit(float(BANDS))))
     found = lambda c, pattern: F.trim(F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")))
     each = lambda make: F.inline(F.filter(F.array(*[make(name, *pair) for name, pair in fields.items()]), lambda s: s["field"].isNotNull()))
     text = F.trim("text")
-    labels = placed.select("doc_id", F.col("place").alias("label_place"), text.alias("label_text"), F.col("confidence").alias("label_confidence"), *[F.col(c).alias(f"l{c}") for c in ("x1", "y1", "x2", "y2")],
+    labels = placed.select("doc_id", F.col("place").alias("label_place"), text.alias("label_text"), F.col("confidence").alias("label_confidence"), *[F.col(c).alias(f"l{c}") for c in ("x1", "y1", "x2", "y2")], "unit", "top", "bottom",
                            each(lambda name, label, value: F.struct(F.when(text.rlike(f"(?i){label}"), F.lit(name)).alias("field"), found(text, value).alias("own"))))
-    values = placed.select("doc_id", "place", "confidence", "x1", "y1", "x2", "y2", each(lambda name, label, value: F.struct(F.when(text.rlike(value), F.lit(name)).alias("field"), found(text, value).alias("value"))))
+    values = placed.select("doc_id", "place", "confidence", "x1", "y1", "x2", "y2", "unit", "top", "bottom", each(lambda name, label, value: F.struct(F.when(text.rlike(value), F.lit(name)).alias("field"), found(text, value).alias("value"))))
     inline = labels.where(F.col("own") != F.col("label_text")).select("doc_id", "field", "label_place", F.lit(0).alias("way"), F.lit(0.0).alias("distance"), F.col("label_place").alias("place"), F.col("own").alias("value"), F.col("label_confidence").alias("confidence"))
-    others = labels.join(values, ["doc_id", "field"]).where(F.col("place") != F.col("label_place"))
+    others = _within_reach(labels.drop("label_text", "label_confidence", "own"), values, card).where(F.col("place") != F.col("label_place"))
     h = F.col("ly2") - F.col("ly1")
     shift = F.abs((F.col("y1") + F.col("y2")) / 2.0 - (F.col("ly1") + F.col("ly2")) / 2.0)
     if card:
@@ -54,10 +82,9 @@ def spatial_fields(regions: DataFrame, fields: dict[str, tuple[str, str]], card:
     else:
         right = (shift <= F.greatest(F.lit(18.0), h * 0.9)) & (F.col("x1") >= F.col("lx1") + 5)
         below = (F.col("y1") >= F.col("ly1")) & (F.col("y1") - F.col("ly2") <= F.greatest(F.lit(35.0), h * 2.0)) & (F.col("x1") <= F.col("lx2") + 80) & (F.col("x2") >= F.col("lx1") - 40)
-    # a region on both ways stands for the right one, which wins anyway
-    way = F.when(right, 1).when(below, 2)
-    distance = F.when(right, F.col("x1") - F.col("lx2")).otherwise(F.col("y1") - F.col("ly2")).cast("double")
-    near = others.withColumn("way", way).where("way is not null").select("doc_id", "field", "label_place", "way", distance.alias("distance"), "place", "value", "confidence")
+    # a value on both ways of a label meets it twice; the right one is less, so it wins
+    distance = F.when(F.col("way") == 1, F.col("x1") - F.col("lx2")).otherwise(F.col("y1") - F.col("ly2")).cast("double")
+    near = others.where(((F.col("way") == 1) & right) | ((F.col("way") == 2) & below)).select("doc_id", "field", "label_place", "way", distance.alias("distance"), "place", "value", "confidence")
     first = F.min(F.struct("label_place", "way", "distance", "place", "value", "confidence")).alias("f")
     return inline.unionByName(near).groupBy("doc_id", "field").agg(first).select("doc_id", "field", F.col("f.value").alias("value"), F.col("f.confidence").alias("confidence"))
 

@@ -79,6 +79,11 @@ from (select o_orderkey as k, case when o_orderkey % 7 = 0 then 'MULT' when o_or
     "regions": """
 select l_orderkey as doc_id, l_linenumber as ordinal, case when l_linenumber % 4 = 1 then 'Name' when l_linenumber % 4 = 2 then 'Elena Rostova' when l_linenumber % 4 = 3 then 'DOB 15/08/1990' else ' ' end as text,
  l_discount*8+0.1 as confidence, cast(l_quantity*7 as int) % 300 as x1, cast(l_linenumber*12 as int) as y1, cast(l_quantity*7 as int) % 300+60 as x2, cast(l_linenumber*12+10 as int) as y2 from lineitem""",
+    "card_regions": """
+select l_orderkey as doc_id, l_linenumber as ordinal, case kind when 0 then 'Date of Birth' when 1 then day when 2 then 'Passport No' when 3 then 'P'||lpad(cast(l_partkey as string),8,'0') when 4 then 'DOB: '||day when 5 then 'Date of Expiry'
+ when 6 then 'Passport Number X'||lpad(cast(l_suppkey as string),7,'0') when 7 then 'Expires '||day when 8 then ' ' else 'Elena Rostova' end as text, cast(l_discount*8+0.1 as double) as confidence, x1, y1, x1+wide as x2, y1+tall as y2
+from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, cast((l_partkey*7+l_linenumber*3+l_orderkey) % 10 as int) as kind, lpad(cast(1+l_partkey % 28 as string),2,'0')||'/'||lpad(cast(1+l_suppkey % 12 as string),2,'0')||'/'||cast(1950+l_partkey % 80 as string) as day,
+ cast(l_partkey*13 % 400 as int) as x1, cast(l_linenumber*14+l_suppkey*5 % 90 as int) as y1, cast(40+l_partkey % 120 as int) as wide, cast(8+l_orderkey % 3*12 as int) as tall from lineitem) b""",
     "zones": """
 select k as doc_id, 'P'||lpad(cast(k as string),8,'0') as v_num, case when k % 9 = 0 then 'P0' else 'P'||lpad(cast(k as string),8,'0') end as m_num,
  case when k % 5 = 0 then '15/08/1995' else substr(d,9,2)||'-'||substr(d,6,2)||'-'||substr(d,1,4) end as v_dob, substr(d,3,2)||substr(d,6,2)||substr(d,9,2) as m_dob,

@@ -35,6 +35,29 @@ register("mrz_zones", "candidate_src", lambda d: candidates.zones(d.select("doc_
 register("passport_beside_label", "regions", lambda d: regions.spatial_fields(d, extraction.PASSPORT_BESIDE).select("doc_id", "field", "value", "confidence"),
          "select doc_id, 'date_of_birth' as field, '15/08/1990' as value, arg_min(confidence,(y1,x1,ordinal,text,confidence)) as confidence from {src} where text like 'DOB%' group by doc_id")
 
+_BESIDE_SQL = {
+    "passport_number": ("(?i)\\b(?:Passport\\s*No|Passport\\s*Number|Passeport|Document\\s*No|Passport)\\b", "([A-Z0-9]{7,12})"),
+    "date_of_birth": ("(?i)\\b(?:Date\\s*of\\s*Birth|Birth\\s*Date|DOB)\\b", "([0-9]{2}/[0-9]{2}/[0-9]{4})"),
+    "date_of_expiry": ("(?i)\\b(?:Date\\s*of\\s*Expiry|Expiry\\s*Date|Expiration\\s*Date|Expires)\\b", "([0-9]{2}/[0-9]{2}/[0-9]{4})"),
+}
+_MIDDLES = "abs((o.y1+o.y2)/2.0-(l.y1+l.y2)/2.0)"
+_PLAIN_WAY = f"case when {_MIDDLES}<=greatest(18.0,(l.y2-l.y1)*0.9) and o.x1>=l.x1+5 then 1 when o.y1>=l.y1 and o.y1-l.y2<=greatest(35.0,(l.y2-l.y1)*2.0) and o.x1<=l.x2+80 and o.x2>=l.x1-40 then 2 end"
+_CARD_WAY = f"case when {_MIDDLES}<=greatest(15.0,(l.y2-l.y1)*1.2) and o.x1>=l.x1 then 1 when o.y1-l.y2 between 0 and greatest(35.0,(l.y2-l.y1)*2.5) and (abs(o.x1-l.x1)<=250 or abs(o.x2-l.x2)<=250) then 2 end"
+
+
+def _beside_sql(way: str) -> str:
+    """Each label of a document with each of its values, by way and distance, the first label that has one."""
+    pairs = []
+    for field, (label, value) in _BESIDE_SQL.items():
+        found = f"trim(regexp_extract(trim(o.text),'{value}',1))"
+        met = f"case when o.place<>l.place then {way} when {found}<>trim(l.text) then 0 end"
+        pairs.append(f"select '{field}' as field, l.doc_id, l.place as lp, {met} as way, case {met} when 0 then 0 when 1 then o.x1-l.x2 else o.y1-l.y2 end as dist, o.place, {found} as value, o.confidence from p l join p o on o.doc_id=l.doc_id where regexp_matches(trim(l.text),'{label}') and regexp_matches(trim(o.text),'{value}')")
+    return "with p as (select *, row_number() over (partition by doc_id order by y1,x1,ordinal,text,confidence) as place from {src}), c as (" + " union all ".join(pairs) + ") select doc_id, field, value, confidence from (select *, row_number() over (partition by doc_id, field order by lp,way,dist,place) as n from c where way is not null) x where n=1"
+
+
+for _name, _card, _way in (("spatial_passport_fields", False, _PLAIN_WAY), ("spatial_card_fields", True, _CARD_WAY)):
+    register(_name, "card_regions", lambda d, card=_card: regions.spatial_fields(d, extraction.PASSPORT_BESIDE, card), _beside_sql(_way))
+
 # --- folds of one document's rows -------------------------------------------------------------
 
 register("merge_boxes", "boxes", tamper.merged_boxes, """
