@@ -264,24 +264,29 @@ def with_skin_faces(images: DataFrame) -> DataFrame:
     return _each(images, rows_of, "ordinal int, x int, y int, w int, h int, confidence double", ["ordinal", "x", "y", "w", "h", "confidence"], [*[pa.int32()] * 5, pa.float64()])
 
 
+def synthetic_page(seed: int, k: int, height: int = 400, width: int = 600) -> np.ndarray:
+    """The k-th invented page, BGR: of every four, the second bears a copied, the fourth a spliced patch."""
+    rng = np.random.default_rng([seed, k])
+    page = np.full((height, width), 245.0)
+    for line in range(4):  # strokes like printed words
+        for x in range(40, 300, 9):
+            top = 50 + 50 * line + int(rng.integers(0, 4))
+            page[top : top + 12, x : x + 4] = 30.0
+    page += rng.normal(0, 3.0, page.shape)
+    if k % 4 == 1:
+        page[240:320, 340:500] = page[40:120, 40:200]
+    elif k % 4 == 3:
+        page[200:270, 350:510] = rng.integers(0, 255, (70, 160))
+    return np.repeat(np.clip(page, 0, 255).astype(np.uint8)[:, :, None], 3, axis=2)
+
+
 def synthetic_pages(spark: SparkSession, documents: int, seed: int = 7, height: int = 400, width: int = 600) -> DataFrame:
     """Invented pages for calibration: path, height, width, channels, data, tampered. Of every four, the second bears a copied, the fourth a spliced patch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                rng = np.random.default_rng([seed, k])
-                page = np.full((height, width), 245.0)
-                for line in range(4):  # strokes like printed words
-                    for x in range(40, 300, 9):
-                        top = 50 + 50 * line + int(rng.integers(0, 4))
-                        page[top : top + 12, x : x + 4] = 30.0
-                page += rng.normal(0, 3.0, page.shape)
-                if k % 4 == 1:
-                    page[240:320, 340:500] = page[40:120, 40:200]
-                elif k % 4 == 3:
-                    page[200:270, 350:510] = rng.integers(0, 255, (70, 160))
-                data = np.repeat(np.clip(page, 0, 255).astype(np.uint8)[:, :, None], 3, axis=2).tobytes()
+                data = synthetic_page(seed, k, height, width).tobytes()
                 yield pa.RecordBatch.from_pydict({"path": [f"synthetic/{k}"], "height": pa.array([height], pa.int32()), "width": pa.array([width], pa.int32()), "channels": pa.array([3], pa.int32()), "data": pa.array([data], pa.binary()), "tampered": [k % 2 == 1]})
 
     return spark.range(documents).select(F.col("id")).mapInArrow(run, "path string, height int, width int, channels int, data binary, tampered boolean")
