@@ -19,6 +19,7 @@ HEADINGS = (
     "NUMBER", "VOTER", "ELECTOR", "PHOTO", "SIGNATURE", "OFFICIAL", "HELP", "LINE", "WWW", "GOV", "IN", "NIC", "DOWNLOAD", "DATE", "MALE",
     "FEMALE", "GENDER", "SEX", "DOB", "YEAR", "BIRTH", "ADDRESS", "ISSUE", "EXPIRY", "VALID", "FATHER", "MOTHER", "HUSBAND", "WIFE",
 )
+#: Fixed value: how a date is printed.
 DATE = r"([0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}|[0-9]{2}\s+[A-Za-z]{3,9}\s+[0-9]{4}|[0-9]{4}[/.-][0-9]{2}[/.-][0-9]{2})"
 #: Patterns of printed fields; each first group is the value, earlier patterns win.
 VISA_PATTERNS = {
@@ -129,6 +130,7 @@ def with_passport_fields(df: DataFrame, text: str = "text") -> DataFrame:
     return found.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *[c.alias(n) for n, c in made.items()])
 
 
+#: Grouped national number, account number, any other number of an identity card.
 GROUPED, BARE_ACCOUNT, GENERIC_NUMBER = r"\b([0-9]{4}\s[0-9]{4}\s[0-9]{4})\b", r"\b([A-Z]{5}[0-9]{4}[A-Z])\b", r"\b([A-Z]{1,3}[0-9]{6,10}|[0-9]{8,14}|(?=[A-Z0-9]*[0-9])[A-Z0-9]{8,14})\b"
 
 

@@ -37,6 +37,7 @@ VISA_BESIDE = {
     "visa_number": (r"\b(?:Visa\s*No|Control\s*Number|Document\s*No)\b", r"([A-Z0-9]{7,14})"),
     "name": (r"\b(?:Name|Full\s*Name|Given\s*Name)\b", r"([A-Za-z\s.'-]{2,50})"),
 }
+#: The same of national ids, their dates, labels and words.
 _FULL_DATE = r"([0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}|[0-9]{4}[/.-][0-9]{2}[/.-][0-9]{2}|[0-9]{1,2}\s+[A-Za-z]{3,9}\s+[0-9]{4})"
 _DATE_OR_YEAR = _FULL_DATE[:-1] + "|[0-9]{4})"
 _LONE_DATE = r"\b([0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}|[0-9]{4}[/.-][0-9]{2}[/.-][0-9]{2})\b"

@@ -22,6 +22,7 @@ _CLASS_WORDS = (
     ("passport", ("PASSPORT", "PASSEPORT", "TRAVEL DOCUMENT", "REPUBLIC OF")),
     ("national_id", ("IDENTITY CARD", "NATIONAL ID", "AADHAAR", "CITIZEN", "DRIVING LICENCE", "IDENTITY NUMBER", "IDENTIFICATION", "ELECTION COMMISSION")),
 )
+#: Fixed value: how a date is printed.
 _D = r"([0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}|[0-9]{2}\s+[A-Za-z]{3,9}\s+[0-9]{4}|[0-9]{4}[/.-][0-9]{2}[/.-][0-9]{2})"
 #: Patterns of a visa's printed fields.
 _VISA = {
@@ -51,8 +52,14 @@ _ID = {
     "holder": r"(?:Name|Full Name|Given Name|Holder|Cardholder|Name of Holder)[:\s]+([A-Za-z\s.'-]+)(?:\n|$)",
 }
 #: Words of headings, never part of a name.
-_HEADINGS = "GOVERNMENT GOVT INDIA BHARAT REPUBLIC STATE UNION AUTHORITY UNIQUE IDENTIFICATION ELECTION COMMISSION INCOME TAX DEPARTMENT TRANSPORT MINISTRY DIRECTORATE IDENTITY CARD NATIONAL AADHAAR AADHAR MERA PEHCHAN ENROLMENT ENROLLMENT RESIDENT CITIZEN DRIVING LICENCE LICENSE PERMANENT ACCOUNT NUMBER VOTER ELECTOR PHOTO SIGNATURE OFFICIAL HELP LINE WWW GOV IN NIC DOWNLOAD DATE MALE FEMALE GENDER SEX DOB YEAR BIRTH ADDRESS ISSUE EXPIRY VALID FATHER MOTHER HUSBAND WIFE"
-_HEADING_LIST = ",".join(f"'{w}'" for w in _HEADINGS.split())
+_HEADINGS = (
+    "GOVERNMENT", "GOVT", "INDIA", "BHARAT", "REPUBLIC", "STATE", "UNION", "AUTHORITY", "UNIQUE", "IDENTIFICATION", "ELECTION", "COMMISSION",
+    "INCOME", "TAX", "DEPARTMENT", "TRANSPORT", "MINISTRY", "DIRECTORATE", "IDENTITY", "CARD", "NATIONAL", "AADHAAR", "AADHAR", "MERA", "PEHCHAN",
+    "ENROLMENT", "ENROLLMENT", "RESIDENT", "CITIZEN", "DRIVING", "LICENCE", "LICENSE", "PERMANENT", "ACCOUNT", "NUMBER", "VOTER", "ELECTOR", "PHOTO",
+    "SIGNATURE", "OFFICIAL", "HELP", "LINE", "WWW", "GOV", "IN", "NIC", "DOWNLOAD", "DATE", "MALE", "FEMALE", "GENDER", "SEX", "DOB", "YEAR",
+    "BIRTH", "ADDRESS", "ISSUE", "EXPIRY", "VALID", "FATHER", "MOTHER", "HUSBAND", "WIFE",
+)
+_HEADING_LIST = ",".join(f"'{w}'" for w in _HEADINGS)
 
 
 def _has(words: tuple[str, ...]) -> str:
@@ -118,6 +125,7 @@ register("date_candidate_valid", "dates", lambda d: d.select("k", "raw", fields.
 
 # each pattern is searched once, in an inner query
 _VISA_FOUND = ", ".join([*[f"upper({_first(p)}) as vt{k}" for k, p in enumerate(_VISA["visa_type"])], *[f"{_first(p)} as en{k}" for k, p in enumerate(_VISA["entries"])], *[f"{_first(_VISA[n])} as {n}" for n in ("issue_date", "expiry_date", "passport_number", "visa_number", "name", "issuing_authority")]])
+#: Words that are no type of visa.
 _NOT_TYPE = "('/','-','_','CLASS','CATEGORY','PASSPORT','VISA','NUMBER','DATE','CONTROL')"
 _VISA_SQL = {
     "visa_type": f"case when vt0 not in {_NOT_TYPE} then vt0 when vt1 not in {_NOT_TYPE} then vt1 end", "entries": f"coalesce({_entries_sql('en0')},{_entries_sql('en1')})",
@@ -193,6 +201,7 @@ def _id_of_text(d: DataFrame) -> DataFrame:
     return rows.select("doc_id", "field", "value", F.round("confidence", 4).alias("confidence"))
 
 
+#: Fixed value: a date in figures that stands alone.
 _LONE = "\\b([0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}|[0-9]{4}[/.-][0-9]{2}[/.-][0-9]{2})\\b"
 _BEST_LINE = f"list_sort(list_filter([{{'s': -({name_score_sql('x', '0.70')}), 'i': i, 'v': trim(x)}} for x, i in string_split(text, chr(10))], lambda r: r.s < 0))[1].v"
 _ID_WIDE = f"""select k, n as id_number, n as document_number, coalesce(case when {_date_sql('b', 'l', 'n')} then b end, list_filter(lone, lambda d: {_date_sql('d', "'standalone'", 'n')})[1]) as date_of_birth, gender, {_SEX_OF} as sex,
@@ -205,6 +214,7 @@ register("name_score", "regions", lambda d: d.select("doc_id", "ordinal", F.roun
 
 # --- the earlier extractors ---------------------------------------------------------------------
 
+#: Fixed value: a date as the earlier extractors read it.
 _OLD_DAY = "([0-9]{2}[/-][0-9]{2}[/-][0-9]{4}|[0-9]{4}[/-][0-9]{2}[/-][0-9]{2})"
 
 
