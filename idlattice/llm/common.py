@@ -95,6 +95,35 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+# --- order statistics -------------------------------------------------------------------------
+
+
+def order_statistics(rows: DataFrame, ranks: dict[int, list[int]], bins: int = 1024) -> dict[int, list[float]]:
+    """The values at these ranks (from 0) among all finite values of each key; exact, by counts in ever narrower spans.
+
+    rows: key int, value double, weight long (rows that this one stands for), read once a round, so better a
+    table than a plan. A round counts ``bins`` cells of each span that still holds several values; the driver
+    gets counts only, for the keys and ranks asked for.
+    """
+    ends = {r.key: (r.lo, r.hi) for r in rows.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
+    found = {(key, rank): (*ends[key], rank) for key, asked in ranks.items() for rank in asked}
+    while spans := sorted({(key, lo, hi) for (key, _), (lo, hi, _) in found.items() if lo < hi}):
+        asked = rows.sparkSession.createDataFrame(spans, "key int, lo double, hi double")
+        cell = F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))
+        # bounded by the ranks asked for
+        inside = rows.join(F.broadcast(asked), "key").where("value between lo and hi").groupBy("key", "lo", "hi", cell.alias("cell"))
+        cells: dict[tuple, list] = {}
+        for r in sorted(inside.agg(F.sum("weight").alias("n"), F.min("value").alias("least"), F.max("value").alias("most")).collect(), key=lambda r: r.least):
+            cells.setdefault((r.key, r.lo, r.hi), []).append(r)
+        for (key, rank), (lo, hi, left) in found.items():
+            for r in cells.get((key, lo, hi), ()):
+                if left < r.n:
+                    found[key, rank] = r.least, r.most, left
+                    break
+                left -= r.n
+    return {key: [found[key, rank][0] for rank in asked] for key, asked in ranks.items()}
+
+
 # --- Arrow passes -----------------------------------------------------------------------------
 
 

@@ -94,10 +94,9 @@ def fit(rows: np.ndarray, marks: np.ndarray, pairs: int = PAIRS, ridge: float =
     return BradleyTerry(w, centre, scale, cut, max(1e-9, float(strengths.std()) / 4))
 
 
-def labelled(labels: DataFrame, mark: str, most: int) -> DataFrame:
-    """doc_id, mark: at most ``most`` ids, in the order of a seeded hash."""
-    one = labels.where(F.col("doc_id").isNotNull() & F.col(mark).isNotNull()).groupBy("doc_id").agg(F.avg(mark).alias("mark"))
-    return one.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(most)
+def labelled(labels: DataFrame, mark: str) -> DataFrame:
+    """doc_id, mark: one row for each id that has marks, with their mean."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col(mark).isNotNull()).groupBy("doc_id").agg(F.avg(mark).alias("mark"))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -107,7 +106,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", mark: str = "quality", sample: int = SAMPLE) -> BradleyTerry | None:
     """The model of the labelled documents outside the held-out fold."""
-    marks = labelled(labels.where(~held_out()), mark, sample)
+    marks = labelled(labels.where(~held_out()), mark).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample)
     # bounded by ``sample`` rows of an id and a mark
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(marks), "doc_id")
     found = map_texts(rows.select("doc_id", "mark", "text"), "text", lambda t: {"x": pa.array(list(features(t)), pa.list_(pa.float64()))}, "x array<double>", ["doc_id", "mark"]).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", F.xxhash64("x")).limit(sample).toPandas()

@@ -2,14 +2,14 @@
 
 A text's zstandard ratio (compressed bytes over bytes) tells repetition (low) from noise (high). It is
 taken over the whole document and over fixed chunks, and held against limits by length, as short texts
-compress less. The limits are learnt: ``learn_limits`` measures texts labelled good outside the held-out
-fold, draws the median ratio as a curve over length, and sets the highest ratio at ``REACH`` times the
-distance of the good texts' last percent from it, the lowest at the share ``LOW`` of it. One rule holds for
-every number of chunks: a document fails if more than one in ``SHARE`` lies outside. Counted rules (words,
+compress less. The limits are learnt: ``learn_limits`` measures all texts labelled good outside the held-out
+fold, whole and in all their chunks, draws the median ratio as a curve over length, and sets the highest ratio
+at ``REACH`` times the distance of the good texts' last percent from it, the lowest at the share ``LOW`` of it.
+One rule holds for every number of chunks: a document fails if more than one in ``SHARE`` lies outside. Counted rules (words,
 symbols, repeated lines and windows) come with it.
 
-The fit reads at most ``SAMPLE`` labelled documents, those with the smallest hash of the id, and of each the whole
-and at most ``PIECES`` chunks, evenly spread; every document is judged.
+Pieces are measured where their texts lie, joined to the labels as lengths and ratios, and counted by class of
+length; medians and last percents are exact order statistics of all of them. Every document is judged.
 
 Defined cases: null or empty text has no words, ratio null, fails the base rule and is not kept; without limits
 (none given, or no good text labelled) the bands reject nothing; beyond the shortest and longest text measured the
@@ -19,6 +19,7 @@ limits at those ends hold; labels with a null id or mark are left out, of severa
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import count
 
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, read
+from .common import drop_table, map_texts, materialize, order_statistics, read
 from .quality_model import held_out, labelled
 
 #: Bytes of a chunk. What is left behind the last whole chunk is one more, of TAIL bytes at least.
@@ -36,13 +37,10 @@ CHUNK = 4096
 TAIL = 1024
 #: A document fails if more than one chunk in SHARE lies outside the limits of its length.
 SHARE = 4
-#: Labelled documents that the limits are learnt from, and chunks of each.
-SAMPLE = 20_000
-PIECES = 8
 #: The highest ratio lies REACH times as far above the median of good texts as their last percent does, the lowest at LOW times the median.
 REACH = 3.0
 LOW = 0.5
-#: Pieces and span of length (as log2) that a point of the curve is taken from, at least.
+#: Pieces and span of length (as log2, in classes from 0) that a point of the curve is taken from, at least.
 LEAST = 50
 SPAN = 0.25
 LEVEL = 3
@@ -86,21 +84,56 @@ class Limits:
         return float(np.interp(x, self.at, self.lowest)), float(np.interp(x, self.at, self.highest))
 
 
+def edges_of(classes: np.ndarray, counts: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """First classes of the groups: neighbouring classes together until they hold ``least`` pieces; the last takes what is left."""
+    edges, held = [classes[0]], 0
+    for k, n in zip(classes, counts, strict=True):
+        if held >= least:
+            edges.append(k)
+            held = 0
+        held += n
+    return np.array(edges[:-1] if held < least and len(edges) > 1 else edges)
+
+
 def fit_limits(sizes: np.ndarray, ratios: np.ndarray, reach: float = REACH, low: float = LOW, least: int = LEAST) -> Limits | None:
-    """The limits that good pieces of these sizes and ratios set; None without pieces."""
+    """The limits that good pieces of these sizes and ratios set, held in memory; None without pieces."""
     if not len(sizes):
         return None
-    order = np.lexsort((ratios, sizes))
-    x, y = np.log2(sizes[order]), ratios[order]
-    groups, begin = [], 0
-    while begin < len(x):
-        end = max(int(np.searchsorted(x, x[begin] + SPAN, side="right")), begin + least)
-        end = len(x) if len(x) - end < least else end
-        groups.append(slice(begin, end))
-        begin = end
-    at, middle = (np.array([np.median(v[g]) for g in groups]) for v in (x, y))
-    above = y - np.interp(x, at, middle)
-    spread = np.array([max(0.0, np.quantile(above[g], 0.99)) for g in groups])
+    x = np.log2(sizes)
+    classes = np.floor(x / SPAN).astype(int)
+    group = np.searchsorted(edges_of(*np.unique(classes, return_counts=True), least), classes, side="right")
+    at, middle = (np.array([np.median(v[group == g]) for g in np.unique(group)]) for v in (x, ratios))
+    above = ratios - np.interp(x, at, middle)
+    spread = np.array([max(0.0, np.quantile(above[group == g], 0.99)) for g in np.unique(group)])
+    return Limits(at, low * middle, middle + reach * spread)
+
+
+def quantiles(rows: DataFrame, counts: list[int], share: float) -> np.ndarray:
+    """As ``np.quantile``, of each key from 0; ``counts`` are the weights of the keys."""
+    where = [share * (n - 1) for n in counts]
+    ends = order_statistics(rows, {g: [int(h), min(int(h) + 1, n - 1)] for g, (h, n) in enumerate(zip(where, counts, strict=True))})
+    return np.array([ends[g][0] + (ends[g][1] - ends[g][0]) * (h - int(h)) for g, h in enumerate(where)])
+
+
+def fit_all(found: DataFrame, reach: float = REACH, low: float = LOW, least: int = LEAST) -> Limits | None:
+    """``fit_limits`` of a table of any size: x (log2 of the size), ratio and the weight of equal pieces."""
+    classes = found.groupBy(F.floor(F.col("x") / SPAN).cast("int").alias("class")).agg(F.sum("weight").alias("n")).orderBy("class").collect()
+    if not classes:
+        return None
+    edges = edges_of(np.array([r["class"] for r in classes]), np.array([r.n for r in classes]), least)
+    group = lambda x: np.searchsorted(edges, np.floor(x / SPAN), side="right") - 1
+    counts = np.bincount([group(r["class"] * SPAN) for r in classes], [r.n for r in classes]).astype(int).tolist()
+
+    def values(of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, ratio = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+                yield pa.RecordBatch.from_arrays([pa.array(group(x), pa.int32()), pa.array(of(x, ratio), pa.float64()), batch.column(2)], names=["key", "value", "weight"])
+
+        return found.select("x", "ratio", "weight").mapInArrow(run, "key int, value double, weight long")
+
+    at, middle = (quantiles(values(of), counts, 0.5) for of in (lambda x, ratio: x, lambda x, ratio: ratio))
+    spread = np.maximum(0.0, quantiles(values(lambda x, ratio: ratio - np.interp(x, at, middle)), counts, 0.99))
     return Limits(at, low * middle, middle + reach * spread)
 
 
@@ -111,26 +144,22 @@ def chunks_of(text: bytes) -> list[bytes]:
     return [*whole, text[-max(rest, TAIL) :]] if whole and rest else whole
 
 
-def pieces(texts: list[bytes], most: int = PIECES) -> dict[str, pa.Array]:
-    """Sizes and ratios of each text and of at most ``most`` of its chunks; none of texts that the base rule on words fails."""
+def pieces(texts: list[bytes]) -> dict[str, pa.Array]:
+    """Length (as log2) and ratio of each text and of all its chunks; none of texts that the base rule on words fails."""
     packer = zstandard.ZstdCompressor(level=LEVEL)
-    taken = []
-    for text in texts:
-        chunks = chunks_of(text)
-        spread = np.unique(np.linspace(0, len(chunks) - 1, min(most, len(chunks))).astype(int)).tolist()
-        taken.append([text, *[chunks[k] for k in spread]] if len(text.split()) >= 50 else [])
-    return {"sizes": pa.array([[len(p) for p in t] for t in taken], pa.list_(pa.int64())), "ratios": pa.array([[len(packer.compress(p)) / len(p) for p in t] for t in taken], pa.list_(pa.float64()))}
-
-
-def learn_limits(docs: DataFrame, labels: DataFrame, text: str = "text", mark: str = "quality", sample: int = SAMPLE) -> Limits | None:
-    """Limits of the documents labelled good outside the held-out fold."""
-    # bounded by ``sample`` rows of an id
-    good = labelled(labels.where(~held_out()), mark, sample).where("mark >= 0.5").select("doc_id")
-    rows = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(good), "doc_id")
-    found = map_texts(rows, "text", pieces, "sizes array<long>, ratios array<double>", ["doc_id"]).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", F.xxhash64("sizes", "ratios")).limit(sample).toPandas()
-    if found.empty:
-        return None
-    return fit_limits(np.concatenate(found["sizes"].to_numpy()), np.concatenate(found["ratios"].to_numpy()))
+    taken = [[text, *chunks_of(text)] if len(text.split()) >= 50 else [] for text in texts]
+    return {"pieces": pa.array([[{"x": float(np.log2(len(p))), "ratio": len(packer.compress(p)) / len(p)} for p in t] for t in taken], pa.list_(pa.struct([("x", pa.float64()), ("ratio", pa.float64())])))}
+
+
+def learn_limits(docs: DataFrame, labels: DataFrame, text: str = "text", mark: str = "quality") -> Limits | None:
+    """Limits of all documents labelled good outside the held-out fold."""
+    good = labelled(labels.where(~held_out()), mark).where("mark >= 0.5").select("doc_id")
+    rows = docs.select("doc_id", F.col(f"`{text}`").alias("text")).where(F.col("doc_id").isNotNull() & ~held_out())
+    measured = map_texts(rows, "text", pieces, "pieces array<struct<x: double, ratio: double>>", ["doc_id"]).where("size(pieces) > 0")
+    found = materialize(measured.join(good, "doc_id").select(F.inline("pieces")).groupBy("x", "ratio").agg(F.count(F.lit(1)).alias("weight")), "pieces")
+    limits = fit_all(found)
+    drop_table(found)
+    return limits
 
 
 def compression_verdict(text: bytes, packer: zstandard.ZstdCompressor, limits: Limits | None) -> tuple[float | None, int, int, bool]:
