@@ -102,6 +102,18 @@ def test_matches_of_descriptors(spark):
     assert tamper.descriptor_matches(odd).count() == 0 == tamper.descriptor_matches(df.limit(0)).count()
 
 
+def test_strict_matches_take_one_partitioning(spark):
+    """Points aren't multiplied by their chunks, nor joined: a shuffle of the points is all the disk it takes."""
+    rng = random.Random(9)
+    few = [rng.randbytes(32) for _ in range(7)]
+    points = [(doc, k, float(k), float(doc), rng.choice(few)) for doc in range(4) for k in range(22 + 2 * doc)] + [(None, 1, 0.0, 0.0, few[0])]
+    df = spark.createDataFrame(points, "doc_id long, point int, x double, y double, descriptor binary").repartition(3)
+    found = tamper.descriptor_matches(df)
+    assert sorted(map(tuple, found.collect())) == matched(points[:-1], True)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
 def test_copied_patch_is_cut_at_the_edge(spark):
     rng = random.Random(8)
     patch = [(rng.randrange(60), rng.randrange(60), rng.randbytes(32)) for _ in range(30)]
