@@ -27,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, read
 
 SAMPLE = 16_384
+#: Vectors that are coded at once: some 30 KB of products each.
+CODED = 1024
 BLOCK = 8192
 QUERY_BLOCK = 512
 #: Candidates of a block that are scored first, for each query; their k-th score rules out others.
@@ -56,10 +57,13 @@ class Quantizer:
     def _parts(self, vectors: np.ndarray) -> np.ndarray:
         padded = np.zeros((len(vectors), self.pad))
         padded[:, : self.dim] = vectors
-        return padded.reshape(len(vectors), -1, 2)
+        return padded.reshape(len(vectors), self.pad // 2, 2)
 
     def codes(self, vectors: np.ndarray, rounds: int = 2) -> np.ndarray:
-        """(n, subspaces) codes: nearest codewords first, then coordinate descent on the anisotropic loss."""
+        """(n, subspaces) codes: nearest codewords first, then coordinate descent on the anisotropic loss; ``CODED`` vectors at once."""
+        return np.concatenate([self._codes(vectors[i : i + CODED], rounds) for i in range(0, max(len(vectors), 1), CODED)])
+
+    def _codes(self, vectors: np.ndarray, rounds: int) -> np.ndarray:
         x = self._parts(vectors)
         norm = np.maximum((x**2).sum(axis=(1, 2)), 1e-300)
         distance = ((x[:, :, None, :] - self.books[None]) ** 2).sum(axis=3)
@@ -188,13 +192,9 @@ def usable(vector: str) -> Column:
 
 
 def _blocks(rows: DataFrame, size: int, count: int, quantizer: Quantizer | None) -> DataFrame:
-    """rows (id, v) -> (part, n, ids, vectors, packed, reach): blocks of at most ``size`` rows in order of id, as bytes.
-
-    part: the block's partition, from 0 to ``count`` - 1; one has a block or two.
-    """
+    """rows (id, v) -> (ids, vectors, packed, reach): blocks of at most ``size`` rows in order of id, as bytes; of ``count`` partitions one has a block or two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
         held, n = [], 0
 
         def made(table: pa.Table) -> pa.RecordBatch:
@@ -206,7 +206,7 @@ def _blocks(rows: DataFrame, size: int, count: int, quantizer: Quantizer | None)
             ids, vectors = ids[order], vectors[order]
             codes = quantizer.packed(vectors) if quantizer else np.zeros((0, len(ids)), np.uint8)
             reach = quantizer.reach(vectors, codes).astype("<f8").tobytes() if quantizer else b""
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "n": pa.array([len(ids)], pa.int32()), "ids": [ids.astype("<i8").tobytes()], "vectors": [vectors.astype("<f8").tobytes()], "packed": [codes.tobytes()], "reach": [reach]})
+            return pa.RecordBatch.from_pydict({"ids": [ids.astype("<i8").tobytes()], "vectors": [vectors.astype("<f8").tobytes()], "packed": [codes.tobytes()], "reach": [reach]})
 
         for batch in batches:
             held.append(batch)
@@ -218,7 +218,7 @@ def _blocks(rows: DataFrame, size: int, count: int, quantizer: Quantizer | None)
         if n:
             yield made(pa.Table.from_batches(held))
 
-    return rows.repartition(count).mapInArrow(run, "part long, n int, ids binary, vectors binary, packed binary, reach binary")
+    return rows.repartition(count).mapInArrow(run, "ids binary, vectors binary, packed binary, reach binary")
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK, block: int = BLOCK, exact: bool = False) -> DataFrame:
@@ -228,18 +228,19 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
     """
     spark = rows.sparkSession
     valid = rows.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
-    picked = [r["v"] for r in valid.orderBy(F.xxhash64(F.lit(9), "id"), "id").limit(sample).select("v").toLocalIterator()]
+    picked = [np.array(r["v"]) for r in valid.orderBy(F.xxhash64(F.lit(9), "id"), "id").limit(sample).select("v").toLocalIterator()]
     if not picked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = Counter(map(len, picked)).most_common(1)[0][0]
     quantizer = Quantizer(dim).fit(np.array([v for v in picked if len(v) == dim]))
+    del picked
     valid = valid.where(F.size("v") == dim)
     total, asked = valid.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     parts = max(1, -(-total // block))
     blocks = materialize(_blocks(valid, block, parts, quantizer), "vectors")
-    queries = _blocks(valid.where(is_query), QUERY_BLOCK, max(1, -(-asked // QUERY_BLOCK)), None).select(F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
-    # every block of queries meets every block of rows, wherever that stands
-    met = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))).join(blocks, "part")
+    queries = _blocks(valid.where(is_query), QUERY_BLOCK, max(1, -(-asked // QUERY_BLOCK)), None).select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
+    # every block of queries meets every block of rows: both are read from their files, as copies in a shuffle would grow with rows times queries
+    met = blocks.crossJoin(materialize(queries, "queries").hint("shuffle_replicate_nl"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,7 @@
 """Hard negatives, embedding near-duplicates and lexical search against the plainest means."""
 
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -210,6 +211,24 @@ def test_codes_decide(spark, exact):
     assert hits == 60 * 20 if exact else hits >= 0.99 * 60 * 20
 
 
+def test_codebooks_are_fitted_in_slices():
+    """The driver holds the products of a slice of the sample, not of all of it."""
+    data = embedding_dedup.unit(np.random.default_rng(11).normal(size=(8192, 64)))
+    tracemalloc.start()
+    books = vector_search.Quantizer(64).fit(data, rounds=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50e6
+    assert np.array_equal(books.codes(data[:3000]), books._codes(data[:3000], 2)) and books.codes(data[:0]).shape == (0, 32)
+
+
+def test_queries_meet_blocks_without_copies(spark):
+    """Blocks of queries are read beside each block of rows; no shuffle holds a copy of them for each."""
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(12).normal(size=(900, 8)))]
+    plan = vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, block=200)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "CartesianProduct" in plan and "Generate" not in plan
+
+
 def test_few_rows_are_scored(monkeypatch):
     rng = np.random.default_rng(9)
     data = embedding_dedup.unit(rng.normal(size=(8192, 64)))
