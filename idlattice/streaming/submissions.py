@@ -17,16 +17,20 @@ Rows with a null id, kind or time, or of another kind, are never looked at; a nu
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("claim", "passport", "visa", "national_id", "portrait")
 HEARTBEAT = "heartbeat"
 _OUT = "screening_id string, status string, missing array<string>, told_at timestamp, first_at timestamp, " + ", ".join(f"{k} string" for k in KINDS)
-_STATE = "told boolean, done boolean, at array<long>, documents array<string>"
+_STATE = "held binary"
+#: Buckets that screenings are dealt to: a call of Python costs about a millisecond, so it serves a bucket, not a screening.
+BUCKETS = 1024
 
 
 def arrivals_of(table: DataFrame, kind: str, arrived_at: Column) -> DataFrame:
@@ -77,22 +81,44 @@ class Submission:
         return {"status": status, "missing": [k for k, x in zip(KINDS, here, strict=True) if not x], "told_at": time, "first_at": self.first, **{k: d if x else None for k, d, x in zip(KINDS, self.documents, here, strict=True)}}
 
 
+def _packed(held: dict[str, tuple]) -> bytes:
+    raw = pickle.dumps(held, 4)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> dict[str, tuple]:
+    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
+
+
 def _step(wait: int, keep: int) -> Callable:
-    def step(key: tuple[str], frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = Submission(wait, keep, *(state.get if state.exists else ()))
+    """A bucket's state is a table of its screenings: when the next thing happens to each, and its ``Submission``."""
+
+    def step(key: tuple[int], frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = _unpacked(state.get[0]) if state.exists else {}
+        touched: dict[str, Submission] = {}
         for frame in frames:
-            for kind, at, document in zip(frame["kind"], frame["at"], frame["document"], strict=True):
-                held.add(kind, int(at), document)
+            for name, kind, at, document in zip(*[frame[c].tolist() for c in ("screening_id", "kind", "at", "document")], strict=True):
+                if name not in touched:
+                    touched[name] = Submission(wait, keep, *held.get(name, (0,))[1:])
+                touched[name].add(kind, at, document)
         passed, rows = state.getCurrentWatermarkMs(), []
-        time, status = held.next()
-        while time < passed and status:
-            rows.append({"screening_id": key[0], **held.tell(status, time)})
-            time, status = held.next()
-        if time < passed:
+        for name, (time, *kept) in held.items():
+            if time < passed and name not in touched:
+                touched[name] = Submission(wait, keep, *kept)
+        for name, submission in touched.items():
+            time, status = submission.next()
+            while time < passed and status:
+                rows.append({"screening_id": name, **submission.tell(status, time)})
+                time, status = submission.next()
+            if time < passed:
+                held.pop(name, None)
+            else:
+                held[name] = (time, submission.told, submission.done, submission.at, submission.documents)
+        if held:
+            state.update((_packed(held),))
+            state.setTimeoutTimestamp(max(min(kept[0] for kept in held.values()), passed + 1))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((held.told, held.done, held.at, held.documents))
-            state.setTimeoutTimestamp(max(time, passed + 1))
         if rows:
             made = pd.DataFrame(rows)
             yield made.assign(**{c: pd.to_datetime(made[c], unit="ms") for c in ("told_at", "first_at")})
@@ -109,11 +135,15 @@ def _milliseconds(span: str) -> int:
     return int(pd.Timedelta(span).total_seconds() * 1000)
 
 
-def track(arrivals: DataFrame, wait: str = "1 hour", keep: str = "1 day", late: str = "10 minutes") -> DataFrame:
-    """A stream of arrivals -> screening_id, status, missing, told_at, first_at and the document of each kind."""
+def track(arrivals: DataFrame, wait: str = "1 hour", keep: str = "1 day", late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
+    """A stream of arrivals -> screening_id, status, missing, told_at, first_at and the document of each kind.
+
+    buckets: state is held by so many buckets of screenings, each a compressed table; a checkpoint is bound to their number.
+    """
     marked = arrivals.withWatermark("arrived_at", late)
-    known = _known(marked).select("screening_id", "kind", "arrived_at", F.unix_millis("arrived_at").alias("at"), F.coalesce("document", F.lit("{}")).alias("document"))
-    return known.groupBy("screening_id").applyInPandasWithState(_step(_milliseconds(wait), _milliseconds(keep)), _OUT, _STATE, "append", "EventTimeTimeout")
+    bucket = F.pmod(F.xxhash64("screening_id"), F.lit(buckets)).alias("bucket")
+    known = _known(marked).select(bucket, "screening_id", "kind", "arrived_at", F.unix_millis("arrived_at").alias("at"), F.coalesce("document", F.lit("{}")).alias("document"))
+    return known.groupBy("bucket").applyInPandasWithState(_step(_milliseconds(wait), _milliseconds(keep)), _OUT, _STATE, "append", "EventTimeTimeout")
 
 
 def tracked_whole(arrivals: DataFrame, wait: str = "1 hour", keep: str = "1 day") -> DataFrame:

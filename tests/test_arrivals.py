@@ -108,6 +108,20 @@ def test_nothing_is_told_before_its_time(spark, tmp_path):
     assert sorted((r.screening_id, r.status) for r in told.collect()) == [("a", "complete"), ("b", "incomplete"), ("c", "incomplete")]
 
 
+def test_state_is_held_by_buckets(spark, tmp_path):
+    """Python is called for a bucket and not for each screening; what is told is the same."""
+    rows = arrivals(3, 200)
+    for k in range(2):
+        add(spark, rows[k::2], tmp_path / "in")
+    stream = spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    tracked = submissions.track(stream, "60 minutes", "1440 minutes", "20 days", buckets=5)
+    query = tracked.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start()
+    query.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 5
+    add(spark, [(None, submissions.HEARTBEAT, minutes(60 * 24 * 60), None)], tmp_path / "in")
+    assert rows_of(run(spark, tmp_path / "in", tmp_path / "out", tmp_path / "state", late="20 days", buckets=5)) == expected(rows)
+
+
 def test_documents_read_back(spark):
     rows = [("a", k, START, d) for k, d in zip(submissions.KINDS, ('{"created_at":"2024-01-01T00:00:00","claimed_nationality":"UTO"}', '{"passport_number":"P1"}', '{"stay_days":3}', '{"id_number":"N1"}', '{"path":"x.png"}'), strict=True)]
     schemas = {"claim": "created_at timestamp_ntz, claimed_nationality string", "passport": "passport_number string", "visa": "stay_days int", "national_id": "id_number string", "portrait": "path string"}
