@@ -122,6 +122,17 @@ def test_state_is_held_by_buckets(spark, tmp_path):
     assert rows_of(run(spark, tmp_path / "in", tmp_path / "out", tmp_path / "state", late="20 days", buckets=5)) == expected(rows)
 
 
+def test_submissions_of_buckets_are_read_back(spark, tmp_path):
+    """The complete ones of a stream, in few groups, equal those of the table."""
+    rows = arrivals(4, 120)
+    add(spark, rows, tmp_path / "in")
+    add(spark, [(None, submissions.HEARTBEAT, minutes(60 * 24 * 60), None)], tmp_path / "in")
+    told = run(spark, tmp_path / "in", tmp_path / "out", tmp_path / "state", late="20 days", buckets=3)
+    whole = submissions.tracked_whole(spark.createDataFrame(rows, ARRIVAL), "60 minutes", "1440 minutes")
+    read = [sorted(r.screening_id for r in submissions.submitted(x, dict.fromkeys(submissions.KINDS, "n int")).select("screening_id").collect()) for x in (told, whole)]
+    assert read[0] == read[1] and len(read[0]) > 20
+
+
 def test_documents_read_back(spark):
     rows = [("a", k, START, d) for k, d in zip(submissions.KINDS, ('{"created_at":"2024-01-01T00:00:00","claimed_nationality":"UTO"}', '{"passport_number":"P1"}', '{"stay_days":3}', '{"id_number":"N1"}', '{"path":"x.png"}'), strict=True)]
     schemas = {"claim": "created_at timestamp_ntz, claimed_nationality string", "passport": "passport_number string", "visa": "stay_days int", "national_id": "id_number string", "portrait": "path string"}
