@@ -55,6 +55,15 @@ def test_verification(spark, ok, document, selfies, vectors, status):
     assert (out[0].similarity_score is not None) == scored and (out[0].match_band != "NOT_EVALUATED") == scored and out[0].is_match == ({"MATCH": True, "NO_MATCH": False}.get(status))
 
 
+def test_equal_portraits_are_chosen_alike(spark):
+    """Two detections of one ordinal and size: the sharper one, whichever comes first."""
+    faces = [(1, 1, 100, 100, 0.9, 5.0, 120.0), (1, 1, 100, 100, 0.9, 90.0, 120.0)]
+    pairs = spark.createDataFrame([(1, True, True)], "doc_id long, document_ok boolean, selfie_ok boolean")
+    vectors = spark.createDataFrame([(1, [1.0], [1.0])], "doc_id long, document_vector array<double>, selfie_vector array<double>")
+    told = {verification.verify(pairs, spark.createDataFrame(rows, FACE).coalesce(1), spark.createDataFrame(faces[1:], FACE), vectors).first().status for rows in (faces, faces[::-1])}
+    assert told == {"MATCH"}
+
+
 def test_analysis(spark):
     pages = spark.createDataFrame([(1, 600, 400), (2, None, None), (3, 150, 400), (4, None, None)], "doc_id long, width int, height int")
     blocks = images.synthetic_blocks(spark, 4, 120).where("doc_id in (1, 3)").select("doc_id", "block", "ela", "noise", "sharpness")
