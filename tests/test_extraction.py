@@ -84,3 +84,17 @@ def test_empty_inputs(spark):
     types, fused, _ = extraction.extract(docs, near, zones)
     assert extraction.document_view(types, fused).count() == 0
     assert regions.spatial_values(near, "Name", "([a-z]+)").count() == 0
+
+
+def test_texts_of_visas_are_read_once(spark, tmp_path):
+    """Confidence, fallbacks and fusion don't search the texts again."""
+    spark.createDataFrame([(1, "VISA\nVisa No: V1234567\nName: ANNA ROSS\n"), (2, "nothing")], "doc_id long, text string").write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    regions = spark.createDataFrame([(1, 0, "V1234567", 0.7, 0, 0, 9, 9)], "doc_id long, ordinal int, text string, confidence double, x1 int, y1 int, x2 int, y2 int")
+    zones = spark.createDataFrame([(2, "MRVA", {"document_number": "X1", "date_of_expiry": "301231"})], "doc_id long, format string, fields map<string,string>")
+    rows = extraction.visa_fused(extraction.visa_visual(texts, regions), zones)
+    assert sorted((r.doc_id, r.field, r.value, r.confidence, r.source) for r in rows.collect()) == [
+        (1, "document_number", "V1234567", 0.7, "visual_ocr"), (1, "name", "ANNA ROSS", 0.85, "visual_ocr"), (1, "visa_number", "V1234567", 0.7, "visual_ocr"),
+        (2, "document_number", "X1", 0.98, "mrz"), (2, "expiry_date", "301231", 0.98, "mrz"), (2, "mrz_format", "MRVA", 0.98, "mrz"), (2, "visa_number", "X1", 0.98, "mrz"),
+    ]
+    assert rows._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
