@@ -60,3 +60,18 @@ def test_an_extractor_of_ones_own(inputs):
 def test_no_rules(spark, inputs):
     types, fused, _ = extraction.extract(*inputs, rules=spark.createDataFrame([], document_types.SCHEMA))
     assert types.count() == len(TEXTS) and fused.count() == extraction.extract(*inputs)[1].count()
+
+
+def test_only_wanted_types_are_read(spark):
+    """Documents of other types are typed; their extractors don't run, nor those without documents."""
+    documents = spark.createDataFrame([(1, "VISA\nVisa No: V1234567\n", None), (2, "PASSPORT\nSurname: ROSS\n", None)], "doc_id long, text string, requested string")
+    regions = spark.createDataFrame([], "doc_id long, ordinal int, text string, confidence double, x1 int, y1 int, x2 int, y2 int")
+    zones = spark.createDataFrame([], "doc_id long, detected boolean, format string, document_code string, fields map<string,string>")
+
+    def never(*_):
+        raise AssertionError("not asked for")
+
+    others = dict.fromkeys(("passport", "national_id"), extraction.Extractor(never, never))
+    types, fused, _ = extraction.extract(documents, regions, zones, extractors=others, wanted=("visa",))
+    assert sorted((r.doc_id, r.document_type) for r in types.collect()) == [(1, "visa"), (2, "passport")]
+    assert {(r.doc_id, r.field, r.value) for r in fused.collect()} == {(1, "visa_number", "V1234567"), (1, "document_number", "V1234567")}
