@@ -102,6 +102,14 @@ def test_matches_of_descriptors(spark):
     assert tamper.descriptor_matches(odd).count() == 0 == tamper.descriptor_matches(df.limit(0)).count()
 
 
+def test_low_islands_are_one_line(spark):
+    """An island no higher than the threshold isn't dealt word by word; a higher one is."""
+    rows = [(doc, k, "ABCDE"[k], 0.5, 10 * k, 8 * k - 1, 10 * k + 9, 8 * k + 1) for doc, n in ((1, 3), (2, 5)) for k in range(n)]
+    lines = regions.grouped_lines(spark.createDataFrame(rows, "doc_id long, ordinal int, text string, confidence double, x1 int, y1 int, x2 int, y2 int"))
+    assert sorted((r.doc_id, r.line_no, r.text) for r in lines.collect()) == [(1, 0, "A B C"), (2, 0, "A B C D"), (2, 1, "E")]
+    assert "array_repeat" in lines._jdf.queryExecution().analyzed().toString()
+
+
 def test_strict_matches_take_one_partitioning(spark):
     """Points aren't multiplied by their chunks, nor joined: a shuffle of the points is all the disk it takes."""
     rng = random.Random(9)
